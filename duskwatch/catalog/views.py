@@ -121,13 +121,13 @@ SELECT concat('10.0.0.', CAST(s_suppkey % 256 AS STRING)) AS source_ip FROM supp
     "score_series": (["events"], """
 SELECT event_id AS idx, ts, CASE event_id % 5 WHEN 0 THEN 'knn' WHEN 1 THEN 'cluster' WHEN 2 THEN 'lof'
     WHEN 3 THEN 'iforest' ELSE 'reconstruction' END AS method,
-  (value - lo) / (hi - lo) AS score
-FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events) bounds"""),
+  (value - (SELECT min(value) FROM events)) / ((SELECT max(value) FROM events) - (SELECT min(value) FROM events)) AS score
+FROM events"""),
     "scored_labels": (["documents", "labels"], """
 SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN 'knn' WHEN 1 THEN 'lof' ELSE 'ensemble' END AS method,
-  CAST(d.n_chars - lo AS DOUBLE) / (hi - lo) AS score, l.toxic AS label, d.text
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id,
-  (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) bounds"""),
+  CAST(d.n_chars - (SELECT min(n_chars) FROM documents) AS DOUBLE)
+    / ((SELECT max(n_chars) FROM documents) - (SELECT min(n_chars) FROM documents)) AS score, l.toxic AS label, d.text
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
     "sequences": (["events"], """
 SELECT user_id AS seq_id, ts, event_id, concat(event_type, ' by ', CAST(user_id AS STRING), ' value ', CAST(event_id % 10 AS STRING)) AS line
 FROM events"""),
