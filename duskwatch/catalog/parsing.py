@@ -12,6 +12,7 @@ from duskwatch.catalog.registry import query
 from duskwatch.catalog.views import _IP, cte, table, view
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.text import clean, tokens
+from duskwatch.plans.ordering import freeze
 from duskwatch.session import new_folder
 from duskwatch.sources import parsers as P
 from duskwatch.sources import readers as D
@@ -20,7 +21,8 @@ _ADDRESS = _IP.replace("{div}", "//")
 
 
 def _lines(spark, sf, kind):
-    return view(spark, sf, f"raw_{kind}")
+    """Printed lines as stored data, as a parser would meet them."""
+    return freeze(view(spark, sf, f"raw_{kind}"))
 
 
 @query(
@@ -265,7 +267,7 @@ def _cleaned(spark, sf):
 
 @query(
     "message_tokens",
-    cte("logs") + rf"SELECT log_id, list_aggregate(list_filter(string_split_regex({_CLEAN}, '\s+'), t -> t <> ''), 'string_agg', '|') AS words FROM logs",
+    cte("logs") + rf"SELECT log_id, list_aggregate(list_filter(string_split_regex({_CLEAN}, '\s+'), lambda t: t <> ''), 'string_agg', '|') AS words FROM logs",
 )
 def _tokens(spark, sf):
     return view(spark, sf, "logs").select("log_id", F.array_join(tokens("message"), "|").alias("words"))

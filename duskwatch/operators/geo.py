@@ -13,9 +13,10 @@ _NET = 65536  # addresses per /16
 def with_country(rows: DataFrame, ranges: DataFrame, ip: str, unknown: str = "UNKNOWN") -> DataFrame:
     """Add ``country`` from ``ranges(ip_start, ip_end, country)``; ranges must not overlap.
 
-    Addresses are looked up once each, so a hot source costs one lookup. The
-    lookup is an equi-join on the /16 network with a range residual; a range
-    over several networks is listed under each of them.
+    An equi-join on the /16 network with the range as residual; a range over
+    several networks is listed under each of them. Spark broadcasts the ranges
+    when their size allows, else both sides shuffle on the network and adaptive
+    execution splits hot networks.
     """
     spread = ranges.select(
         "ip_start",
@@ -23,23 +24,16 @@ def with_country(rows: DataFrame, ranges: DataFrame, ip: str, unknown: str = "UN
         "country",
         F.explode(
             F.sequence(F.floor(F.col("ip_start") / _NET), F.floor(F.col("ip_end") / _NET))
-        ).alias("_net"),
+        ).alias("_net_of_range"),
     )
-    addresses = (
-        rows.select(F.col(ip).alias("_ip"))
-        .distinct()
-        .withColumn("_number", ip_number("_ip"))
-        .withColumn("_net", F.floor(F.col("_number") / _NET))
-    )
-    found = addresses.join(
+    numbered = rows.withColumn("_number", ip_number(ip)).withColumn("_net", F.floor(F.col("_number") / _NET))
+    found = numbered.join(
         spread,
-        (addresses["_net"] == spread["_net"])
+        (F.col("_net") == F.col("_net_of_range"))
         & (F.col("_number") >= F.col("ip_start"))
         & (F.col("_number") <= F.col("ip_end")),
-        "inner",
-    ).select("_ip", "country")
-    return (
-        rows.join(found, rows[ip] == found["_ip"], "left")
-        .drop("_ip")
-        .withColumn("country", F.coalesce("country", F.lit(unknown)))
+        "left",
+    )
+    return found.drop("_number", "_net", "_net_of_range", "ip_start", "ip_end").withColumn(
+        "country", F.coalesce("country", F.lit(unknown))
     )

@@ -34,6 +34,31 @@ def _dated(text: Column, year: int) -> Column:
     return _local(F.concat(F.lit(f"{year} "), tidy), "yyyy MMM d HH:mm:ss")
 
 
+def _record(fields: dict[str, str], **given: Column) -> Column:
+    """A struct of all ``fields`` (name to type), null where not given."""
+    return F.struct(
+        *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields.items()]
+    )
+
+
+def _first_case(cases: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
+    """The record of the first condition that holds.
+
+    One conditional yields the whole record, so each pattern is evaluated once
+    however many of its fields a query uses.
+    """
+    chain = F.when(*cases[0])
+    for condition, record in cases[1:]:
+        chain = chain.when(condition, record)
+    return chain if otherwise is None else chain.otherwise(otherwise)
+
+
+_SSH_FIELDS = {
+    "event_type": "string", "user": "string", "source_ip": "string", "port": "int",
+    "reason": "string", "forwarded_ports": "string", "raw_message": "string",
+}
+
+
 def parse_ssh(lines: DataFrame, year: int, column: str = "line") -> DataFrame:
     head = lines.withColumns(
         {
@@ -48,40 +73,49 @@ def parse_ssh(lines: DataFrame, year: int, column: str = "line") -> DataFrame:
     def has(phrase: str) -> Column:
         return F.contains(text, F.lit(phrase))
 
-    named, bracketed = text.rlike(_WORDS + r"Invalid user (\w+)"), text.rlike(rf"\[{fixed.IPV4}\]")
-    forwarded = text.rlike(r"port (\d+)->(.+):(\d+)")
-    kind = (
-        F.when(has("Failed password"), "authentication_failure")
-        .when(has("Invalid user") & named, "invalid_user")
-        .when(has("Connection closed"), "connection_closed")
-        .when(has("reverse mapping checking getaddrinfo") & has("POSSIBLE BREAK-IN ATTEMPT") & bracketed, "reverse_dns_failure")
-        .when(has("Accepted password"), "login_success")
-        .when(has("forwarding") & forwarded, "port_forward")
-        .otherwise("other")
-    )
-    typed = head.withColumn("event_type", F.when(F.col("matched"), kind))
-    event = F.col("event_type")
-    from_ip, any_port = extract(text, rf"from ({fixed.IPV4})"), extract(text, r"port (\d+)").try_cast("int")
-    return typed.withColumns(
-        {
-            "user": F.when(event == "authentication_failure", extract(text, _WORDS + r"for( invalid user)? (\w+)", 2))
-            .when(event == "invalid_user", extract(text, _WORDS + r"Invalid user (\w+)"))
-            .when(event == "login_success", extract(text, _WORDS + r"for (\w+)")),
-            "source_ip": F.when(event.isin("authentication_failure", "invalid_user", "login_success"), from_ip)
-            .when(event == "connection_closed", extract(text, rf"by ({fixed.IPV4})"))
-            .when(event == "reverse_dns_failure", extract(text, rf"\[({fixed.IPV4})\]")),
-            "port": F.when(event.isin("authentication_failure", "login_success"), any_port),
-            "reason": F.when(event == "reverse_dns_failure", fixed.REASON_PARSED_REVERSE_DNS),
-            "forwarded_ports": F.when(
-                event == "port_forward",
-                F.format_string(
-                    "%s->%s:%s",
-                    *[F.regexp_extract(text, r"port (\d+)->(.+):(\d+)", g) for g in (1, 2, 3)],
-                ),
+    def event(name: str, **given: Column) -> Column:
+        return _record(_SSH_FIELDS, event_type=F.lit(name), **given)
+
+    from_ip = extract(text, rf"from ({fixed.IPV4})")
+    any_port = extract(text, r"port (\d+)").try_cast("int")
+    forward = r"port (\d+)->(.+):(\d+)"
+    cases = [
+        (~F.col("matched"), _record(_SSH_FIELDS)),
+        (
+            has("Failed password"),
+            event(
+                "authentication_failure",
+                user=extract(text, _WORDS + r"for( invalid user)? (\w+)", 2), source_ip=from_ip, port=any_port,
             ),
-            "raw_message": F.when(event == "other", text),
-        }
-    )
+        ),
+        (
+            has("Invalid user") & text.rlike(_WORDS + r"Invalid user (\w+)"),
+            event("invalid_user", user=extract(text, _WORDS + r"Invalid user (\w+)"), source_ip=from_ip),
+        ),
+        (has("Connection closed"), event("connection_closed", source_ip=extract(text, rf"by ({fixed.IPV4})"))),
+        (
+            has("reverse mapping checking getaddrinfo")
+            & has("POSSIBLE BREAK-IN ATTEMPT")
+            & text.rlike(rf"\[{fixed.IPV4}\]"),
+            event(
+                "reverse_dns_failure",
+                source_ip=extract(text, rf"\[({fixed.IPV4})\]"), reason=F.lit(fixed.REASON_PARSED_REVERSE_DNS),
+            ),
+        ),
+        (
+            has("Accepted password"),
+            event("login_success", user=extract(text, _WORDS + r"for (\w+)"), source_ip=from_ip, port=any_port),
+        ),
+        (
+            has("forwarding") & text.rlike(forward),
+            event(
+                "port_forward",
+                forwarded_ports=F.format_string("%s->%s:%s", *[F.regexp_extract(text, forward, g) for g in (1, 2, 3)]),
+            ),
+        ),
+    ]
+    found = head.withColumn("_found", _first_case(cases, event("other", raw_message=text)))
+    return found.select("*", *[F.col(f"_found.{c}").alias(c) for c in _SSH_FIELDS]).drop("_found")
 
 
 def add_login_country(parsed: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -133,6 +167,11 @@ def parse_firewall(lines: DataFrame, year: int, column: str = "line") -> DataFra
     )
 
 
+_MYSQL_FIELDS = {
+    "event_type": "string", "user": "string", "source_ip": "string", "sql_statement": "string", "duration": "double",
+}
+
+
 def parse_mysql(lines: DataFrame, column: str = "line") -> DataFrame:
     head = lines.withColumns(
         {
@@ -144,25 +183,30 @@ def parse_mysql(lines: DataFrame, column: str = "line") -> DataFrame:
             "message": F.regexp_extract(column, fixed.MYSQL_HEADER, 3),
         }
     )
-    text = F.col("message")
-    denied, took = F.contains(text, F.lit("Access denied")), F.contains(text, F.lit("Query took"))
+    text, kind = F.col("message"), F.col("log_kind")
     account = _WORDS + r"user '(\w+)'@'(\S+)'"
-    statement = F.when(~denied & ~took & text.rlike(r"Query:\s+"), extract(text, r"Query:\s+(.*)")).when(
-        ~denied & ~took & (F.col("log_kind") == "Query"), text
-    )
-    filled = head.withColumns(
-        {
-            "user": F.when(denied, extract(text, account, 1)),
-            "source_ip": F.when(denied, extract(text, account, 2)),
-            "sql_statement": statement,
-            "duration": F.when(~denied & took, extract(text, r"Query took (\d+\.\d+) sec").try_cast("double")),
-        }
-    )
-    risky = F.coalesce(F.col("sql_statement").ilike(fixed.DROP_TABLE_STATEMENTS[0]), F.lit(False))
-    return filled.withColumn(
-        "event_type",
-        F.when(denied, "auth_failure").when(risky, "high_risk_operation").otherwise(F.col("log_kind")),
-    )
+
+    def event(name: Column, **given: Column) -> Column:
+        return _record(_MYSQL_FIELDS, event_type=name, **given)
+
+    def with_statement(statement: Column) -> Column:
+        risky = statement.ilike(fixed.DROP_TABLE_STATEMENTS[0])
+        return event(F.when(risky, "high_risk_operation").otherwise(kind), sql_statement=statement)
+
+    cases = [
+        (
+            F.contains(text, F.lit("Access denied")),
+            event(F.lit("auth_failure"), user=extract(text, account, 1), source_ip=extract(text, account, 2)),
+        ),
+        (
+            F.contains(text, F.lit("Query took")),
+            event(kind, duration=extract(text, r"Query took (\d+\.\d+) sec").try_cast("double")),
+        ),
+        (text.rlike(r"Query:\s+"), with_statement(extract(text, r"Query:\s+(.*)"))),
+        (kind == "Query", with_statement(text)),
+    ]
+    found = head.withColumn("_found", _first_case(cases, event(kind)))
+    return found.select("*", *[F.col(f"_found.{c}").alias(c) for c in _MYSQL_FIELDS]).drop("_found")
 
 
 def parse_hdfs(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -181,16 +225,20 @@ def parse_hdfs(lines: DataFrame, column: str = "line") -> DataFrame:
         }
     )
     text = F.col("content")
-    kind, details = None, None
-    for name, pattern in fixed.HDFS_TEMPLATES.items():
-        hit = text.rlike("^" + pattern)
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    typed = head.withColumn("Eventid", kind)
-    for name, pattern in fixed.HDFS_TEMPLATES.items():
-        groups = F.array(*[F.regexp_extract(text, "^" + pattern, g + 1) for g in range(pattern.count(r"(\S+)"))])
-        chosen = F.col("Eventid") == name
-        details = F.when(chosen, groups) if details is None else details.when(chosen, groups)
-    return typed.withColumn("details", details)
+    cases = [
+        (
+            text.rlike("^" + pattern),
+            F.struct(
+                F.lit(name).alias("Eventid"),
+                F.array(
+                    *[F.regexp_extract(text, "^" + pattern, g + 1) for g in range(pattern.count(r"(\S+)"))]
+                ).alias("details"),
+            ),
+        )
+        for name, pattern in fixed.HDFS_TEMPLATES.items()
+    ]
+    found = head.withColumn("_found", _first_case(cases))
+    return found.select("*", "_found.Eventid", "_found.details").drop("_found")
 
 
 def parse_linux(lines: DataFrame, year: int, column: str = "line") -> DataFrame:
