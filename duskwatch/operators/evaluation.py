@@ -8,13 +8,16 @@ to evaluate several score sets in one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.predicates import excludes_all, score_band
+from duskwatch.operators.neighbours import _matrix
 from duskwatch.operators.scores import lof
 from duskwatch.plans.ordering import blocks, freeze, row_index, scan
 
@@ -414,13 +417,6 @@ def class_separation(rows: DataFrame, key: str, vec: str = "vec", label: str = "
     Defined on at most ``sample`` rows (in hash order beyond that), which bounds
     the matrix each task compares its batch with.
     """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
-    from duskwatch.operators.neighbours import _matrix
-
     chosen = freeze(
         rows.select(F.col(key).alias("_k"), F.col(vec).alias("vec"), F.col(label).alias("label"))
         .orderBy(F.md5(F.col("_k").cast("string")), "_k")
