@@ -536,6 +536,7 @@ def assess(metrics: DataFrame, has_features: bool = False, has_times: bool = Fal
 
 def report(rows: DataFrame, key: str = "idx", vec: str | None = None, model_name: str = "model", has_times: bool = False, has_texts: bool = False) -> DataFrame:
     """One evaluation row for unlabelled scores: distribution, consistency and assessment."""
+    rows = freeze(rows.select(key, "score", *([vec] if vec else [])))
     stats = distribution(rows).first().asDict()
     threshold = stats["percentile_95"]
     counts = exceedance_ratio(rows, threshold).first()

@@ -93,7 +93,10 @@ def nearest(
     small = collect_bank(bank, limit)
     if small is None:
         return _nearest_blocked(queries, bank, k, key, vec, metric, skip_self, limit)
-    shared = queries.sparkSession.sparkContext.broadcast(small)
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast(small)
+    # a query costs thousands of times more to compare than to move: spread them evenly
+    queries = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
     @F.pandas_udf(NEIGHBOURS)
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.operators.neighbours import _matrix, collect_bank, nearest
+from duskwatch.plans.ordering import freeze
 
 _LRD_FLOOR = 1e-10
 
@@ -35,18 +37,16 @@ def knn_score(rows: DataFrame, bank: DataFrame, key: str, k: int = fixed.KNN_NEI
     if not bank_is_fit(bank):
         return _zero(rows, out)
     found = nearest(rows, bank, k, key, vec, **options)
-    return found.withColumn(out, _mean_distance("neighbours", k)).drop("neighbours")
+    return found.withColumn(out, mean_distance("neighbours", k)).drop("neighbours")
 
 
-def _mean_distance(neighbours: str, k: int) -> Column:
+def mean_distance(neighbours: str, k: int) -> Column:
     distances = F.transform(F.slice(neighbours, 1, k), lambda n: n["distance"])
     return F.aggregate(distances, F.lit(0.0), lambda a, d: a + d) / F.size(distances)
 
 
 def contrastive_distance(rows: DataFrame, queue: DataFrame, key: str, vec: str = "vec", out: str = "contrastive_distance") -> DataFrame:
     """Smallest cosine distance to the queue, scaled over the run; a constant run gives 0."""
-    from duskwatch.plans.ordering import freeze
-
     found = nearest(rows, queue, 1, key, vec, metric="cosine")
     raw = freeze(found.withColumn(out, F.get("neighbours", F.lit(0))["distance"]).drop("neighbours"))
     low, high = raw.agg(F.min(out), F.max(out)).first()
@@ -81,48 +81,65 @@ def _density(edges: DataFrame, k_distances: DataFrame) -> DataFrame:
     )
 
 
-def _bank_density(bank: DataFrame, k: int, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from duskwatch.plans.ordering import freeze
+@dataclass
+class Density:
+    """What a local outlier factor needs to know about its bank."""
+
+    edges: DataFrame
+    k_distances: DataFrame
+    density: DataFrame
+
 
+def fit_density(bank: DataFrame, k: int = fixed.LOF_NEIGHBOURS, **options) -> Density:
+    """Neighbour edges, k-distances and densities of the members of a bank."""
     own = freeze(
         nearest(bank, bank, k, "bank_id", "vec", skip_self=True, **options).select("bank_id", "neighbours")
     )
     k_distances = own.select("bank_id", F.element_at("neighbours", -1)["distance"].alias("_kd"))
     edges = _edges(own, "bank_id")
     density = _density(edges, k_distances).select(F.col("_q").alias("bank_id"), F.col("_lrd").alias("_bank_lrd"))
-    return edges, k_distances, density
+    return Density(edges, k_distances, freeze(density))
+
+
+def novelty_from(found: DataFrame, fitted: Density, key: str, out: str = "lof") -> DataFrame:
+    """``key, out`` from rows that carry ``neighbours``: the factor minus the offset 1.5."""
+    known = fitted.k_distances.join(fitted.density, "bank_id")
+    reach = F.greatest("_d", "_kd")
+    # both means in one pass over the edges; all edges of a row start in one task
+    around = (
+        _edges(found, key)
+        .join(known, "bank_id")
+        .groupBy("_q")
+        .agg(F.avg("_bank_lrd").alias("_around"), (F.avg(reach) + F.lit(_LRD_FLOOR)).alias("_reach"))
+    )
+    return around.select(F.col("_q").alias(key), (F.col("_around") * F.col("_reach") - fixed.LOF_OFFSET).alias(out))
 
 
 def lof_novelty(rows: DataFrame, bank: DataFrame, key: str, k: int = fixed.LOF_NEIGHBOURS, vec: str = "vec", out: str = "lof", **options) -> DataFrame:
     """Local outlier factor of new vectors against the bank, minus the offset 1.5."""
-    from duskwatch.plans.ordering import freeze
-
     if not bank_is_fit(bank):
         return _zero(rows, out)
-    _, k_distances, density = _bank_density(bank, k, **options)
-    edges = _edges(freeze(nearest(rows, bank, k, key, vec, **options).select(key, "neighbours")), key)
-    mine = _density(edges, k_distances)
-    around = edges.join(density, "bank_id").groupBy("_q").agg(F.avg("_bank_lrd").alias("_around"))
-    scored = mine.join(around, "_q").select("_q", (F.col("_around") / F.col("_lrd") - fixed.LOF_OFFSET).alias(out))
-    return rows.join(scored, rows[key] == scored["_q"], "left").drop("_q")
+    found = nearest(rows, bank, k, key, vec, **options).select(key, "neighbours")
+    return rows.join(novelty_from(found, fit_density(bank, k, **options), key, out), key, "left")
 
 
 def lof(rows: DataFrame, key: str, k: int = fixed.LOF_NEIGHBOURS, vec: str = "vec", out: str = "lof", **options) -> DataFrame:
     """Local outlier factor of every vector among all the others."""
     bank = rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec"))
-    edges, _, density = _bank_density(bank, k, **options)
-    around = edges.join(density, "bank_id").groupBy("_q").agg(F.avg("_bank_lrd").alias("_around"))
-    scored = around.join(density.withColumnRenamed("bank_id", "_q"), "_q").select(
-        "_q", (F.col("_around") / F.col("_bank_lrd")).alias(out)
+    fitted = fit_density(bank, k, **options)
+    around = fitted.edges.join(fitted.density, "bank_id").groupBy("_q").agg(F.avg("_bank_lrd").alias("_around"))
+    scored = around.join(fitted.density.withColumnRenamed("bank_id", "_q"), "_q").select(
+        F.col("_q").alias(key), (F.col("_around") / F.col("_bank_lrd")).alias(out)
     )
-    return rows.join(scored, rows[key] == scored["_q"], "left").drop("_q")
+    return rows.join(scored, key, "left")
 
 
 # --- cluster and reconstruction scores ----------------------------------------
 
 
 def fit_clusters(bank: DataFrame, k: int = fixed.CLUSTERS, seed: int = 7) -> np.ndarray:
-    model = KMeans(k=k, seed=seed, featuresCol="_f").fit(
+    # the row solver also accepts banks with fewer distinct vectors than clusters
+    model = KMeans(k=k, seed=seed, featuresCol="_f", solver="row").fit(
         bank.select(array_to_vector(F.col("vec").cast("array<double>")).alias("_f"))
     )
     return np.asarray(model.clusterCenters())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.operators import features, fusion, scores, windows
+from duskwatch.operators.neighbours import nearest
 from duskwatch.plans.ordering import freeze
 
 
@@ -19,6 +20,7 @@ class Detector:
     """Everything the five methods need; all of it bounded by the bank."""
 
     bank: DataFrame
+    density: scores.Density
     centres: np.ndarray
     directions: tuple[np.ndarray, np.ndarray]
     forest: DataFrame
@@ -36,6 +38,7 @@ def fit_detector(bank: DataFrame, vectorizer: PipelineModel | None = None, how:
         raise ValueError(f"at least {fixed.BANK_MINIMUM} reference vectors are needed")
     return Detector(
         bank=bank,
+        density=scores.fit_density(bank, min(fixed.LOF_NEIGHBOURS, size - 1)),
         centres=scores.fit_clusters(bank, min(fixed.CLUSTERS, size), seed),
         directions=scores.fit_reconstruction(bank, dims),
         forest=freeze(scores.fit_forest(bank, seed=seed)),
@@ -51,14 +54,16 @@ def score(rows: DataFrame, detector: Detector, key: str, vec: str = "vec", metho
 
     Scores are scaled over the whole run, so they do not depend on batches.
     """
-    raw = scores.knn_score(rows, detector.bank, key, vec=vec)
+    # one search serves the kNN and the local outlier score
+    found = freeze(nearest(rows, detector.bank, fixed.LOF_NEIGHBOURS, key, vec))
+    local = scores.novelty_from(found.select(key, "neighbours"), detector.density, key)
+    raw = found.withColumn("knn", scores.mean_distance("neighbours", fixed.KNN_NEIGHBOURS)).drop("neighbours")
     raw = scores.cluster_score(raw, detector.centres, vec)
     raw = scores.forest_score(raw, detector.forest, detector.sample, vec)
     raw = scores.reconstruction_score(raw, detector.directions, vec)
-    raw = raw.withColumn("reconstruction_error", F.col("reconstruction"))
-    raw = scores.lof_novelty(raw, detector.bank, key, vec=vec)
+    raw = raw.withColumn("reconstruction_error", F.col("reconstruction")).join(local, key, "left")
     raw = scores.contrastive_distance(raw, detector.bank.limit(fixed.QUEUE_LIMIT), key, vec)
-    scaled = scores.scale_run(freeze(raw), fixed.METHODS)
+    scaled = scores.scale_run(raw, fixed.METHODS)
     chosen = fusion.choose_method(fusion.fuse(scaled, detector.fusion, **detector.options), method)
     if use_knn:
         chosen = fusion.knn_enhanced(chosen, detector.bank, key, vec=vec)
