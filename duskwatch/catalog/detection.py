@@ -224,9 +224,12 @@ def set_cte(kind: str) -> str:
 def _register_set(kind):
     body = _set_sql(kind)
 
-    @query(f"{kind}_all_rules", set_cte(kind) + body)
+    # -1 stands for "not given", so that the result holds no null numbers
+    shown = "anomaly_type, source_ip, \"user\", coalesce(pid, -1) AS pid, coalesce(metric, -1) AS metric, item, reason"
+
+    @query(f"{kind}_all_rules", set_cte(kind) + f"SELECT {shown} FROM ({body})")
     def run(spark, sf):
-        return run_set(spark, sf, kind)
+        return run_set(spark, sf, kind).fillna(-1, ["pid", "metric"])
 
     columns = {
         "ssh": "source_ip, \"user\", anomaly_type, reason AS details, CASE WHEN anomaly_type = 'geo_anomaly' THEN item ELSE '' END AS country_codes",

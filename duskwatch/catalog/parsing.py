@@ -33,7 +33,7 @@ def _lines(spark, sf, kind):
       WHEN 4 THEN 'reverse_dns_failure' WHEN 5 THEN 'login_success' ELSE CASE WHEN event_id % 2 = 0 THEN 'port_forward' ELSE 'other' END END AS event_type,
     CASE WHEN event_id % 7 IN (0, 1, 2, 5) THEN 'u' || CAST(event_id % 9 AS VARCHAR) END AS "user",
     CASE WHEN event_id % 7 < 6 THEN {_ADDRESS} END AS source_ip,
-    CASE WHEN event_id % 7 IN (0, 1, 5) THEN CAST(1024 + event_id % 50000 AS INT) END AS port,
+    CASE WHEN event_id % 7 IN (0, 1, 5) THEN CAST(1024 + event_id % 50000 AS INT) ELSE -1 END AS port,
     CASE WHEN event_id % 7 = 4 THEN '{fixed.REASON_PARSED_REVERSE_DNS}' END AS reason,
     CASE WHEN event_id % 7 = 6 AND event_id % 2 = 0 THEN CAST(event_id % 1000 AS VARCHAR) || '->db.local:3306' END AS forwarded_ports,
     CASE WHEN event_id % 7 = 6 AND event_id % 2 = 1 THEN 'Server listening on 0.0.0.0' END AS raw_message
@@ -41,7 +41,7 @@ def _lines(spark, sf, kind):
 )
 def _ssh(spark, sf):
     parsed = P.parse(_lines(spark, sf, "ssh"), "ssh", "DROPMALFORMED")
-    return parsed.drop("line", "message")
+    return parsed.drop("line", "message").fillna(-1, ["port"])
 
 
 @query(
@@ -117,11 +117,13 @@ def _hdfs(spark, sf):
     CASE WHEN event_id % 5 = 0 THEN 'NODEVssh' END AS tty, CASE WHEN event_id % 5 = 0 THEN '' END AS ruser, CASE WHEN event_id % 5 = 0 THEN {_ADDRESS} END AS source_ip,
     CASE WHEN event_id % 5 = 0 THEN 'root' END AS "user",
     CASE event_id % 5 WHEN 0 THEN 'authentication_failure' WHEN 3 THEN 'connection_closed' WHEN 4 THEN 'other' ELSE 'password_check' END AS event_type,
-    CASE event_id % 5 WHEN 0 THEN FALSE WHEN 1 THEN FALSE WHEN 2 THEN TRUE END AS success
+    CASE event_id % 5 WHEN 0 THEN 'false' WHEN 1 THEN 'false' WHEN 2 THEN 'true' ELSE 'unset' END AS success
     FROM events WHERE event_id % 101 <> 0""",
 )
 def _linux(spark, sf):
-    return P.parse(_lines(spark, sf, "linux"), "linux", "DROPMALFORMED").drop("line", "content")
+    return P.parse(_lines(spark, sf, "linux"), "linux", "DROPMALFORMED").drop("line", "content").withColumn(
+        "success", F.coalesce(F.col("success").cast("string"), F.lit("unset"))
+    )
 
 
 for _kind in ("ssh", "web", "firewall", "mysql", "hdfs", "linux"):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from duskwatch.catalog.registry import query, rounded
 from duskwatch.catalog.views import VIEWS, _point, cte, table, view
+from duskwatch.functions.predicates import moment
+from duskwatch.functions.timecols import as_wall_clock
 from duskwatch.operators import rules as R
 from duskwatch.plans.ordering import freeze
 from duskwatch.session import new_folder
@@ -35,7 +37,7 @@ def _stored(spark, stream, name):
 
 
 def _zone_free(df, *columns):
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+    return df.withColumns({c: as_wall_clock(c) for c in columns})
 
 
 def _windows_sql(source, where, keys, measure, metric, name, threshold):
@@ -158,7 +160,7 @@ def _late(spark, sf):
     incoming = new_folder(spark, "late")
     logs = freeze(view(spark, sf, "ssh_logs"))
     cut = logs.agg(F.to_date(F.max("timestamp") - F.expr("INTERVAL '10' DAY")).cast("timestamp_ntz")).first()[0]
-    fresh = F.col("timestamp") >= F.lit(cut).cast("timestamp_ntz")
+    fresh = F.col("timestamp") >= moment(cut)
     state, folder = new_folder(spark, "late-state"), new_folder(spark, "late-out")
     logs.filter(fresh).write.mode("append").parquet(incoming)
     rule = R.SSH_HIGH_FREQUENCY.tuned(threshold=0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
@@ -75,3 +75,29 @@ def parse_date(text: str | Column, default_year: int = 1900) -> Column:
         F.concat(F.lit(f"{default_year}年"), text), F.lit("yyyy年" + fixed.YEARLESS_DATE_FORMAT)
     ).cast("timestamp_ntz")
     return F.coalesce(*ntz, yearless)
+
+
+def micros(rows: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970, without regard to the session zone for zone-free times."""
+    column = F.col(ts)
+    if rows.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(column.cast("timestamp"))
+    since_epoch = column - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    days, hours, minutes, seconds = (
+        F.extract(F.lit(unit), since_epoch) for unit in ("DAY", "HOUR", "MINUTE", "SECOND")
+    )
+    whole_minutes = (days.cast("long") * 24 + hours) * 60 + minutes
+    return whole_minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
+
+
+def as_instant(rows: DataFrame, ts: str) -> Column:
+    """A zone-free time read as UTC, as the TIMESTAMP that streams need."""
+    column = F.col(ts)
+    if rows.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return column.cast("timestamp")
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), column).cast("timestamp")
+
+
+def as_wall_clock(ts: str | Column) -> Column:
+    """The UTC wall clock of a TIMESTAMP."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col(ts).cast("timestamp_ntz"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions.predicates import contains_any, moment, score_band
-from duskwatch.functions.timecols import hour_text
+from duskwatch.functions.timecols import hour_text, micros
 from duskwatch.plans.ordering import row_index
 
 # --- filters ------------------------------------------------------------------
@@ -159,9 +159,8 @@ def correlate(left: DataFrame, right: DataFrame, key: str, seconds: int) -> Data
     reach = F.lit(seconds * 1_000_000).cast("long")
 
     def timed(df: DataFrame) -> DataFrame:
-        return df.groupBy(key, F.col("timestamp").alias("_ts")).agg(
-            F.count(F.lit(1)).alias("_n")
-        ).withColumn("_t", F.unix_micros(F.col("_ts").cast("timestamp")))
+        counted = df.groupBy(key, F.col("timestamp").alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
+        return counted.withColumn("_t", micros(counted, "_ts"))
 
     none = F.lit(0).cast("long")
     ends = timed(left).select(

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskwatch.functions.timecols import micros
 from duskwatch.session import shared_dir
 
 
@@ -161,7 +162,7 @@ def lookback_counts(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -
     with the rows.
     """
     per_time = df.groupBy(*keys, F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
-    per_time = per_time.withColumn("_t", F.unix_micros(F.col("_ts").cast("timestamp")))
+    per_time = per_time.withColumn("_t", micros(per_time, "_ts"))
     both = per_time.select(
         *keys,
         "_ts",
@@ -188,7 +189,7 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int) -> D
     distinct times. Returns keys, ``session_start``, ``session_last``, ``hits``.
     """
     per_time = df.groupBy(*keys, F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
-    per_time = per_time.withColumn("_t", F.unix_micros(F.col("_ts").cast("timestamp")))
+    per_time = per_time.withColumn("_t", micros(per_time, "_ts"))
     previous = scan(per_time, ["_t"], keys, lasts={"_prev": "_t"}, exclusive=True)
     opened = previous.withColumn(
         "_open",

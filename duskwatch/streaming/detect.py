@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from duskwatch.functions import fixed_values as fixed
+from duskwatch.functions.timecols import as_instant
 from duskwatch.operators import rules as R
 from duskwatch.operators.geo import with_country
 from duskwatch.operators.scores import merge_stats, score_stats
@@ -23,7 +24,7 @@ from duskwatch.session import new_folder
 
 def event_time(logs: DataFrame, delay: str = "10 minutes", ts: str = "timestamp") -> DataFrame:
     """Cast the event time for streaming and accept rows up to ``delay`` late."""
-    return logs.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return logs.withColumn(ts, as_instant(logs, ts)).withWatermark(ts, delay)
 
 
 def windowed_rule(logs: DataFrame, rule: R.CountRule, delay: str = "10 minutes", duration: str | None = None, slide: str | None = None, approximate: bool = False) -> DataFrame:
