@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.predicates import excludes_all, score_band
+from duskwatch.operators.features import build_bank, hash_sample
 from duskwatch.operators.neighbours import _matrix
 from duskwatch.operators.scores import lof
-from duskwatch.plans.ordering import blocks, freeze, row_index, scan
+from duskwatch.plans.ordering import blocks, freeze, percentiles, row_index, scan
 
 # --- with labels ---------------------------------------------------------------
 
@@ -137,35 +138,31 @@ def _histogram(rows: DataFrame, keys: list[str], bins: int, score: str = "score"
 # --- distribution --------------------------------------------------------------
 
 
-def distribution(rows: DataFrame, keys: Sequence[str] = (), score: str = "score", exact: bool = True) -> DataFrame:
-    """Location, spread, shape and quantiles of scores in one aggregation.
+_QUANTILES = {"median": 0.5, "percentile_95": 0.95, "percentile_99": 0.99, "q1": 0.25, "q3": 0.75}
 
-    Exact percentiles keep a count per distinct score on the way; with
-    ``exact=False`` a sketch of bounded size is used instead.
-    """
-    column = F.col(score)
-
-    def at(share: float) -> Column:
-        return F.percentile(column, share) if exact else F.percentile_approx(column, share, 100_000)
 
+def distribution(rows: DataFrame, keys: Sequence[str] = (), score: str = "score", **options) -> DataFrame:
+    """Location, spread, shape and exact quantiles of scores."""
+    keys = list(keys)
+    column = F.col(score)
     mean, std, top = F.avg(column), F.stddev_pop(column), F.max(column)
-    return rows.groupBy(*keys).agg(
+    moments = rows.groupBy(*keys).agg(
         F.count(column).alias("num_samples"),
         mean.alias("mean"),
-        at(0.5).alias("median"),
         std.alias("std"),
         F.min(column).alias("min"),
         top.alias("max"),
         (top - F.min(column)).alias("range"),
-        at(0.95).alias("percentile_95"),
-        at(0.99).alias("percentile_99"),
         F.skewness(column).alias("skewness"),
         F.kurtosis(column).alias("kurtosis"),
-        at(0.25).alias("q1"),
-        at(0.75).alias("q3"),
-        (at(0.75) - at(0.25)).alias("iqr"),
         ((top - mean) / F.nullif(std, F.lit(0.0))).alias("separation_index"),
     )
+    quantiles = percentiles(rows, score, _QUANTILES, keys, **options)
+    if keys:
+        both = moments.join(quantiles, keys)
+    else:
+        both = moments.withColumns({n: F.lit(v).cast("double") for n, v in quantiles.first().asDict().items()})
+    return both.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def histogram_entropy(rows: DataFrame, bins: int = 30, score: str = "score") -> DataFrame:
@@ -256,14 +253,12 @@ def method_statistics(rows: DataFrame) -> DataFrame:
 
 def suggest_threshold(rows: DataFrame, method: str = "percentile", percentile: float = 95, score: str = "score") -> DataFrame:
     """One row ``threshold``; an unknown method means the 95th percentile."""
-    column = F.col(score)
     if method == "std":
-        value = F.avg(column) + 2 * F.stddev_pop(column)
-    elif method == "iqr":
-        value = F.percentile(column, 0.75) + 1.5 * (F.percentile(column, 0.75) - F.percentile(column, 0.25))
-    else:
-        value = F.percentile(column, (percentile if method == "percentile" else 95) / 100)
-    return rows.agg(value.alias("threshold"))
+        return rows.agg((F.avg(score) + 2 * F.stddev_pop(score)).alias("threshold"))
+    if method == "iqr":
+        quartiles = percentiles(rows, score, {"q1": 0.25, "q3": 0.75})
+        return quartiles.select((F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("threshold"))
+    return percentiles(rows, score, {"threshold": (percentile if method == "percentile" else 95) / 100})
 
 
 def exceedances(rows: DataFrame, threshold: float, score: str = "score") -> DataFrame:
@@ -365,8 +360,8 @@ def lof_agreement(rows: DataFrame, key: str, k: int | None = None, share: float
     """
     total = rows.count()
     factors = freeze(lof(rows, key, k or min(20, total // 5), **options))
-    limit = factors.agg(F.percentile("lof", 1.0 - share)).first()[0]
-    high = factors.agg(F.percentile("score", 0.9)).first()[0]
+    limit = percentiles(factors, "lof", {"p": 1.0 - share}).first()[0]
+    high = percentiles(factors, "score", {"p": 0.9}).first()[0]
     label = F.when(F.col("lof") > limit, 1.0).otherwise(-1.0)
     above = F.col("score") > high
     means = factors.select("score", label.alias("_l"), above.alias("_h")).agg(
@@ -384,7 +379,7 @@ def spatial_density(rows: DataFrame, key: str, k: int = 20, share: float = 0.1,
     """Agreement of scores with local density, comparing the top tenth of the ranking with the rest."""
     factors = freeze(lof(rows, key, k, **options))
     total = factors.count()
-    limit = factors.agg(F.percentile("lof", 1.0 - share)).first()[0]
+    limit = percentiles(factors, "lof", {"p": 1.0 - share}).first()[0]
     label = F.when(F.col("lof") > limit, 1.0).otherwise(-1.0)
     ranked = row_index(factors.select(key, "score", label.alias("_l")), ["score", key], name="_rank")
     top = F.col("_rank") >= int(total * 0.9)
@@ -401,8 +396,6 @@ def mean_lof_label(rows: DataFrame, key: str, k: int = 20, sample: int = fixed.B
     More than ``sample`` rows are represented by a sample in hash order, which
     is how the figure is defined.
     """
-    from duskwatch.operators.features import build_bank
-
     chosen = freeze(build_bank(rows, key, vec, sample))
     factors = lof(chosen, "bank_id", k, "vec")
     return factors.agg(
@@ -418,9 +411,7 @@ def class_separation(rows: DataFrame, key: str, vec: str = "vec", label: str = "
     the matrix each task compares its batch with.
     """
     chosen = freeze(
-        rows.select(F.col(key).alias("_k"), F.col(vec).alias("vec"), F.col(label).alias("label"))
-        .orderBy(F.md5(F.col("_k").cast("string")), "_k")
-        .limit(sample)
+        hash_sample(rows.select(F.col(key).alias("_k"), F.col(vec).alias("vec"), F.col(label).alias("label")), "_k", sample)
     )
     local = chosen.toPandas()
     shared = chosen.sparkSession.sparkContext.broadcast((_matrix(local["vec"]), local["label"].to_numpy()))

@@ -128,16 +128,33 @@ def mark_sample(rows: DataFrame, key: str, ratio: float = 0.5, seed: int = 0, ou
     return row_index(hashed, ["_h", key], name="_n").withColumn(out, F.col("_n") < wanted).drop("_h", "_n")
 
 
+def hash_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows with the smallest key hash (all rows when there are fewer).
+
+    A large table is first cut at a hash bound that keeps a few times ``limit``
+    rows, so that the final ordering does not receive ``limit`` rows from every
+    partition. The bound is raised until enough rows lie below it, which keeps
+    the choice exact.
+    """
+    digest = F.md5(F.col(key).cast("string"))
+    total = rows.count()
+    kept, share = rows, 4.0 * limit / max(total, 1)
+    while share < 1.0:
+        bound = f"{int(share * 16**8):08x}"
+        below = rows.filter(digest < F.lit(bound))
+        if below.select(key).count() >= limit:
+            kept = below
+            break
+        share *= 2
+    return kept.orderBy(digest, key).limit(limit)
+
+
 def build_bank(rows: DataFrame, key: str, vec: str = "vec", limit: int = fixed.BANK_LIMIT) -> DataFrame:
     """The bank of reference vectors ``bank_id, vec``: all rows, or ``limit`` rows in hash order.
 
     The bound is part of the definition of the bank.
     """
-    return (
-        rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec"))
-        .orderBy(F.md5(F.col("bank_id").cast("string")), "bank_id")
-        .limit(limit)
-    )
+    return hash_sample(rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec")), "bank_id", limit)
 
 
 def bank_from_normal_lines(lines: DataFrame, size: int = 10, dims: int = 256) -> tuple[DataFrame, PipelineModel]:

@@ -124,23 +124,24 @@ def count_windows(
     """A count rule over every tumbling or sliding event-time window.
 
     On a stream, set a watermark on ``timestamp`` first; windows are then
-    emitted in append mode once the watermark has passed them. Streams cannot
-    count distinct values exactly by ``count_distinct``: the distinct values of
-    a window are kept as a set, or as a sketch with ``approximate``.
+    emitted in append mode once the watermark has passed them. A stream counts
+    distinct values by dropping repeated (window, key, value) rows before it
+    counts, so the state of a hot key is spread over its values; ``approximate``
+    keeps one sketch per window and key instead.
     """
     duration = duration or f"{rule.minutes} minutes"
     window = F.window("timestamp", duration, slide) if slide else F.window("timestamp", duration)
+    rows = logs.filter(rule.where())
     if rule.distinct and approximate:
         measure = F.approx_count_distinct(rule.distinct)
     elif rule.distinct and logs.isStreaming:
-        measure = F.size(F.collect_set(rule.distinct)).cast("long")
+        rows = rows.filter(F.col(rule.distinct).isNotNull())
+        rows = rows.select(window.alias("window"), *rule.keys, rule.distinct)
+        rows = rows.dropDuplicates(["window", *rule.keys, rule.distinct])
+        window, measure = F.col("window"), F.count(F.lit(1))
     else:
         measure = _measure(rule, F.lit(True))
-    counted = (
-        logs.filter(rule.where())
-        .groupBy(window.alias("window"), *rule.keys)
-        .agg(measure.alias(rule.metric))
-    )
+    counted = rows.groupBy(window.alias("window"), *rule.keys).agg(measure.alias(rule.metric))
     return counted.filter(F.col(rule.metric) > rule.threshold).select(
         F.lit(rule.name).alias("anomaly_type"),
         *rule.keys,

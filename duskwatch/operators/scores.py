@@ -56,10 +56,15 @@ def contrastive_distance(rows: DataFrame, queue: DataFrame, key: str, vec: str =
 
 
 def recent_queue(rows: DataFrame, key: str, vec: str = "vec", order: str | None = None, limit: int = fixed.QUEUE_LIMIT) -> DataFrame:
-    """The newest ``limit`` vectors as ``bank_id, vec``."""
-    return rows.orderBy(F.col(order or key).desc(), F.col(key).desc()).limit(limit).select(
-        F.col(key).alias("bank_id"), F.col(vec).alias("vec")
-    )
+    """The newest ``limit`` vectors as ``bank_id, vec``.
+
+    Only keys and times are ordered; the chosen keys, bounded by the limit, then
+    pick their vectors.
+    """
+    order = order or key
+    narrow = rows.select(F.col(key).alias("bank_id"), F.col(order).alias("_at"))
+    newest = narrow.orderBy(F.col("_at").desc(), F.col("bank_id").desc()).limit(limit).select("bank_id")
+    return rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec")).join(F.broadcast(newest), "bank_id", "left_semi")
 
 
 # --- local outlier factor -----------------------------------------------------

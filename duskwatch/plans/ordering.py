@@ -202,3 +202,48 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int) -> D
     return labelled.groupBy(*keys, "session_start").agg(
         F.max("_ts").alias("session_last"), F.sum("_n").alias("hits")
     )
+
+
+def percentiles(
+    rows: DataFrame,
+    column: str,
+    shares: dict[str, float],
+    keys: Sequence[str] = (),
+    in_memory: int = 5_000_000,
+) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per key.
+
+    The built-in aggregate keeps every distinct value of a key in the memory of
+    one task, so it is used for at most ``in_memory`` rows. Beyond that, distinct
+    values are counted, scanned in order, and read off at the two positions
+    around each share.
+    """
+    keys = list(keys)
+    if rows.limit(in_memory + 1).count() <= in_memory:
+        return rows.groupBy(*keys).agg(*[F.percentile(column, q).alias(n) for n, q in shares.items()])
+    counted = (
+        rows.filter(F.col(column).isNotNull())
+        .groupBy(*keys, F.col(column).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    reached = scan(counted, ["_v"], keys, sums={"_upto": "_n"})
+    totals = counted.groupBy(*keys).agg((F.sum("_n") - 1).alias("_last"))
+    if keys:
+        placed = reached.join(totals, keys)
+    else:
+        placed = reached.withColumn("_last", F.lit(totals.first()[0]))
+
+    def at(position: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
+
+    picked = placed.groupBy(*keys).agg(
+        F.max("_last").alias("_last"),
+        *[at(F.floor(F.col("_last") * q)).alias(f"_lo_{n}") for n, q in shares.items()],
+        *[at(F.ceil(F.col("_last") * q)).alias(f"_hi_{n}") for n, q in shares.items()],
+    )
+    values = []
+    for name, share in shares.items():
+        part = F.col("_last") * share - F.floor(F.col("_last") * share)
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        values.append((low + (high - low) * part).alias(name))
+    return picked.select(*keys, *values)

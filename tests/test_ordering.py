@@ -98,3 +98,25 @@ def test_checkpoints_use_the_session_folder(spark):
     from duskwatch.session import shared_dir
 
     assert spark.sparkContext.getCheckpointDir() == shared_dir(spark)
+
+
+@pytest.mark.parametrize("in_memory", [5_000_000, 10])
+def test_percentiles_match_on_both_routes(spark, hot, in_memory):
+    import numpy as np
+
+    rows, df = hot
+    shares = {"a": 0.25, "b": 0.5, "c": 0.95}
+    one = O.percentiles(df, "t", shares, in_memory=in_memory).first()
+    values = np.array([r[1] for r in rows], dtype=float)
+    assert [one[n] for n in shares] == pytest.approx([np.percentile(values, 100 * q) for q in shares.values()])
+    for row in O.percentiles(df.filter("k IS NOT NULL"), "t", shares, ["k"], in_memory).collect():
+        mine = np.array([r[1] for r in rows if r[0] == row["k"]], dtype=float)
+        assert [row[n] for n in shares] == pytest.approx([np.percentile(mine, 100 * q) for q in shares.values()])
+
+
+def test_hash_sample_is_exact(spark):
+    from duskwatch.operators.features import hash_sample
+
+    df = spark.range(5000)
+    ranked = df.selectExpr("id", "md5(CAST(id AS STRING)) AS h").orderBy("h").limit(50)
+    assert {r["id"] for r in hash_sample(df, "id", 50).collect()} == {r["id"] for r in ranked.collect()}
