@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,7 +191,7 @@ def kde_entropy(rows: DataFrame, grid: int = 100, score: str = "score") -> DataF
         return rows.sparkSession.createDataFrame([(None, None)], "score_entropy DOUBLE, normalized_entropy DOUBLE")
     points = [i / (grid - 1) for i in range(grid)]
     sums = rows.select(scaled.alias("_x")).agg(
-        *[F.sum(F.exp(-(F.col("_x") - F.lit(g)) * (F.col("_x") - F.lit(g)) / F.lit(2 * variance))).alias(f"g{i}") for i, g in enumerate(points)]
+        *[F.expr(f"sum(exp(-(_x - {g!r}D) * (_x - {g!r}D) / {2 * variance!r}D)) AS g{i}") for i, g in enumerate(points)]
     )
     density = sums.select(F.array(*[F.col(f"g{i}") for i in range(grid)]).alias("_d"))
     total = F.aggregate("_d", F.lit(0.0), lambda a, x: a + x)
@@ -440,11 +442,8 @@ def class_separation(rows: DataFrame, key: str, vec: str = "vec", label: str = "
     measured = freeze(chosen.withColumn("_m", measure("vec", "label")))
     silhouette = measured.agg(F.avg("_m.silhouette").alias("silhouette"))
     per_class = measured.groupBy("label").agg(F.avg("_m.within").alias("intra"))
-    width = len(local["vec"].iloc[0])
-    centres = {
-        r["label"]: np.array(r["c"], dtype=float)
-        for r in chosen.groupBy("label").agg(F.array(*[F.avg(F.get("vec", F.lit(i))) for i in range(width)]).alias("c")).collect()
-    }
+    dense = chosen.select("label", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+    centres = {r[0]: r[1].toArray() for r in dense.groupBy("label").agg(Summarizer.mean(F.col("v"))).collect()}
     two = sorted(centres)
     between = float(np.linalg.norm(centres[two[0]] - centres[two[1]])) if len(two) == 2 else None
     out = silhouette.join(F.broadcast(per_class.agg(F.avg("intra").alias("intra_distance"))))

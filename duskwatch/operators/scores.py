@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,9 +167,8 @@ def fit_reconstruction(bank: DataFrame, k: int = 16) -> tuple[np.ndarray, np.nda
     """Mean and principal directions of the bank."""
     vectors = bank.select(array_to_vector(F.col("vec").cast("array<double>")).alias("_f"))
     model = PCA(k=k, inputCol="_f", outputCol="_p").fit(vectors)
-    width = model.pc.numRows
-    mean = bank.agg(*[F.avg(F.get("vec", F.lit(i))).alias(str(i)) for i in range(width)]).first()
-    return np.asarray(list(mean)), model.pc.toArray()
+    mean = vectors.select(Summarizer.mean(F.col("_f"))).first()[0]
+    return mean.toArray(), model.pc.toArray()
 
 
 def reconstruction_score(rows: DataFrame, fitted: tuple[np.ndarray, np.ndarray], vec: str = "vec", out: str = "reconstruction") -> DataFrame:

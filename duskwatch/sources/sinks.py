@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.predicates import is_ipv4
+from duskwatch.plans.ordering import row_index
 from duskwatch.schemas import REQUIRED, columns
 
 
@@ -116,6 +117,11 @@ def update_status(logs: DataFrame, updates: DataFrame) -> DataFrame:
 # --- writes -------------------------------------------------------------------
 
 
+def with_ids(rows: DataFrame, order: list[str], first: int = 1, name: str = "id") -> DataFrame:
+    """Number new rows from ``first`` in the given order, before they are written."""
+    return row_index(rows, order, name=name).withColumn(name, F.col(name) + F.lit(first).cast("long"))
+
+
 def append_table(df: DataFrame, path: str, ts: str | None = "timestamp") -> None:
     """Append to a parquet table, partitioned by day so that look-backs prune folders."""
     if ts and ts in df.columns:
