@@ -446,7 +446,8 @@ def class_separation(rows: DataFrame, key: str, vec: str = "vec", label: str = "
     centres = {r[0]: r[1].toArray() for r in dense.groupBy("label").agg(Summarizer.mean(F.col("v"))).collect()}
     two = sorted(centres)
     between = float(np.linalg.norm(centres[two[0]] - centres[two[1]])) if len(two) == 2 else None
-    out = silhouette.join(F.broadcast(per_class.agg(F.avg("intra").alias("intra_distance"))))
+    intra = per_class.agg(F.avg("intra")).first()[0]
+    out = silhouette.withColumn("intra_distance", F.lit(intra).cast("double"))
     return out.withColumn("inter_distance", F.lit(between).cast("double")).withColumn(
         "separation_index", F.col("inter_distance") / F.nullif("intra_distance", F.lit(0.0))
     )

@@ -68,8 +68,9 @@ def token_ids(rows: DataFrame, vocabulary: DataFrame, key: str, text: str = "tex
     """
     unknown = vocabulary.agg((F.max("token_id") + 1).alias("u")).first()["u"] or 1
     words = rows.select(key, F.posexplode_outer(F.slice(tokens(text), 1, length)).alias("_at", "token"))
-    # the vocabulary is bounded by its size parameter
-    looked = words.join(F.broadcast(vocabulary), "token", "left")
+    # ids are dense, so the largest one tells the size of the vocabulary
+    small = unknown <= 1_000_000
+    looked = words.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left")
     listed = looked.groupBy(key).agg(
         F.array_sort(
             F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("token_id", F.lit(unknown)).alias("i"))))

@@ -65,7 +65,8 @@ def recent_queue(rows: DataFrame, key: str, vec: str = "vec", order: str | None
     order = order or key
     narrow = rows.select(F.col(key).alias("bank_id"), F.col(order).alias("_at"))
     newest = narrow.orderBy(F.col("_at").desc(), F.col("bank_id").desc()).limit(limit).select("bank_id")
-    return rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec")).join(F.broadcast(newest), "bank_id", "left_semi")
+    vectors = rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec"))
+    return vectors.join(F.broadcast(newest) if limit <= 1_000_000 else newest, "bank_id", "left_semi")
 
 
 # --- local outlier factor -----------------------------------------------------
