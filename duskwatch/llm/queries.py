@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from duskwatch.llm import sharding, simhash
+from duskwatch.llm import bpe, sharding, simhash
 from duskwatch.llm.catalog import query
 
 
@@ -12,6 +13,22 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path(VOCABULARY)
+    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
