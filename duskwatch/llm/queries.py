@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, sharding, simhash
+from duskwatch.llm import bpe, html_text, licenses, sharding, simhash
 from duskwatch.llm.catalog import query
 
 
@@ -13,6 +13,11 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_html_extraction")
+def op1(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -29,6 +34,11 @@ def op4(spark, sf_dir):
     )
 
 
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
