@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, html_text, licenses, sharding, simhash
+from duskwatch.llm import bpe, cotraining, html_text, licenses, quality_rules, sharding, simhash
 from duskwatch.llm.catalog import query
 
 
@@ -18,6 +18,12 @@ def op1(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return cotraining.classify(docs, labels).select("doc_id", "p_text", "p_meta", "p_good", "kept")
+
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -59,3 +65,19 @@ def op8(spark, sf_dir):
     return simhash.near_duplicate_components(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op9_quality_rules")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs.select("doc_id", "text"), labels).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "anomaly",
+    )
