@@ -21,7 +21,7 @@ MOST_REPEATED = 30  # per cent of the words
 FIT_ROWS = 8192
 TREES = 128
 TREE_ROWS = 256
-GOOD_LOSS = 0.01
+GOOD_LOSS = 0.005
 # Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 
@@ -31,6 +31,9 @@ FEATURES = (
     "word_length", "symbol_rate", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punct_rate",
     "distinct_share", "next_same_share", "words_per_line",
 )
+# The forest splits on what the base rules leave open; repeats are theirs.
+SPLIT_ON = ("word_length", "symbol_rate", "upper_share", "punct_rate", "distinct_share")
+STEADY_WORDS = 60  # with so many words, half of a rate's distance from the median counts
 
 
 def _class_table(members: bytes) -> np.ndarray:
@@ -140,6 +143,15 @@ def features(table: pd.DataFrame) -> np.ndarray:
     ).astype(np.float64)
 
 
+def forest_columns(table: pd.DataFrame, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The columns the forest splits on and their medians; rates of short texts move to the median."""
+    rows = features(table)[:, [FEATURES.index(n) for n in SPLIT_ON]]
+    if centre is None:
+        centre = np.median(rows, axis=0)
+    words = table["n_words"].to_numpy(float)
+    return centre + (rows - centre) * np.sqrt(words / (words + STEADY_WORDS))[:, None], centre
+
+
 def _average_path(n: np.ndarray | float) -> np.ndarray:
     """Mean path length of an unsuccessful search among n rows."""
     n = np.asarray(n, float)
@@ -245,11 +257,12 @@ def judge(
     if len(sample) < 2:
         return counted.withColumns({"anomaly": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
     sample = sample.sort_values(names, kind="stable")
-    forest = fit_forest(features(sample), trees, tree_rows)
+    rows, centre = forest_columns(sample)
+    forest = fit_forest(rows, trees, tree_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = forest_scores(forest, features(batch.select(names).to_pandas()))
+            scores = forest_scores(forest, forest_columns(batch.select(names).to_pandas(), centre)[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "anomaly"])
 
     schema = counted.withColumn("anomaly", F.lit(0.0)).schema
