@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, cotraining, html_text, licenses, quality_rules, sharding, simhash
+from duskwatch.llm import bpe, cotraining, html_text, licenses, quality_rules, sharding, simhash, suffix_array
 from duskwatch.llm.catalog import query
 
 
@@ -81,3 +81,11 @@ def op9(spark, sf_dir):
         "kept",
         "anomaly",
     )
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_array.deduplicate(docs, keep_first=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
