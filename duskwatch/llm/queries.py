@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, cotraining, html_text, licenses, quality_rules, sharding, simhash, suffix_array
+from duskwatch.llm import bpe, cotraining, debruijn, html_text, licenses, quality_rules, sharding, simhash, suffix_array
 from duskwatch.llm.catalog import query
 
 
@@ -18,6 +18,14 @@ def op1(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query("op2_debruijn_dedup")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return debruijn.deduplicate(docs, keep_first=False).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op3_quality_classifier")
 def op3(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
