@@ -201,11 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **paramete
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("quality > 0")).alias("_good"))
     sample = drawn.join(known, "doc_id", "left")
     views = sample.select(
-        "_at", F.coalesce(F.col("_good").cast("int"), F.lit(-1)).alias("_good"), _view_udf("array<float>")(*_inputs())
-        .alias("view"),
+        "_at", F.coalesce(F.col("_good").cast("int"), F.lit(-1)).alias("_good"), _view_bytes()(*_inputs()).alias("view"),
     ).toPandas()
-    views = views.assign(_tie=[v.tobytes() for v in views["view"]]).sort_values(["_at", "_tie"], kind="stable")
-    matrix = np.array(views["view"].tolist(), float)
+    if views.empty:
+        return None
+    views["view"] = views["view"].map(bytes)
+    views = views.sort_values(["_at", "view"], kind="stable")
+    matrix = np.frombuffer(b"".join(views["view"]), np.float32).reshape(len(views), -1).astype(float)
     width = text_view([b""]).shape[1]
     return co_train((matrix[:, :width], matrix[:, width:]), views["_good"].to_numpy(), **parameters)
 
@@ -219,11 +221,13 @@ def _views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Seri
     return text_view(raws), metadata_view(raws, lang.tolist(), source.tolist(), n_chars.tolist())
 
 
-def _view_udf(kind: str):
-    @F.pandas_udf(kind)
+def _view_bytes():
+    """Both views of a document as one row of 32-bit floats."""
+
+    @F.pandas_udf("binary")
     def view(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        a, b = _views(text, lang, source, n_chars)
-        return pd.Series(list(np.column_stack([a, b]).astype(np.float32)))
+        rows = np.column_stack(_views(text, lang, source, n_chars)).astype(np.float32)
+        return pd.Series([row.tobytes() for row in rows])
 
     return view
 
