@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, cotraining, debruijn, html_text, licenses, quality_rules, sharding, simhash, suffix_array
+from duskwatch.llm import bpe, cotraining, debruijn, decontaminate, html_text, licenses, quality_rules, sharding, simhash, suffix_array
 from duskwatch.llm.catalog import query
 
 
@@ -97,3 +97,9 @@ def op7(spark, sf_dir):
     return suffix_array.deduplicate(docs, keep_first=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs.select("doc_id", "text"), items).drop("_k1", "_k2")
