@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import text_bytes
+from duskwatch.llm.common import packed, text_bytes, unpacked
 
 # Words encoded by one recursive query, bytes of them, and ids decoded by one query.
 WORDS_PER_QUERY = 50_000
@@ -279,10 +279,13 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "d
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``docs`` with each text replaced by the decoding of its encoding (null: null), and ``n_tokens``."""
-    coded = encode(docs.withColumn("_null", F.col("text").isNull()), ranks_path, pattern)
-    back = decode(coded, ranks_path)
+    """``docs`` with each text replaced by the decoding of its encoding (null: null), ``ids`` and ``n_tokens``.
+
+    Input columns named ids or n_tokens are replaced.
+    """
+    held = packed(docs, "text").withColumn("_null", F.col("text").isNull())
+    back = decode(encode(held, ranks_path, pattern), ranks_path)
     text = F.when(~F.col("_null"), F.col("decoded").cast("string"))
     return back.withColumns({"text": text, "n_tokens": F.size("ids").cast("bigint")}).select(
-        *docs.columns, "n_tokens"
+        *unpacked(docs.columns, ("text",), ("ids", "n_tokens"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ def with_document_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns an operator reads, and all others as one column ``_rest`` that clashes with nothing."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    held = F.struct(*rest) if rest else F.lit(None).cast("int")
+    return docs.select(*[c for c in docs.columns if c in needed], held.alias("_rest"))
+
+
+def unpacked(columns: Sequence[str], needed: Sequence[str], added: Sequence[str] = ()) -> list[Column]:
+    """Select list for the columns of the input of ``packed`` and the ``added`` ones.
+
+    An input column with the name of an added one is replaced.
+    """
+    own = [
+        F.col(c) if c in needed else F.col(f"_rest.`{c}`").alias(c) for c in columns if c not in added
+    ]
+    return [*own, *map(F.col, added)]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import text_bytes
+from duskwatch.llm.common import packed, text_bytes, unpacked
 from duskwatch.llm.quality_rules import COUNTS, MORE, Statistics, features
 
 # Documents (expected) drawn for fitting, labelled or not; rounds of exchange; the
@@ -239,10 +239,12 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     own; a null text counts as empty. Without a model (no labels of both kinds)
     the probabilities are null and every document is kept.
     """
+    added = ("p_text", "p_meta", "p_good", "kept")
+    needed = ("text", *META)
+    held = packed(docs, *needed)
     if model is None:
-        return docs.withColumns(
-            {c: F.lit(None).cast("double") for c in ("p_text", "p_meta", "p_good")} | {"kept": F.lit(True)}
-        )
+        unknown = {c: F.lit(None).cast("double") for c in added[:3]} | {"kept": F.lit(True)}
+        return held.withColumns(unknown).select(*unpacked(docs.columns, needed, added))
 
     @F.pandas_udf("p_text double, p_meta double, p_good double")
     def views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
@@ -253,8 +255,10 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
         *[F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t)
           for c, t in zip(META, ("string", "string", "double"))],
     ]
-    scored = docs.withColumn("_p", views(*inputs))
-    return scored.select(*docs.columns, "_p.*").withColumn("kept", F.col("p_good") >= F.lit(model.threshold))
+    scored = held.withColumn("_p", views(*inputs)).select(*held.columns, "_p.*")
+    return scored.withColumn("kept", F.col("p_good") >= F.lit(model.threshold)).select(
+        *unpacked(docs.columns, needed, added)
+    )
 
 
 def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import stored, text_bytes, with_document_key
+from duskwatch.llm.common import packed, stored, text_bytes, unpacked, with_document_key
 from duskwatch.llm.repeats import Sequences, Shape, pieces, repeated_spans
 from duskwatch.llm.symbols import merged
 
@@ -104,13 +104,14 @@ def deduplicate(
     Texts without repeats keep their white space in ``text``; ``kept`` is always
     joined. Documents are ordered by doc_id (null last), then by a key of id and
     text; rows equal in both are one document given several times. A null text
-    stays null and has no words; an empty table gives no rows. Windows are judged
+    stays null and has no words; an empty table gives no rows. Input columns
+    with the name of an added one are replaced. Windows are judged
     on the input, over whole texts and all documents.
     """
     shape = Shape(words=True, window=window, gram=min(gram, window))
-    keyed = with_document_key(docs)
-    spans = repeated_spans(docs, shape, compare_words(shape), keep_first, keyed)
-    names = [c for c in docs.columns if c != "text"]
+    keyed = with_document_key(packed(docs, "doc_id", "text"))
+    spans = repeated_spans(shape, compare_words(shape), keep_first, keyed)
+    names = ["doc_id", "_rest"]
     joined = keyed.join(spans, ["_k1", "_k2"], "left").select(
         *names, F.col("text").isNull().alias("_null"), text_bytes().alias("_text"), "spans"
     )
@@ -147,4 +148,6 @@ def deduplicate(
         schema = schema.add(name, kind)
     done = joined.mapInArrow(run, schema)
     text = F.when(~F.col("_null"), F.col("_cut").cast("string"))
-    return done.withColumn("text", text).select(*docs.columns, "n_words", "n_removed", "kept")
+    return done.withColumn("text", text).select(
+        *unpacked(docs.columns, ("doc_id", "text"), ("n_words", "n_removed", "kept"))
+    )

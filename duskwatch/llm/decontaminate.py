@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import stored, with_document_key
+from duskwatch.llm.common import packed, stored, unpacked, with_document_key
 from duskwatch.llm.licenses import words_of
 
 SHINGLE = 5
@@ -233,4 +233,5 @@ def contaminated(
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = contaminated(docs, benchmark, **parameters).select("_k1", "_k2").distinct()
-    return with_document_key(docs).join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    keyed = with_document_key(packed(docs, "doc_id", "text"))
+    return keyed.join(found, ["_k1", "_k2"], "left_anti").select(*unpacked(docs.columns, ("doc_id", "text")))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.llm.common import packed, unpacked
+
 # What stands between words (ASCII other than letters and digits).
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases whose every place is reported, and their labels.
@@ -165,7 +167,7 @@ def scan(
     looked_up = sorted({w for w, *_ in postings} | {p[i] for p, i in zip(phrase_words, anchors)})
     rare = F.array(*[F.lit(w) for w in looked_up])
 
-    marked = docs.withColumn("_words", words_of())
+    marked = packed(docs, "text").withColumn("_words", words_of())
     has_rare = F.arrays_overlap("_words", rare)
     hits = F.when(
         has_rare,
@@ -205,14 +207,14 @@ def scan(
         F.array(*[F.when(F.col(f"_notice{i}") > 0, F.lit(label)) for i, (label, _, _) in enumerate(notices)])
     )
     score = F.greatest(*[F.col(n) for n in found], F.when(F.size(spots) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    rest = [c for c in docs.columns if c != "text"]
-    return marked.select(
-        *rest,
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.size(spots).cast("bigint").alias("n_base"),
-        F.array_min(spots).cast("bigint").alias("first_word"),
-        F.array_max(spots).cast("bigint").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, notice_labels))), ",").alias("labels"),
-        F.least(score, F.lit(1.0)).alias("score"),
-    )
+    added = {
+        "n_words": F.size("_words").cast("bigint"),
+        "n_base": F.size(spots).cast("bigint"),
+        "first_word": F.array_min(spots).cast("bigint"),
+        "last_word": F.array_max(spots).cast("bigint"),
+        "base_labels": F.array_join(F.array_sort(F.array_distinct(base_labels)), ","),
+        "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, notice_labels))), ","),
+        "score": F.least(score, F.lit(1.0)),
+    }
+    kept = [c for c in docs.columns if c != "text" and c not in added]
+    return marked.select(*unpacked(kept, ()), *[value.alias(name) for name, value in added.items()])

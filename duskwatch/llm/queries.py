@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from duskwatch.llm import bpe, cotraining, debruijn, decontaminate, html_text, licenses, quality_rules, sharding, simhash, suffix_array
 from duskwatch.llm.catalog import query
 
@@ -103,3 +104,6 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs.select("doc_id", "text"), items).drop("_k1", "_k2")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import stored, text_bytes, with_document_key
+from duskwatch.llm.common import stored, text_bytes
 from duskwatch.llm.symbols import Rolling, white_table, word_bounds
 
 RUNS = "_k1 bigint, _k2 bigint, _id bigint, kind int, h bigint, r1 bigint, r2 bigint, start int, n int"
@@ -213,11 +213,10 @@ def pieces(keyed: DataFrame, unlike: DataFrame, shape: Shape, cut: Callable, sch
 
 
 def repeated_spans(
-    docs: DataFrame,
     shape: Shape,
     compare: Callable[[DataFrame, DataFrame], DataFrame],
     keep_first: bool,
-    keyed: DataFrame | None = None,
+    keyed: DataFrame,
 ) -> DataFrame:
     """(_k1, _k2, spans): for every document with repeats, [start, end) symbols to remove.
 
@@ -227,7 +226,6 @@ def repeated_spans(
     With ``keep_first`` the first of equal windows stays: order is by doc_id
     (null last), document key and position.
     """
-    keyed = with_document_key(docs) if keyed is None else keyed
     runs = stored(cut_into_runs(keyed, shape), "runs")
     single = runs.where("kind = 0")
     repeated = single.groupBy("h").count().where("count > 1").select("h")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import components, freeze, text_bytes, with_document_key
+from duskwatch.llm.common import components, freeze, packed, text_bytes, unpacked, with_document_key
 
 SHINGLE = 3
 DISTANCE = 3
@@ -172,9 +172,11 @@ def keep_one_per_component(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = BLOCK_LIMIT
 ) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (a null id comes last)."""
-    keyed = with_document_key(docs)
+    keyed = with_document_key(packed(docs, "doc_id", "text"))
     placed = near_duplicate_components(keyed, ["doc_id", "_k1", "_k2"], shingle, distance, limit)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     winners = placed.groupBy("root").agg(F.min(order).alias("w")).select("w._k1", "w._k2")
     one_each = keyed.dropDuplicates(["_k1", "_k2"])
-    return one_each.join(winners, ["_k1", "_k2"], "left_semi").select(*docs.columns)
+    return one_each.join(winners, ["_k1", "_k2"], "left_semi").select(
+        *unpacked(docs.columns, ("doc_id", "text"))
+    )

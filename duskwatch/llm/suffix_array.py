@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import stored, text_bytes, with_document_key
+from duskwatch.llm.common import packed, stored, text_bytes, unpacked, with_document_key
 from duskwatch.llm.repeats import Shape, hashed_windows, intervals, pieces, repeated_spans
 from duskwatch.llm.symbols import merged
 
@@ -156,12 +156,12 @@ def deduplicate(
     Texts are UTF-8 bytes, so a cut may fall inside a code point: ``text`` drops
     the broken bytes at the cut, ``kept`` has every byte. A null text stays null
     and counts as empty; texts under ``least`` bytes stay; an empty table gives
-    no rows. Strings are judged on the input, whole texts, all documents.
+    no rows. Input columns with the name of an added one are replaced. Strings are judged on the input, whole texts, all documents.
     """
     shape = Shape(words=False, window=least, gram=min(gram, least))
-    keyed = with_document_key(docs)
-    spans = repeated_spans(docs, shape, compare_bytes(shape, limit), keep_first, keyed)
-    names = [c for c in docs.columns if c != "text"]
+    keyed = with_document_key(packed(docs, "doc_id", "text"))
+    spans = repeated_spans(shape, compare_bytes(shape, limit), keep_first, keyed)
+    names = ["doc_id", "_rest"]
     joined = keyed.join(spans, ["_k1", "_k2"], "left").select(
         *names, F.col("text").isNull().alias("_null"), text_bytes().alias("_text"), "spans"
     )
@@ -192,7 +192,9 @@ def deduplicate(
         schema = schema.add(name, kind)
     done = joined.mapInArrow(run, schema)
     text = F.when(~F.col("_null"), _utf8("kept"))
-    return done.withColumn("text", text).select(*docs.columns, "n_bytes", "n_removed", "n_spans", "kept")
+    return done.withColumn("text", text).select(
+        *unpacked(docs.columns, ("doc_id", "text"), ("n_bytes", "n_removed", "n_spans", "kept"))
+    )
 
 
 def _utf8(column: str):
