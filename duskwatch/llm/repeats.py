@@ -261,46 +261,82 @@ def repeated_spans(
     return found.union(local).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def hashed_windows(pieces_of: DataFrame, shape: Shape) -> DataFrame:
+def hashed_windows(pieces_of: DataFrame, shape: Shape, step: int = 16) -> DataFrame:
     """Others and earlier for runs of anchors too many to compare in one task.
 
-    Each window is one row keyed by its hash; equal windows are counted with
-    map-side combining, so no anchor fills a task.
+    Equal windows hold their anchor at the same offset. Windows whose offsets fall
+    into one stretch of ``step`` have a core in common; a stretch whose core no
+    other run has cannot hold a repeat and is dropped. Each window left is one row
+    keyed by its hash, and equal windows are counted with map-side combining, so
+    no anchor fills a task.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(101), Rolling(202)
+    run_of = ["h", "r1", "r2", "n"]
+    own = pieces_of.select(*run_of, "first").schema
+    wide = pieces_of.select(*run_of, "first", "piece")
+
+    def stretches(sequences: Sequences, piece: pa.Scalar):
+        values = _values(piece)
+        one, two = sequences.one.prefix(values), sequences.two.prefix(values)
+        count = len(one) - shape.window
+        anchor = int(sequences.anchors(one)[1][0])
+        return one, two, (anchor - np.arange(count)) // step, anchor
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences = Sequences(shape)
+        for batch in batches:
+            who, part, left, right = [], [], [], []
+            for i, piece in enumerate(batch.column(5)):
+                one, two, of_window, anchor = stretches(sequences, piece)
+                j = np.unique(of_window)
+                a, b = anchor - j * step, anchor - (j + 1) * step + 1 + shape.window
+                who.append(np.full(len(j), i))
+                part.append(j.astype(np.int32))
+                a = np.maximum(a, 0)
+                left.append(sequences.one.slices(one, a, b).view(np.int64))
+                right.append(sequences.two.slices(two, a, b).view(np.int64))
+            if who:
+                who = pa.array(np.concatenate(who))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i).take(who) for i in range(4)],
+                     *[pa.array(np.concatenate(c)) for c in (part, left, right)]],
+                    [*run_of, "part", "c1", "c2"],
+                )
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences = Sequences(shape)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("piece"))
             who, at, left, right = [], [], [], []
-            for i, piece in enumerate(column):
-                a, b = one.prefix(_values(piece)), two.prefix(_values(piece))
-                a, b = one.grams(a, shape.window), two.grams(b, shape.window)
-                who.append(np.full(len(a), i))
-                at.append(np.arange(len(a), dtype=np.int32))
-                left.append(a.view(np.int64))
-                right.append(b.view(np.int64))
-            who = pa.array(np.concatenate(who))
-            kept = batch.select(["h", "r1", "r2", "n", "first"])
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(who) for c in kept.columns], *[pa.array(np.concatenate(c)) for c in (at, left, right)]],
-                [*kept.schema.names, "at", "e1", "e2"],
-            )
-
-    base = pieces_of.select("h", "r1", "r2", "n", "first").schema
-    windows = pieces_of.mapInArrow(
-        run, _with(base, [("at", "integer"), ("e1", "long"), ("e2", "long")])
+            for i, (piece, parts) in enumerate(zip(batch.column(5), batch.column(6))):
+                one, two, of_window, _ = stretches(sequences, piece)
+                mine = np.flatnonzero(np.isin(of_window, parts.values.to_numpy()))
+                who.append(np.full(len(mine), i))
+                at.append(mine.astype(np.int32))
+                left.append(sequences.one.slices(one, mine, mine + shape.window).view(np.int64))
+                right.append(sequences.two.slices(two, mine, mine + shape.window).view(np.int64))
+            if who:
+                who = pa.array(np.concatenate(who))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i).take(who) for i in range(5)],
+                     *[pa.array(np.concatenate(c)) for c in (at, left, right)]],
+                    [*run_of, "first", "at", "e1", "e2"],
+                )
+
+    cored = wide.mapInArrow(
+        cores, _with(pieces_of.select(*run_of).schema, [("part", "integer"), ("c1", "long"), ("c2", "long")])
+    )
+    shared = cored.groupBy("c1", "c2").count().where("count > 1").drop("count")
+    parts = cored.join(shared, ["c1", "c2"], "left_semi").groupBy(*run_of).agg(F.collect_list("part").alias("parts"))
+    chosen = wide.join(parts, run_of).select(*run_of, "first", "piece", "parts")
+    rows = chosen.mapInArrow(windows, _with(own, [("at", "integer"), ("e1", "long"), ("e2", "long")]))
+    total = (
+        rows.groupBy("e1", "e2")
+        .agg(F.count("*").alias("runs"), F.min(F.struct("first", "at")).alias("low"))
+        .where("runs > 1")
     )
-    order = F.struct("first", "at")
-    total = windows.groupBy("e1", "e2").agg(F.count("*").alias("runs"), F.min(order).alias("low")).where("runs > 1")
-    again = windows.join(total, ["e1", "e2"]).withColumn("is_first", order == F.col("low"))
-    return again.groupBy("h", "r1", "r2", "n").agg(
-        F.collect_list(F.struct("at", (F.col("at") + 1).alias("end"))).alias("others"),
-        F.collect_list(F.when(~F.col("is_first"), F.struct("at", (F.col("at") + 1).alias("end")))).alias("earlier"),
-    ).selectExpr(
-        "h", "r1", "r2", "n",
-        "transform(others, x -> named_struct('start', x.at, 'end', x.end)) AS others",
-        "transform(earlier, x -> named_struct('start', x.at, 'end', x.end)) AS earlier",
+    again = rows.join(total, ["e1", "e2"]).withColumn("later", F.struct("first", "at") != F.col("low"))
+    span = F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
+    return again.groupBy(*run_of).agg(
+        F.collect_list(span).alias("others"), F.collect_list(F.when(F.col("later"), span)).alias("earlier")
     )
 
 
