@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,24 @@ def unpacked(columns: Sequence[str], needed: Sequence[str], added: Sequence[str]
     return [*own, *map(F.col, added)]
 
 
+def with_zipped_text(keyed: DataFrame) -> DataFrame:
+    """``text`` as ``_zip`` (compressed bytes) and ``_null``, for shuffles that carry whole texts."""
+    @F.pandas_udf("binary")
+    def zipped(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        return texts.map(zstandard.ZstdCompressor(level=1).compress)
+
+    return keyed.withColumns({"_zip": zipped(text_bytes()), "_null": F.col("text").isNull()}).drop("text")
+
+
+def unzip():
+    """The function that undoes ``with_zipped_text`` for one value, inside a task."""
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back."""
     spark = df.sparkSession

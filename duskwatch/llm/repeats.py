@@ -26,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from duskwatch.llm.common import stored, text_bytes
+from duskwatch.llm.common import stored, text_bytes, unzip
 from duskwatch.llm.symbols import Rolling, white_table, word_bounds
 
 RUNS = "_k1 bigint, _k2 bigint, _id bigint, kind int, h bigint, r1 bigint, r2 bigint, start int, n int"
+_BINARY, _LONGS = T.BinaryType(), T.ArrayType(T.LongType())
 LOCAL_ANY, LOCAL_LATER = 1, 2  # kinds of rows that are repeats inside one document
 
 
@@ -169,47 +171,43 @@ def variants_of(runs: DataFrame) -> DataFrame:
     return distinct
 
 
-def pieces(keyed: DataFrame, unlike: DataFrame, shape: Shape, cut: Callable, schema: str) -> DataFrame:
-    """Fetch the symbols of runs from the document that holds each first.
+def pieces(
+    zipped: DataFrame, unlike: DataFrame, shape: Shape, cut: Callable, kind: str, carried: list[str]
+) -> DataFrame:
+    """``carried`` columns of ``unlike`` and ``piece``: symbols of runs, from the document that holds each first.
 
     ``cut(sequences, raw)`` is called once per document and returns a function of
-    (start, n) giving the values of one run as an Arrow-compatible list.
+    (start, n) giving the values of one run (bytes, or numpy longs).
     """
+    at = [F.col("first.start").alias("_start"), F.col("n").alias("_n")]
     wanted = unlike.groupBy(F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")).agg(
-        F.collect_list(F.struct("h", "r1", "r2", "n", "times", "of_anchor", "first")).alias("wanted")
+        F.collect_list(F.struct(*carried, *at)).alias("wanted")
     )
-    texts = keyed.select("_k1", "_k2", text_bytes().alias("_text"))
-    # Equal documents given several times hold the same symbols: any of them will do.
-    joined = texts.join(wanted, ["_k1", "_k2"]).select("wanted", "_text")
+    # Equal documents given several times hold the same symbols, and each may answer.
+    joined = zipped.select("_k1", "_k2", "_zip").join(wanted, ["_k1", "_k2"]).select("wanted", "_zip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences = Sequences(shape)
+        sequences, open_text = Sequences(shape), unzip()
         for batch in batches:
-            rows, values = [], []
-            for wanted, text in zip(batch.column(0), batch.column(1)):
-                items = wanted.as_py()
-                of_run = cut(sequences, text.as_py())
-                for item in items:
-                    rows.append(item)
-                    values.append(of_run(item["first"]["start"], item["n"]))
-            names = ("h", "r1", "r2", "n", "times", "of_anchor")
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            place = [("no_id", pa.bool_()), ("_id", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("start", pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds)],
-                    pa.array([r["first"] for r in rows], pa.struct(place)),
-                    pa.array(values, out),
-                ],
-                [*names, "first", "piece"],
-            )
+            lists = batch.column(0)
+            starts = lists.values.field("_start").to_numpy(zero_copy_only=False)
+            counts = lists.values.field("_n").to_numpy(zero_copy_only=False)
+            offsets = lists.offsets.to_pylist()
+            values = []
+            for i, text in enumerate(batch.column(1)):
+                of_run = cut(sequences, open_text(text.as_py()))
+                values += [of_run(starts[j], counts[j]) for j in range(offsets[i], offsets[i + 1])]
+            if not values:
+                continue
+            if kind == "binary":
+                piece = pa.array(values, pa.binary())
+            else:
+                ends = np.cumsum([0, *map(len, values)])
+                piece = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), pa.int64()))
+            inner = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+            yield pa.RecordBatch.from_arrays([*[inner.field(c) for c in carried], piece], [*carried, "piece"])
 
-    out = {"binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}[schema]
-    return joined.mapInArrow(
-        run,
-        "h bigint, r1 bigint, r2 bigint, n int, times bigint, of_anchor bigint, "
-        "first struct<no_id:boolean,_id:bigint,_k1:bigint,_k2:bigint,start:int>, piece " + schema,
-    )
+    return joined.mapInArrow(run, unlike.select(*carried).schema.add("piece", _BINARY if kind == "binary" else _LONGS))
 
 
 def repeated_spans(
@@ -217,10 +215,11 @@ def repeated_spans(
     compare: Callable[[DataFrame, DataFrame], DataFrame],
     keep_first: bool,
     keyed: DataFrame,
+    zipped: DataFrame,
 ) -> DataFrame:
     """(_k1, _k2, spans): for every document with repeats, [start, end) symbols to remove.
 
-    ``compare(keyed, unlike)`` decides step 4: for each distinct run around an
+    ``compare(zipped, unlike)`` decides step 4: for each distinct run around an
     anchor with several of them it gives the window offsets found elsewhere
     (``others``) and found earlier (``earlier``) as lists of (start, end).
     With ``keep_first`` the first of equal windows stays: order is by doc_id
@@ -232,8 +231,9 @@ def repeated_spans(
     kept = stored(single.join(repeated, "h", "left_semi"), "repeated-runs")
     variants = stored(variants_of(kept), "variants")
     several = variants.groupBy("h").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1")
+    # Every distinct run around such an anchor, with its number of runs.
     unlike = variants.join(several, "h")
-    decided = compare(keyed, unlike)
+    decided = compare(zipped, unlike)
     verdict = (
         variants.join(decided, ["h", "r1", "r2", "n"], "left")
         .where("times > 1 OR others IS NOT NULL")
@@ -330,8 +330,9 @@ def hashed_windows(pieces_of: DataFrame, shape: Shape, step: int = 16) -> DataFr
     rows = chosen.mapInArrow(windows, _with(own, [("at", "integer"), ("e1", "long"), ("e2", "long")]))
     total = (
         rows.groupBy("e1", "e2")
-        .agg(F.count("*").alias("runs"), F.min(F.struct("first", "at")).alias("low"))
-        .where("runs > 1")
+        .agg(F.min(F.struct("first", "at")).alias("low"), F.max(F.struct("first", "at")).alias("high"))
+        .where("low != high")  # rows equal in id and text are one place
+        .drop("high")
     )
     again = rows.join(total, ["e1", "e2"]).withColumn("later", F.struct("first", "at") != F.col("low"))
     span = F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))

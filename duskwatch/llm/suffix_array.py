@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import packed, stored, text_bytes, unpacked, with_document_key
+from duskwatch.llm.common import packed, stored, unpacked, unzip, with_document_key, with_zipped_text
 from duskwatch.llm.repeats import Shape, hashed_windows, intervals, pieces, repeated_spans
 from duskwatch.llm.symbols import merged
 
@@ -104,6 +104,8 @@ def _arrays(least: int):
                     yield decide(held)
                     held, suffixes = [], 0
                 anchor = row[0]
+                if held and held[-1][:4] == row[:4]:
+                    continue  # from a row equal in id and text
                 held.append(row)
                 suffixes += row[3]
         if held:
@@ -123,8 +125,9 @@ def compare_bytes(shape: Shape, limit: int):
     def cut(_, raw: bytes):
         return lambda start, n: raw[start : start + n - 1 + shape.window]
 
-    def compare(keyed: DataFrame, unlike: DataFrame) -> DataFrame:
-        fetched = stored(pieces(keyed, unlike, shape, cut, "binary"), "pieces")
+    def compare(zipped: DataFrame, unlike: DataFrame) -> DataFrame:
+        carried = ["h", "r1", "r2", "n", "of_anchor", "first"]
+        fetched = stored(pieces(zipped, unlike, shape, cut, "binary", carried), "pieces")
         few = (
             fetched.where(F.col("of_anchor") <= limit)
             .select("h", "r1", "r2", "n", "piece", "first")
@@ -160,18 +163,18 @@ def deduplicate(
     """
     shape = Shape(words=False, window=least, gram=min(gram, least))
     keyed = with_document_key(packed(docs, "doc_id", "text"))
-    spans = repeated_spans(shape, compare_bytes(shape, limit), keep_first, keyed)
-    names = ["doc_id", "_rest"]
-    joined = keyed.join(spans, ["_k1", "_k2"], "left").select(
-        *names, F.col("text").isNull().alias("_null"), text_bytes().alias("_text"), "spans"
-    )
+    zipped = with_zipped_text(keyed)
+    spans = repeated_spans(shape, compare_bytes(shape, limit), keep_first, keyed, zipped)
+    names = ["doc_id", "_rest", "_null"]
+    joined = zipped.join(spans, ["_k1", "_k2"], "left").select(*names, "_zip", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_text = unzip()
         for batch in batches:
             n = batch.num_columns
             kept, counts = [], []
             for text, cuts in zip(batch.column(n - 2), batch.column(n - 1)):
-                raw = text.as_py()
+                raw = open_text(text.as_py())
                 if not cuts.is_valid:
                     kept.append(raw)
                     counts.append((len(raw), 0, 0))
@@ -187,7 +190,7 @@ def deduplicate(
                 [*batch.schema.names[: n - 2], "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    schema = joined.select(*names, "_null").schema
+    schema = joined.select(*names).schema
     for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
     done = joined.mapInArrow(run, schema)

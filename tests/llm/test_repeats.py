@@ -76,10 +76,11 @@ def as_bytes(text: str) -> bytes:
 
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_words_match_brute_force(spark, seed, keep_first):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_words_match_brute_force(spark, seed, keep_first, limit):
     texts = corpus(seed)
     rows = list(enumerate(texts))
-    found = debruijn.deduplicate(spark.createDataFrame(rows, SCHEMA), 12, keep_first, gram=5).collect()
+    found = debruijn.deduplicate(spark.createDataFrame(rows, SCHEMA), 12, keep_first, gram=5, limit=limit).collect()
     marks = (removed_later if keep_first else removed_all)(texts, as_words, 12)
     for row in found:
         words, mask = as_words(texts[row.doc_id]), marks[row.doc_id]
