@@ -264,42 +264,52 @@ def repeated_spans(
 def hashed_windows(pieces_of: DataFrame, shape: Shape, step: int = 16) -> DataFrame:
     """Others and earlier for runs of anchors too many to compare in one task.
 
-    Equal windows hold their anchor at the same offset. Windows whose offsets fall
-    into one stretch of ``step`` have a core in common; a stretch whose core no
-    other run has cannot hold a repeat and is dropped. Each window left is one row
-    keyed by its hash, and equal windows are counted with map-side combining, so
-    no anchor fills a task.
+    Equal windows hold their anchor at the same offset, so each run is cut into
+    stretches of windows whose offsets fall into one range of ``step``. Stretches
+    that are equal as a whole repeat each other, and the first of them stands for
+    all in what follows. The windows of a stretch have a core in common; a stretch
+    whose core no unlike stretch has holds no other repeat. Windows left are one
+    row each, keyed by their hash; equal ones meet in a grouped minimum and maximum
+    of their places, with map-side combining, so no anchor fills a task.
     """
     run_of = ["h", "r1", "r2", "n"]
-    own = pieces_of.select(*run_of, "first").schema
     wide = pieces_of.select(*run_of, "first", "piece")
 
-    def stretches(sequences: Sequences, piece: pa.Scalar):
+    def open_run(sequences: Sequences, piece: pa.Scalar):
         values = _values(piece)
         one, two = sequences.one.prefix(values), sequences.two.prefix(values)
         count = len(one) - shape.window
         anchor = int(sequences.anchors(one)[1][0])
         return one, two, (anchor - np.arange(count)) // step, anchor
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = Sequences(shape)
         for batch in batches:
-            who, part, left, right = [], [], [], []
+            who, found = [], [[] for _ in range(7)]
             for i, piece in enumerate(batch.column(5)):
-                one, two, of_window, anchor = stretches(sequences, piece)
-                j = np.unique(of_window)
-                a, b = anchor - j * step, anchor - (j + 1) * step + 1 + shape.window
-                who.append(np.full(len(j), i))
-                part.append(j.astype(np.int32))
-                a = np.maximum(a, 0)
-                left.append(sequences.one.slices(one, a, b).view(np.int64))
-                right.append(sequences.two.slices(two, a, b).view(np.int64))
+                one, two, of_window, anchor = open_run(sequences, piece)
+                edge = np.flatnonzero(of_window[1:] != of_window[:-1]) + 1
+                starts, ends = np.concatenate([[0], edge]), np.append(edge, len(of_window))
+                part = of_window[starts]
+                core, after = np.maximum(anchor - part * step, 0), anchor - (part + 1) * step + 1 + shape.window
+                stop = ends - 1 + shape.window
+                who.append(np.full(len(part), i))
+                for held, values in zip(
+                    found,
+                    (
+                        part.astype(np.int32), starts.astype(np.int32), (ends - starts).astype(np.int32),
+                        sequences.one.slices(one, core, after).view(np.int64),
+                        sequences.two.slices(two, core, after).view(np.int64),
+                        sequences.one.slices(one, starts, stop).view(np.int64),
+                        sequences.two.slices(two, starts, stop).view(np.int64),
+                    ),
+                ):
+                    held.append(values)
             if who:
                 who = pa.array(np.concatenate(who))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).take(who) for i in range(4)],
-                     *[pa.array(np.concatenate(c)) for c in (part, left, right)]],
-                    [*run_of, "part", "c1", "c2"],
+                    [*[batch.column(i).take(who) for i in range(5)], *[pa.array(np.concatenate(c)) for c in found]],
+                    [*run_of, "first", "part", "start", "count", "c1", "c2", "s1", "s2"],
                 )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +317,7 @@ def hashed_windows(pieces_of: DataFrame, shape: Shape, step: int = 16) -> DataFr
         for batch in batches:
             who, at, left, right = [], [], [], []
             for i, (piece, parts) in enumerate(zip(batch.column(5), batch.column(6))):
-                one, two, of_window, _ = stretches(sequences, piece)
+                one, two, of_window, _ = open_run(sequences, piece)
                 mine = np.flatnonzero(np.isin(of_window, parts.values.to_numpy()))
                 who.append(np.full(len(mine), i))
                 at.append(mine.astype(np.int32))
@@ -318,25 +328,36 @@ def hashed_windows(pieces_of: DataFrame, shape: Shape, step: int = 16) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).take(who) for i in range(5)],
                      *[pa.array(np.concatenate(c)) for c in (at, left, right)]],
-                    [*run_of, "first", "at", "e1", "e2"],
+                    [*run_of, "first", "start", "e1", "e2"],
                 )
 
-    cored = wide.mapInArrow(
-        cores, _with(pieces_of.select(*run_of).schema, [("part", "integer"), ("c1", "long"), ("c2", "long")])
+    own = wide.drop("piece").schema
+    longs = ["c1", "c2", "s1", "s2"]
+    counts = [(n, "integer") for n in ("part", "start", "count")]
+    stretches = wide.mapInArrow(cut, _with(own, [*counts, *[(n, "long") for n in longs]]))
+    place = F.struct("first", "start")
+    alike = stretches.groupBy("s1", "s2").agg(
+        F.min(F.struct("first", "start", *run_of, "part", "c1", "c2")).alias("low"), F.max(place).alias("high")
     )
-    shared = cored.groupBy("c1", "c2").count().where("count > 1").drop("count")
-    parts = cored.join(shared, ["c1", "c2"], "left_semi").groupBy(*run_of).agg(F.collect_list("part").alias("parts"))
+    low = F.struct("low.first", "low.start")
+    whole = (
+        stretches.join(alike.select("s1", "s2", low.alias("low"), "high").where("low != high"), ["s1", "s2"])
+        # Rows equal in id and text are one place.
+        .select(*run_of, "start", (F.col("start") + F.col("count")).alias("end"), (place != F.col("low")).alias("later"))
+    )
+    leaders = alike.select("low.*")
+    shared = leaders.groupBy("c1", "c2").count().where("count > 1").drop("count")
+    parts = leaders.join(shared, ["c1", "c2"], "left_semi").groupBy(*run_of).agg(F.collect_list("part").alias("parts"))
     chosen = wide.join(parts, run_of).select(*run_of, "first", "piece", "parts")
-    rows = chosen.mapInArrow(windows, _with(own, [("at", "integer"), ("e1", "long"), ("e2", "long")]))
+    rows = chosen.mapInArrow(windows, _with(own, [("start", "integer"), ("e1", "long"), ("e2", "long")]))
     total = (
-        rows.groupBy("e1", "e2")
-        .agg(F.min(F.struct("first", "at")).alias("low"), F.max(F.struct("first", "at")).alias("high"))
-        .where("low != high")  # rows equal in id and text are one place
-        .drop("high")
+        rows.groupBy("e1", "e2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").drop("high")
+    )
+    single = rows.join(total, ["e1", "e2"]).select(
+        *run_of, "start", (F.col("start") + 1).alias("end"), (place != F.col("low")).alias("later")
     )
-    again = rows.join(total, ["e1", "e2"]).withColumn("later", F.struct("first", "at") != F.col("low"))
-    span = F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    return again.groupBy(*run_of).agg(
+    span = F.struct("start", "end")
+    return whole.union(single).groupBy(*run_of).agg(
         F.collect_list(span).alias("others"), F.collect_list(F.when(F.col("later"), span)).alias("earlier")
     )
 
@@ -347,7 +368,8 @@ def _values(piece: pa.Scalar) -> np.ndarray:
     return piece.values.to_numpy().view(np.uint64)
 
 
-def _with(schema, more):
+def _with(schema: T.StructType, more: list[tuple[str, str]]) -> T.StructType:
+    wider = T.StructType(list(schema.fields))
     for name, kind in more:
-        schema = schema.add(name, kind)
-    return schema
+        wider.add(name, kind)
+    return wider
