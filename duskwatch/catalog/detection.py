@@ -156,7 +156,7 @@ FROM (SELECT *, CAST(split_part(source_ip, '.', 1) AS BIGINT) * 16777216 + CAST(
 LEFT JOIN geo_ranges g ON s.ip BETWEEN g.ip_start AND g.ip_end"""
 _GEO = (
     f"SELECT 'geo_anomaly' AS anomaly_type, \"user\", string_agg(country, ',' ORDER BY country) AS countries, "
-    f"{_text(fixed.REASON_GEO_ANOMALY, chr(34) + 'user' + chr(34), 'count(*)', 'count(*)')} AS reason "
+    f"{_text(fixed.REASON_GEO_ANOMALY, chr(34) + 'user' + chr(34), '24', 'count(*)')} AS reason "
     f"FROM ({_VISITS}) GROUP BY \"user\" HAVING count(*) > 1"
 )
 

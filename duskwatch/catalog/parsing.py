@@ -192,7 +192,7 @@ def _labelled(spark, sf):
     return D.parse_labelled(_lines(spark, sf, "labelled"))
 
 
-@query("non_blank_document_lines", r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, ' ') <> '' GROUP BY ALL")
+@query("non_blank_document_lines", r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' GROUP BY ALL")
 def _blank(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return D.non_blank(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
@@ -236,7 +236,7 @@ _TIMED = """SELECT user_id AS seq_id, CAST(row_number() OVER (PARTITION BY user_
 @query(
     "detected_timestamps",
     f"""WITH lines AS ({_TIMED}), pat AS (SELECT *, regexp_matches(line, '\\d{{4}}-\\d{{2}}-\\d{{2}}T') AS iso, regexp_matches(line, '\\d{{4}}-\\d{{2}}-\\d{{2}} ') AS std, regexp_matches(line, '\\d{{4}}/\\d{{2}}/\\d{{2}}') AS sl FROM lines),
-    vote AS (SELECT seq_id, CASE WHEN count(*) FILTER (iso) >= count(*) / 2 THEN 'iso' WHEN count(*) FILTER (std) >= count(*) / 2 THEN 'std' WHEN count(*) FILTER (sl) >= count(*) / 2 THEN 'sl' END AS kind FROM pat WHERE idx < 10 GROUP BY ALL),
+    vote AS (SELECT seq_id, CASE WHEN count(*) FILTER (iso) >= count(*) / 2 THEN 'iso' WHEN count(*) FILTER (std) >= count(*) / 2 THEN 'std' WHEN count(*) FILTER (sl) >= count(*) / 2 THEN 'sl' END AS kind FROM pat GROUP BY ALL),
     rd AS (SELECT p.seq_id, idx, CASE WHEN kind = 'iso' AND iso THEN date_trunc('second', ts) WHEN kind = 'std' AND std THEN date_trunc('second', ts) WHEN kind = 'sl' AND sl THEN date_trunc('day', ts) END AS t FROM pat p JOIN vote v ON p.seq_id = v.seq_id),
     ok AS (SELECT *, CASE WHEN count(t) OVER (PARTITION BY seq_id) >= count(*) OVER (PARTITION BY seq_id) * 0.5 THEN t END AS t2 FROM rd)
     SELECT seq_id, idx, CAST(coalesce(last_value(t2 IGNORE NULLS) OVER (PARTITION BY seq_id ORDER BY idx ROWS UNBOUNDED PRECEDING),

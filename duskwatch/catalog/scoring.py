@@ -257,7 +257,7 @@ def _novelty(spark, sf):
 )
 def _contrastive(spark, sf):
     rows = _embeddings(spark, sf)
-    found = nearest(rows, scores.recent_queue(rows, "vec_id"), 1, "vec_id", metric="cosine")
+    found = nearest(rows, scores.recent_queue(rows, "vec_id", fixed.QUEUE_LIMIT), 1, "vec_id", metric="cosine")
     return found.select("vec_id", rounded(F.get("neighbours", F.lit(0))["distance"], "raw"))
 
 
@@ -269,7 +269,7 @@ def _contrastive(spark, sf):
 )
 def _contrastive_scaled(spark, sf):
     rows = _embeddings(spark, sf)
-    queue = scores.recent_queue(rows.filter("label = 0"), "vec_id")
+    queue = scores.recent_queue(rows.filter("label = 0"), "vec_id", fixed.QUEUE_LIMIT)
     return scores.contrastive_distance(rows, queue, "vec_id").select("vec_id", rounded("contrastive_distance"))
 
 

@@ -44,8 +44,9 @@ def moment(as_of: datetime | str | Column) -> Column:
 
 
 def since(ts: str | Column, as_of: datetime | str | Column, minutes: int) -> Column:
-    """``ts >= as_of - minutes``; no upper bound."""
-    return col(ts) >= moment(as_of) - F.expr(f"INTERVAL '{int(minutes)}' MINUTE")
+    """``as_of - minutes <= ts <= as_of``: nothing after ``as_of`` counts, so back-fills are right."""
+    end = moment(as_of)
+    return (col(ts) >= end - F.expr(f"INTERVAL '{int(minutes)}' MINUTE")) & (col(ts) <= end)
 
 
 def hour_between(ts: str | Column, first: int, last: int) -> Column:

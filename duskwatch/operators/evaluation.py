@@ -22,7 +22,7 @@ from duskwatch.functions.predicates import excludes_all, score_band
 from duskwatch.operators.features import build_bank, hash_sample
 from duskwatch.operators.neighbours import _matrix
 from duskwatch.operators.scores import lof
-from duskwatch.plans.ordering import blocks, freeze, percentiles, row_index, scan
+from duskwatch.plans.ordering import blocks, freeze, percentiles, row_index, same_keys, scan
 
 # --- with labels ---------------------------------------------------------------
 
@@ -37,7 +37,7 @@ def curve(rows: DataFrame, keys: Sequence[str] = (), score: str = "score", label
     running = scan(grouped.withColumn("_down", -F.col("score")), ["_down"], keys, sums={"tp": "pos", "fp": "neg"})
     running = running.drop("_down")
     if keys:
-        return running.join(totals, keys)
+        return same_keys(running, totals, keys)
     p, n = totals.first()
     return running.withColumns({"p": F.lit(p), "n": F.lit(n)})
 
@@ -121,7 +121,7 @@ def _histogram(rows: DataFrame, keys: list[str], bins: int, score: str = "score"
     """Non-empty bins of equal width between the smallest and largest score of the keys."""
     bounds = rows.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     if keys:
-        joined = rows.join(bounds, keys)
+        joined = same_keys(rows, bounds, keys)
     else:
         low, high = bounds.first()
         joined = rows.withColumns({"_lo": F.lit(low), "_hi": F.lit(high)})
@@ -143,7 +143,7 @@ def _histogram(rows: DataFrame, keys: list[str], bins: int, score: str = "score"
 _QUANTILES = {"median": 0.5, "percentile_95": 0.95, "percentile_99": 0.99, "q1": 0.25, "q3": 0.75}
 
 
-def distribution(rows: DataFrame, keys: Sequence[str] = (), score: str = "score", **options) -> DataFrame:
+def distribution(rows: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
     """Location, spread, shape and exact quantiles of scores."""
     keys = list(keys)
     column = F.col(score)
@@ -159,9 +159,9 @@ def distribution(rows: DataFrame, keys: Sequence[str] = (), score: str = "score"
         F.kurtosis(column).alias("kurtosis"),
         ((top - mean) / F.nullif(std, F.lit(0.0))).alias("separation_index"),
     )
-    quantiles = percentiles(rows, score, _QUANTILES, keys, **options)
+    quantiles = percentiles(rows, score, _QUANTILES, keys)
     if keys:
-        both = moments.join(quantiles, keys)
+        both = same_keys(moments, quantiles, keys)
     else:
         both = moments.withColumns({n: F.lit(v).cast("double") for n, v in quantiles.first().asDict().items()})
     return both.withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -392,13 +392,9 @@ def spatial_density(rows: DataFrame, key: str, k: int = 20, share: float = 0.1,
     ).withColumn("density_ratio", F.col("top10pct_density") / (F.col("rest_density") + F.lit(1e-10)))
 
 
-def mean_lof_label(rows: DataFrame, key: str, k: int = 20, sample: int = fixed.BANK_LIMIT, vec: str = "vec") -> DataFrame:
-    """Mean outlier label (1 where the factor is above 1.5, else -1) and mean factor.
-
-    More than ``sample`` rows are represented by a sample in hash order, which
-    is how the figure is defined.
-    """
-    chosen = freeze(build_bank(rows, key, vec, sample))
+def mean_lof_label(rows: DataFrame, key: str, k: int = 20, vec: str = "vec") -> DataFrame:
+    """Mean outlier label (1 where the factor is above 1.5, else -1) and mean factor, over all rows."""
+    chosen = freeze(build_bank(rows, key, vec))
     factors = lof(chosen, "bank_id", k, "vec")
     return factors.agg(
         F.avg(F.when(F.col("lof") > fixed.LOF_OFFSET, 1.0).otherwise(-1.0)).alias("lof_score"),

@@ -150,11 +150,10 @@ def hash_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return kept.orderBy(digest, key).limit(limit)
 
 
-def build_bank(rows: DataFrame, key: str, vec: str = "vec", limit: int = fixed.BANK_LIMIT) -> DataFrame:
-    """The bank of reference vectors ``bank_id, vec``: all rows, or ``limit`` rows in hash order.
-
-    The bound is part of the definition of the bank.
-    """
+def build_bank(rows: DataFrame, key: str, vec: str = "vec", limit: int | None = None) -> DataFrame:
+    """The bank of reference vectors ``bank_id, vec``: all rows, or ``limit`` rows in hash order if asked for."""
+    if limit is None:
+        return rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec"))
     return hash_sample(rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec")), "bank_id", limit)
 
 

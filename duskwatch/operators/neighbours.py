@@ -1,6 +1,6 @@
 """Exact nearest neighbours of vectors in a bank.
 
-A bank of up to ``fixed.BANK_LIMIT`` vectors (the bound the bank builder keeps)
+A bank of up to ``fixed.BANK_LIMIT`` vectors (counted before it is fetched)
 is broadcast and each Arrow batch of queries is compared with it as one matrix
 product: no shuffle and no pair rows. A larger bank is cut into blocks; queries
 and blocks meet by an equi-join on (query chunk, block), each task returns only

@@ -202,7 +202,7 @@ def message_has(term: str, message: str = "message") -> Column:
 
 
 def time_filter(rows: DataFrame, intent: dict[str, Any], as_of, ts: str = "timestamp") -> DataFrame:
-    """Look-back for relative ranges, closed range otherwise, 24 hours when nothing is given."""
+    """Look-back that ends at ``as_of`` for relative ranges, closed range otherwise, 24 hours when nothing is given."""
     column = F.col(ts)
     if intent.get("time_type", "relative") != "relative":
         start, end = intent.get("time_start"), intent.get("time_end")
@@ -212,8 +212,10 @@ def time_filter(rows: DataFrame, intent: dict[str, Any], as_of, ts: str = "times
             if end is not None:
                 rows = rows.filter(column <= moment(end))
             return rows
-        return rows.filter(column >= back_from(as_of, 24, "hour"))
-    return rows.filter(column >= back_from(as_of, int(intent.get("time_value") or 24), intent.get("time_unit") or "hour"))
+        start = back_from(as_of, 24, "hour")
+    else:
+        start = back_from(as_of, int(intent.get("time_value") or 24), intent.get("time_unit") or "hour")
+    return rows.filter((column >= start) & (column <= moment(as_of)))
 
 
 def _matching(logs: DataFrame, intent: dict[str, Any], as_of, status: bool = True) -> DataFrame:

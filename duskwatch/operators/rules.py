@@ -170,7 +170,7 @@ def geo_anomaly(logs: DataFrame, ranges: DataFrame, as_of, hours: int = 1) -> Da
         "user",
         "countries",
         F.format_string(
-            fixed.REASON_GEO_ANOMALY, F.col("user"), number.cast("string"), number.cast("string")
+            fixed.REASON_GEO_ANOMALY, F.col("user"), F.lit(str(hours)), number.cast("string")
         ).alias("reason"),
     )
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
-from duskwatch.operators.neighbours import _matrix, collect_bank, nearest
+from duskwatch.operators.features import hash_sample
+from duskwatch.operators.neighbours import _matrix, nearest
 from duskwatch.plans.ordering import freeze
 
 _LRD_FLOOR = 1e-10
@@ -56,7 +57,7 @@ def contrastive_distance(rows: DataFrame, queue: DataFrame, key: str, vec: str =
     return raw.withColumn(out, (F.col(out) - F.lit(low)) / F.lit(high - low))
 
 
-def recent_queue(rows: DataFrame, key: str, vec: str = "vec", order: str | None = None, limit: int = fixed.QUEUE_LIMIT) -> DataFrame:
+def recent_queue(rows: DataFrame, key: str, limit: int, vec: str = "vec", order: str | None = None) -> DataFrame:
     """The newest ``limit`` vectors as ``bank_id, vec``.
 
     Only keys and times are ordered; the chosen keys, bounded by the limit, then
@@ -222,13 +223,14 @@ def _grow(sample: np.ndarray, rng: np.random.Generator, depth: int) -> list[list
 def fit_forest(bank: DataFrame, trees: int = fixed.TREES, sample: int = fixed.TREE_SAMPLE, seed: int = 7) -> DataFrame:
     """Isolation trees ``tree, node, feature, split, left, right, path``, grown one per task row.
 
-    Each tree has its own seed, so a lost task grows the same tree again.
+    The rows come from a hash sample of at most ``trees * sample`` vectors, so the
+    bank may have any size. Each tree has its own seed, so a lost task grows the
+    same tree again.
     """
-    small = collect_bank(bank)
-    if small is None:
-        raise ValueError(f"build the bank with at most {fixed.BANK_LIMIT} vectors first")
     spark = bank.sparkSession
-    shared = spark.sparkContext.broadcast(small[1])
+    # Each tree draws its rows from these; more than all trees can take are not fetched.
+    drawn = hash_sample(bank.select("bank_id", "vec"), "bank_id", trees * sample).orderBy("bank_id").toPandas()
+    shared = spark.sparkContext.broadcast(_matrix(drawn["vec"]))
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = shared.value

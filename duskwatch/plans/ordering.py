@@ -204,32 +204,30 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int) -> D
     )
 
 
-def percentiles(
-    rows: DataFrame,
-    column: str,
-    shares: dict[str, float],
-    keys: Sequence[str] = (),
-    in_memory: int = 5_000_000,
-) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per key.
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null key equals a null key; the keys of ``left`` stay."""
+    other = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])
+
 
-    The built-in aggregate keeps every distinct value of a key in the memory of
-    one task, so it is used for at most ``in_memory`` rows. Beyond that, distinct
-    values are counted, scanned in order, and read off at the two positions
-    around each share.
+def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per key (a null key is a key).
+
+    Distinct values are counted, scanned in order, and read off at the two
+    positions around each share, so no task holds the values of a key. A key
+    without a value has null percentiles.
     """
     keys = list(keys)
-    if rows.limit(in_memory + 1).count() <= in_memory:
-        return rows.groupBy(*keys).agg(*[F.percentile(column, q).alias(n) for n, q in shares.items()])
     counted = (
         rows.filter(F.col(column).isNotNull())
         .groupBy(*keys, F.col(column).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     reached = scan(counted, ["_v"], keys, sums={"_upto": "_n"})
-    totals = counted.groupBy(*keys).agg((F.sum("_n") - 1).alias("_last"))
+    totals = rows.groupBy(*keys).agg((F.count(column) - 1).alias("_last"))
     if keys:
-        placed = reached.join(totals, keys)
+        placed = same_keys(reached, totals, keys)
     else:
         placed = reached.withColumn("_last", F.lit(totals.first()[0]))
 
@@ -241,6 +239,8 @@ def percentiles(
         *[at(F.floor(F.col("_last") * q)).alias(f"_lo_{n}") for n, q in shares.items()],
         *[at(F.ceil(F.col("_last") * q)).alias(f"_hi_{n}") for n, q in shares.items()],
     )
+    if keys:
+        picked = same_keys(totals.drop("_last"), picked, keys, "left")
     values = []
     for name, share in shares.items():
         part = F.col("_last") * share - F.floor(F.col("_last") * share)

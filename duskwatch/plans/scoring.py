@@ -62,7 +62,7 @@ def score(rows: DataFrame, detector: Detector, key: str, vec: str = "vec", metho
     raw = scores.forest_score(raw, detector.forest, detector.sample, vec)
     raw = scores.reconstruction_score(raw, detector.directions, vec)
     raw = raw.withColumn("reconstruction_error", F.col("reconstruction")).join(local, key, "left")
-    raw = scores.contrastive_distance(raw, detector.bank.limit(fixed.QUEUE_LIMIT), key, vec)
+    raw = scores.contrastive_distance(raw, detector.bank, key, vec)
     scaled = scores.scale_run(raw, fixed.METHODS)
     chosen = fusion.choose_method(fusion.fuse(scaled, detector.fusion, **detector.options), method)
     if use_knn:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -31,8 +29,8 @@ def build_session(app: str = "duskwatch", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder for frozen intermediate results: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder;
-    on a cluster a machine-local folder would be lost with its executor.
+    Only a local session without that setting falls back to a folder below the
+    warehouse; on a cluster the setting names a folder all executors share.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -41,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         if current is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            current = tempfile.mkdtemp(prefix="duskwatch-checkpoint-")
+            current = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(current)
         current = context.getCheckpointDir()
     return current

@@ -64,12 +64,17 @@ def parse_labelled(lines: DataFrame, column: str = "line") -> DataFrame:
     ).first()
     others = [c for c in lines.columns if c != column]
     if counts["valid"] == 0:
-        return lines.select(*others, F.trim(column).alias("text"), F.lit(0).alias("label"))
+        return lines.select(*others, stripped(F.col(column)).alias("text"), F.lit(0).alias("label"))
     if counts["incomplete"]:
         raise ValueError(f"{counts['incomplete']} records lack text or label")
     return opened.filter(good).select(*others, F.col("_r.text").alias("text"), F.col("_r.label").alias("label"))
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def read_sequence(spark: SparkSession, path: str, keep_blank: bool = True) -> DataFrame:
     """Lines with their position: ``file, idx, line``.
 
@@ -88,7 +93,7 @@ def read_sequence(spark: SparkSession, path: str, keep_blank: bool = True) -> Da
         "file",
         "_start",
         "_read",
-        F.trim(
+        stripped(
             F.when(F.col("_utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
         ).alias("line"),
     )
@@ -99,7 +104,7 @@ def read_sequence(spark: SparkSession, path: str, keep_blank: bool = True) -> Da
 
 def non_blank(lines: DataFrame, column: str = "line") -> DataFrame:
     """Trimmed lines without the empty ones."""
-    return lines.withColumn(column, F.trim(column)).filter(F.col(column) != "")
+    return lines.withColumn(column, stripped(F.col(column))).filter(F.col(column) != "")
 
 
 def _read_time(text: Column, kind: Column) -> Column:
@@ -131,12 +136,12 @@ def _read_time(text: Column, kind: Column) -> Column:
 def detect_timestamps(lines: DataFrame, fill: bool = True) -> DataFrame:
     """Add ``ts`` to ``(seq_id, idx, line)``, detecting the format of each sequence.
 
-    The first of five patterns found in at least half of the first ten lines is
+    The first of five patterns found in at least half of all its lines is
     used for the whole sequence. A sequence keeps null times when no pattern
     qualifies or when fewer than half of its lines can be read. Gaps take the
     last time before them, else the next one after.
     """
-    counts = lines.filter("idx < 10").groupBy("seq_id").agg(
+    counts = lines.groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(F.col("line").rlike(p)).alias(f"_{name}") for name, p in fixed.LINE_TIMESTAMPS],
     )

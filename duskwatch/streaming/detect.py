@@ -141,7 +141,7 @@ def running_stats(scores: DataFrame, folder: str, checkpoint: str | None = None)
     return _keep(scores, folder, step, checkpoint)
 
 
-def recent_bank(vectors: DataFrame, folder: str, limit: int = fixed.BANK_LIMIT, checkpoint: str | None = None) -> StreamingQuery:
+def recent_bank(vectors: DataFrame, folder: str, limit: int, checkpoint: str | None = None) -> StreamingQuery:
     """Keep the newest ``limit`` vectors of a stream of ``(bank_id, ts, vec)``."""
 
     def step(state: DataFrame | None, batch: DataFrame) -> DataFrame:

@@ -100,16 +100,17 @@ def test_checkpoints_use_the_session_folder(spark):
     assert spark.sparkContext.getCheckpointDir() == shared_dir(spark)
 
 
-@pytest.mark.parametrize("in_memory", [5_000_000, 10])
-def test_percentiles_match_on_both_routes(spark, hot, in_memory):
+def test_percentiles_match_with_null_keys_and_values(spark, hot):
     import numpy as np
 
     rows, df = hot
     shares = {"a": 0.25, "b": 0.5, "c": 0.95}
-    one = O.percentiles(df, "t", shares, in_memory=in_memory).first()
+    one = O.percentiles(df, "t", shares).first()
     values = np.array([r[1] for r in rows], dtype=float)
     assert [one[n] for n in shares] == pytest.approx([np.percentile(values, 100 * q) for q in shares.values()])
-    for row in O.percentiles(df.filter("k IS NOT NULL"), "t", shares, ["k"], in_memory).collect():
+    by_key = O.percentiles(df, "t", shares, ["k"]).collect()
+    assert {r["k"] for r in by_key} == {r[0] for r in rows}
+    for row in by_key:
         mine = np.array([r[1] for r in rows if r[0] == row["k"]], dtype=float)
         assert [row[n] for n in shares] == pytest.approx([np.percentile(mine, 100 * q) for q in shares.values()])
 
@@ -120,3 +121,9 @@ def test_hash_sample_is_exact(spark):
     df = spark.range(5000)
     ranked = df.selectExpr("id", "md5(CAST(id AS STRING)) AS h").orderBy("h").limit(50)
     assert {r["id"] for r in hash_sample(df, "id", 50).collect()} == {r["id"] for r in ranked.collect()}
+
+
+def test_percentiles_of_a_key_without_values_are_null(spark):
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", None)], "k STRING, v DOUBLE")
+    found = {r["k"]: r["m"] for r in O.percentiles(df, "v", {"m": 0.5}, ["k"]).collect()}
+    assert found == {"a": 1.0, None: 2.0, "b": None}

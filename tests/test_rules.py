@@ -33,6 +33,11 @@ def test_old_failures_do_not_count(spark):
     assert [r["source_ip"] for r in R.count_keys(logs, R.SSH_BRUTE_FORCE, NOW).collect()] == ["2.2.2.2"]
 
 
+def test_failures_after_the_moment_do_not_count(spark):
+    logs = _ssh(spark, [(-m, "authentication_failure", "u", "10.0.0.1") for m in range(1, 8)])
+    assert R.run_rules(logs, R.SSH_RULES, NOW).count() == 0
+
+
 def test_four_users_are_an_enumeration(spark):
     logs = _ssh(spark, [(10, "invalid_user", u, "192.168.1.101") for u in ("alice", "bob", "charlie", "david")])
     (row,) = R.count_keys(logs, R.SSH_USER_ENUMERATION, NOW).collect()
