@@ -72,83 +72,88 @@ def items_of(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
-def candidate_windows(keyed: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """(_k1, _k2, doc_id, length, size, at, shingles): item-sized windows that can reach ``similarity``.
+def _starts(words: DataFrame, seeds: DataFrame, strides: dict[int, int], few: bool, miss: float) -> DataFrame:
+    """(_k1, _k2, length, size, starts): starts of windows with enough item shingles at every stride-th place.
 
-    A window of that similarity shares all but a ninth of its shingles (0.8) with
-    the item, so of every fourth shingle of a document at least one in the window
-    is the item's; items of fewer than four shingles look at every place. Shared
-    shingles give the offset of the item; insertions and deletions shift the best
-    window by at most the shingles they break, so all starts that far around each
-    offset are windows. No window of the similarity is lost by this.
+    ``words`` has _k1, _k2, words. A window of n shingles that may miss floor(n * miss)
+    of them holds at least floor(n / stride) of the places looked at, so at least
+    the difference, ``least``, are hits: it starts not after some hit and ends not
+    before the ``least``-th hit from there. No window with that many is left out.
     """
-    miss = (1 - similarity) / (1 + similarity)  # share of its shingles a window may miss
-    seeds = stored(
-        items.select("length", "size", F.posexplode("shingles").alias("at", "shingle"))
-        .select(
-            "length", "size", "at", F.xxhash64(F.element_at(F.split("shingle", "\n"), 1)).alias("seed"),
-            F.ceil((F.col("length") - F.col("size") + 1) * F.lit(miss)).cast("int").alias("slack"),
-        )
-        .distinct(),
-        "seeds",
-    )
-    kinds = seeds.groupBy("size").agg(F.min(F.col("length") - F.col("size") + 1).alias("least")).collect()
-    few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    words = keyed.select("_k1", "_k2", words_of().alias("words"))
     hits = None
-    for kind in sorted(kinds, key=lambda r: r["size"]):  # at most ``shingle`` kinds
-        size = kind["size"]
-        # Every ``stride``-th place must leave more places than a window may miss.
-        stride = STRIDE if kind["least"] >= STRIDE and miss < 1 / (2 * STRIDE) else 1
+    for size, stride in sorted(strides.items()):  # at most ``shingle`` kinds
         places = F.sequence(F.lit(0), F.size("words") - size, F.lit(stride))
         looked = words.where(F.size("words") >= size).select(
             "_k1",
             "_k2",
+            F.size("words").alias("n_words"),
             F.posexplode(
                 F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, size), " ")))
             ).alias("nth", "seed"),
         )
         mine = seeds.where(F.col("size") == size)
         found = looked.join(F.broadcast(mine) if few else mine, "seed").select(
-            "_k1", "_k2", "length", "size", "slack", (F.col("nth") * stride - F.col("at")).alias("offset")
+            "_k1", "_k2", "n_words", "length", "size", F.lit(stride).alias("stride"), (F.col("nth") * stride).alias("place")
         )
         hits = found if hits is None else hits.union(found)
+    # A text shorter than the item is one window.
+    n = F.least(F.col("length"), F.col("n_words")) - F.col("size") + 1
+    least = F.floor(n / F.col("stride")) - F.floor(n * F.lit(miss) + F.lit(1e-9))
+    spans = (
+        hits.groupBy("_k1", "_k2", "n_words", "length", "size", "stride")
+        .agg(F.sort_array(F.collect_set("place")).alias("places"))
+        .withColumns({"n": n, "least": F.greatest(least, F.lit(1)).cast("int")})
+        .where(F.size("places") >= F.col("least"))
+        .withColumn("latest", F.greatest(F.col("n_words") - F.col("length"), F.lit(0)))
+    )
+
+    def of_hit(i: Column) -> Column:
+        low = F.greatest(F.get("places", i + F.col("least") - 1) - F.col("n") + 1, F.lit(0))
+        high = F.least(F.get("places", i), F.col("latest"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("places") - F.col("least")), of_hit)))
+    return spans.select("_k1", "_k2", "length", "size", starts.alias("starts")).where(F.size("starts") > 0)
+
+
+def candidate_windows(keyed: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """(_k1, _k2, doc_id, length, size, at, shingles): item-sized windows that can reach ``similarity``.
+
+    A window of that similarity shares all but a ninth of its shingles (0.8) with
+    the item, in whatever order they stand. Every fourth shingle of all documents
+    (every one where items have fewer than four) tells which documents can have
+    such a window of a length; in those every shingle is looked at, and each start
+    whose window has few enough foreign shingles is a window. Hits are counted per
+    length over all items, which can only add windows. None of the similarity is lost.
+    """
+    miss = (1 - similarity) / (1 + similarity)  # share of its shingles a window may miss
+    seeds = stored(
+        items.select("length", "size", F.explode("shingles").alias("shingle"))
+        .select("length", "size", F.xxhash64(F.element_at(F.split("shingle", "\n"), 1)).alias("seed"))
+        .distinct(),
+        "seeds",
+    )
+    kinds = seeds.groupBy("size").agg(F.min(F.col("length") - F.col("size") + 1).alias("least")).collect()
+    few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     names = ["_k1", "_k2", "doc_id", "length", "size", "at", "shingles"]
-    if hits is None:
+    if not kinds:
         return keyed.where("false").selectExpr(
             "_k1", "_k2", "doc_id", "0 AS length", "0 AS size", "0 AS at", "CAST(array() AS array<string>) AS shingles"
         )
-    of_document = hits.groupBy("_k1", "_k2").agg(
-        F.collect_set(F.struct("length", "size", "slack", "offset")).alias("hits")
-    )
-    texts = keyed.select("_k1", "_k2", "doc_id", words_of().alias("words")).join(of_document, ["_k1", "_k2"])
-    latest = lambda x: F.greatest(F.size("words") - x["length"], F.lit(0))
-    spots = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "hits",
-                lambda x: F.transform(
-                    F.sequence(x["offset"] - x["slack"], x["offset"] + x["slack"]),
-                    lambda at: F.struct(
-                        x["length"].alias("length"),
-                        x["size"].alias("size"),
-                        F.greatest(F.least(at, latest(x)), F.lit(0)).alias("at"),
-                    ),
-                ),
-            )
-        )
-    )
-    windows = F.transform(
-        spots,
-        lambda s: F.struct(
-            s["length"].alias("length"), s["size"].alias("size"), s["at"].alias("at"),
-            F.slice("words", s["at"] + 1, s["length"]).alias("window"),
-        ),
+    # Every ``stride``-th place must leave more places than a window may miss.
+    strides = {
+        r["size"]: STRIDE if r["least"] >= STRIDE and miss < 1 / (2 * STRIDE) else 1 for r in kinds
+    }
+    words = keyed.select("_k1", "_k2", words_of().alias("words"))
+    chosen = _starts(words, seeds, strides, few, miss).select("_k1", "_k2").distinct()
+    texts = stored(
+        keyed.select("_k1", "_k2", "doc_id", words_of().alias("words")).join(chosen, ["_k1", "_k2"], "left_semi"), "texts"
     )
+    spots = _starts(texts.select("_k1", "_k2", "words"), seeds, dict.fromkeys(strides, 1), few, miss)
     return (
-        texts.select("_k1", "_k2", "doc_id", F.explode(windows).alias("w"))
-        .select("_k1", "_k2", "doc_id", "w.*")
-        .withColumn("shingles", _shingles(F.col("window"), F.col("size")))
+        texts.join(spots, ["_k1", "_k2"])
+        .select("_k1", "_k2", "doc_id", "words", "length", "size", F.explode("starts").alias("at"))
+        .withColumn("shingles", _shingles(F.slice("words", F.col("at") + 1, F.col("length")), F.col("size")))
         .select(*names)
     )
 

@@ -145,3 +145,23 @@ def test_contaminated_documents_go_and_clean_ones_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 2, 3]
     assert decontaminate.remove_contaminated(docs, items.limit(0)).count() == 5
     assert decontaminate.remove_contaminated(docs.limit(0), items).count() == 0
+
+
+def test_windows_in_another_order_match_brute_force(spark):
+    draw = random.Random(12)
+    item = [f"q{i}" for i in range(60)]
+    thirds = [f"r{i}" for i in range(90)]
+    items = [(1, " ".join(item)), (2, " ".join(thirds))]
+    around = [" ".join(draw.choices([f"t{i}" for i in range(90)], k=80)) for _ in range(4)]
+    docs = [
+        (1, " ".join([around[0], *item[30:], *item[:30], around[1]])),
+        (2, " ".join([around[2], *thirds[60:], *thirds[:30], *thirds[30:60], around[3]])),
+        (3, " ".join(item[30:] + item[:30])),
+        (4, " ".join([around[0], *item[:20], around[1]])),
+    ]
+    expected = simple_matches(docs, items)
+    assert {d for d, _ in expected} >= {1, 3}
+    found = decontaminate.contaminated(
+        spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.distance, -r.first_word) for r in found} == expected
