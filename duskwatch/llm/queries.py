@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duskwatch.llm import bpe, cotraining, debruijn, decontaminate, html_text, licenses, quality_rules, sharding, simhash, suffix_array
+from duskwatch.llm import (
+    bpe,
+    clustering,
+    cotraining,
+    debruijn,
+    decontaminate,
+    exact_search,
+    html_text,
+    licenses,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_array,
+    whitening,
+)
 from duskwatch.llm.catalog import query
 
 
@@ -106,4 +120,62 @@ def op10(spark, sf_dir):
     return decontaminate.contaminated(docs.select("doc_id", "text"), items).drop("_k1", "_k2")
 
 
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(
+        "vec_id",
+        "component",
+        "n",
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
+@query(
+    "op12_exact_top_k",
+    f"""WITH kept AS (SELECT vec_id, list_transform(embedding, lambda v: floor({exact_search.SCALE} * CAST(v AS DOUBLE))) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+        FROM kept q JOIN kept c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+)
+def op12(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_search.top_k(rows.where(F.col("vec_id") % 100 == 0), rows)
+
+
+def _lloyd_sql() -> str:
+    """Plain rounds of assignment and update."""
+    parts = [
+        f"""kept AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor({clustering.SCALE} * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)""",
+        f"""c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || vec_id)) - 1 AS INTEGER) AS cluster, x AS c FROM kept
+        QUALIFY row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || vec_id)) <= {clustering.CLUSTERS})""",
+    ]
+    for r in range(clustering.ROUNDS + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min({{'d': d, 'c': cluster}}) AS best FROM (SELECT vec_id, x, cluster,
+            CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{r}) GROUP BY vec_id)"""
+        )
+        if r < clustering.ROUNDS:
+            parts.append(
+                f"""m{r} AS (SELECT cluster, list(v ORDER BY place) AS c FROM (SELECT cluster, place, CAST(floor(sum(v)::DOUBLE / count(*)) AS BIGINT) AS v
+                FROM (SELECT best.c AS cluster, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM a{r}) GROUP BY ALL) GROUP BY cluster),
+                c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))"""
+            )
+    last = f"a{clustering.ROUNDS}"
+    return f"""WITH {", ".join(parts)} SELECT vec_id, best.c AS cluster, best.d AS distance,
+    CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256 FROM {last} JOIN c{clustering.ROUNDS} ON cluster = best.c"""
+
+
+@query("op13_centroid_clustering", _lloyd_sql())
+def op13(spark, sf_dir):
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
