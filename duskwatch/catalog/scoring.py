@@ -166,7 +166,7 @@ def _embeddings(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
 
 
-@query("bank_of_vectors", "SELECT vec_id AS bank_id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 10000")
+@query("bank_of_vectors", "SELECT vec_id AS bank_id FROM embeddings")
 def _bank_rows(spark, sf):
     return _bank(spark, sf).select("bank_id")
 
@@ -181,7 +181,7 @@ def _bank_windows(spark, sf):
 # --- scores -------------------------------------------------------------------
 
 _PAIRS = (
-    "WITH bank AS (SELECT vec_id AS bank_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 10000), "
+    "WITH bank AS (SELECT vec_id AS bank_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings), "
     "q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), "
     "d AS (SELECT vec_id, bank_id, list_distance(a, b) AS distance FROM q, bank), "
     "near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, bank_id) AS rank FROM d)"
@@ -468,16 +468,13 @@ def _batches(spark, sf):
 @query("detected_vectors")
 def _detected(spark, sf):
     bank = features.build_bank(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    found = scoring.score(_embeddings(spark, sf), scoring.fit_detector(bank), "vec_id")
+    found = scoring.score(_embeddings(spark, sf), scoring.fit_detector(bank))
     return found.select("vec_id", *fixed.METHODS, "score", "is_anomaly")
 
 
 def _detected_sequences(spark, sf):
-    lines = _lines(spark, sf)
-    cut = freeze(windows.fixed_windows(lines, 10).withColumn("key", F.xxhash64("seq_id", "window_idx")))
-    model = features.fit_vectorizer(cut, dims=64)
-    bank = features.build_bank(features.vectorize(cut, model), "key")
-    return scoring.detect_sequences(lines, scoring.fit_detector(bank, model), "fixed", 10)
+    lines = freeze(_lines(spark, sf))
+    return scoring.detect_sequences(lines, scoring.fit_on_windows(lines, 10, 64), "fixed", 10)
 
 
 @query("detected_sequence_windows")

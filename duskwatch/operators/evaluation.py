@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.predicates import excludes_all, score_band
-from duskwatch.operators.features import build_bank, hash_sample
+from duskwatch.operators.features import build_bank
 from duskwatch.operators.neighbours import _matrix
+from duskwatch.operators.samples import hash_sample
 from duskwatch.operators.scores import lof
 from duskwatch.plans.ordering import blocks, freeze, percentiles, row_index, same_keys, scan
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.text import tokens
+from duskwatch.operators.samples import hash_sample
 from duskwatch.plans.ordering import row_index
 
 
@@ -129,27 +130,6 @@ def mark_sample(rows: DataFrame, key: str, ratio: float = 0.5, seed: int = 0, ou
     return row_index(hashed, ["_h", key], name="_n").withColumn(out, F.col("_n") < wanted).drop("_h", "_n")
 
 
-def hash_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """The ``limit`` rows with the smallest key hash (all rows when there are fewer).
-
-    A large table is first cut at a hash bound that keeps a few times ``limit``
-    rows, so that the final ordering does not receive ``limit`` rows from every
-    partition. The bound is raised until enough rows lie below it, which keeps
-    the choice exact.
-    """
-    digest = F.md5(F.col(key).cast("string"))
-    total = rows.count()
-    kept, share = rows, 4.0 * limit / max(total, 1)
-    while share < 1.0:
-        bound = f"{int(share * 16**8):08x}"
-        below = rows.filter(digest < F.lit(bound))
-        if below.select(key).count() >= limit:
-            kept = below
-            break
-        share *= 2
-    return kept.orderBy(digest, key).limit(limit)
-
-
 def build_bank(rows: DataFrame, key: str, vec: str = "vec", limit: int | None = None) -> DataFrame:
     """The bank of reference vectors ``bank_id, vec``: all rows, or ``limit`` rows in hash order if asked for."""
     if limit is None:
@@ -166,8 +146,9 @@ def bank_from_normal_lines(lines: DataFrame, size: int = 10, dims: int = 256) ->
     if windows.limit(fixed.BANK_MINIMUM).count() < fixed.BANK_MINIMUM:
         raise ValueError(f"at least {fixed.BANK_MINIMUM} windows of normal lines are needed")
     model = fit_vectorizer(windows, dims=dims)
-    keyed = vectorize(windows, model).withColumn("_key", F.xxhash64("seq_id", "window_idx"))
-    return build_bank(keyed, "_key"), model
+    # a dense index is a unique id, which a hash of the two keys is not
+    vectors = vectorize(windows, model).select("seq_id", "window_idx", "vec")
+    return build_bank(row_index(vectors, ["seq_id", "window_idx"]), "idx"), model
 
 
 def save_bank(bank: DataFrame, stats: DataFrame, path: str) -> None:

@@ -2,29 +2,36 @@
 
 A bank of up to ``fixed.BANK_LIMIT`` vectors (counted before it is fetched)
 is broadcast and each Arrow batch of queries is compared with it as one matrix
-product: no shuffle and no pair rows. A larger bank is cut into blocks; queries
-and blocks meet by an equi-join on (query chunk, block), each task returns only
-its best ``k`` per query, and those partial lists are merged.
+product: no shuffle and no pair rows.
+
+A larger bank is laid out around pivots: every bank vector belongs to the cell of
+its nearest pivot, and of a cell only its size and its smallest and largest
+distance to the pivot are known to everybody. A query first visits its own cell;
+the ``k``-th distance found there and the triangle inequality then name the cells
+that can still hold a nearer vector, and only these are visited by an equi-join
+on cells. Equal vectors meet once, and a cell with many vectors or many visitors
+is cut into blocks, so no task holds more than two bounded matrices.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from duskwatch.functions import fixed_values as fixed
+from duskwatch.operators.samples import hash_sample
+from duskwatch.plans.ordering import freeze
 
-NEIGHBOURS = T.ArrayType(
-    T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("bank_id", T.LongType())])
-)
 _STEP = 512  # query rows per matrix product
+MOST_PIVOTS = 1024
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -36,47 +43,58 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)
 
 
-def top_k(queries: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int, metric: str, own: np.ndarray | None):
-    """Per query the k smallest (distance, id), ties by id. ``ids`` must ascend.
+def _top(queries: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int, metric: str, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per query the distances and the bank places of the ``k`` smallest (distance, id).
 
-    ``own`` holds the id each query must not be matched with.
+    ``metric`` is ``euclidean``, ``cosine``, or ``unit`` for cosine distances of
+    vectors that have unit length already. ``own`` holds the id each query must
+    not be matched with.
     """
     if metric == "cosine":
         queries, bank = _unit(queries), _unit(bank)
     k = min(k, len(bank) - (1 if own is not None else 0))
     squares = (bank * bank).sum(axis=1)
-    out = []
     for start in range(0, len(queries), _STEP):
         part = queries[start : start + _STEP]
+        if k <= 0:
+            for _ in part:
+                yield np.zeros(0), np.zeros(0, np.int64)
+            continue
         rough = (part * part).sum(axis=1)[:, None] + squares[None, :] - 2.0 * part @ bank.T
         if own is not None:
             rough[own[start : start + _STEP, None] == ids[None, :]] = np.inf
-        if k <= 0:
-            out += [[] for _ in part]
-            continue
         edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
         # candidates with a margin for rounding, then exact distances
         row, col = np.nonzero(rough <= (edge + 1e-9 * (1.0 + np.abs(edge)))[:, None])
         gap = part[row] - bank[col]
         exact = (gap * gap).sum(axis=1)
-        distance = exact / 2.0 if metric == "cosine" else np.sqrt(exact)
+        distance = np.sqrt(exact) if metric == "euclidean" else exact / 2.0
         order = np.lexsort((ids[col], distance, row))
         row, col, distance = row[order], col[order], distance[order]
         first = np.searchsorted(row, np.arange(len(part)))
         for i in range(len(part)):
             pick = slice(first[i], first[i] + k)
-            out.append(list(zip(distance[pick].tolist(), ids[col[pick]].tolist())))
-    return out
+            yield distance[pick], col[pick]
 
 
-def collect_bank(bank: DataFrame, limit: int = fixed.BANK_LIMIT):
-    """Ids and vectors of a bank within the limit, ordered by id; None beyond it."""
-    rows = bank.select("bank_id", "vec").limit(limit + 1).toPandas()
+def top_k(queries: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int, metric: str, own: np.ndarray | None):
+    """Per query the k smallest (distance, id), ties by id."""
+    return [list(zip(d.tolist(), ids[at].tolist())) for d, at in _top(queries, bank, ids, k, metric, own)]
+
+
+def collect_bank(bank: DataFrame, limit: int = fixed.BANK_LIMIT, carry: Sequence[str] = ()):
+    """Ids, vectors and carried columns of a bank within the limit, ordered by id; None beyond it."""
+    rows = bank.select("bank_id", "vec", *carry).limit(limit + 1).toPandas()
     if len(rows) > limit:
         return None
     rows = rows.sort_values("bank_id", kind="stable")
     matrix = _matrix(rows["vec"]) if len(rows) else np.zeros((0, 0))
-    return rows["bank_id"].to_numpy(dtype=np.int64), matrix
+    return rows["bank_id"].to_numpy(dtype=np.int64), matrix, {c: rows[c].to_numpy() for c in carry}
+
+
+def _neighbour_type(bank: DataFrame, carry: Sequence[str]) -> T.ArrayType:
+    fields = [T.StructField("distance", T.DoubleType()), T.StructField("bank_id", T.LongType())]
+    return T.ArrayType(T.StructType([*fields, *[T.StructField(c, bank.schema[c].dataType) for c in carry]]))
 
 
 def nearest(
@@ -88,63 +106,231 @@ def nearest(
     metric: str = "euclidean",
     skip_self: bool = False,
     limit: int = fixed.BANK_LIMIT,
+    carry: Sequence[str] = (),
+    report: dict | None = None,
 ) -> DataFrame:
-    """Add ``neighbours``: the ``k`` nearest ``(distance, bank_id)`` of ``bank(bank_id, vec)``."""
-    small = collect_bank(bank, limit)
+    """Add ``neighbours``: the ``k`` nearest ``(distance, bank_id, *carry)`` of ``bank(bank_id, vec, *carry)``.
+
+    ``key`` matters only with ``skip_self``, where it is the bank id a query must
+    not meet. ``report["pairs"]`` receives the number of vector pairs compared by
+    the route through pivots.
+    """
+    small = collect_bank(bank, limit, carry)
     if small is None:
-        return _nearest_blocked(queries, bank, k, key, vec, metric, skip_self, limit)
-    spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast(small)
-    # a query costs thousands of times more to compare than to move: spread them evenly
-    queries = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
+        return _nearest_by_pivots(queries, bank, k, key, vec, metric, skip_self, limit, carry, report)
+    shared = queries.sparkSession.sparkContext.broadcast(small)
 
-    @F.pandas_udf(NEIGHBOURS)
+    @F.pandas_udf(_neighbour_type(bank, carry))
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ids, matrix = shared.value
+        ids, matrix, more = shared.value
         for own, vectors in batches:
             if not len(vectors) or not len(ids):
                 yield pd.Series([[] for _ in range(len(vectors))])
                 continue
             mine = own.to_numpy(dtype=np.int64) if skip_self else None
-            found = top_k(_matrix(vectors), matrix, ids, k, metric, mine)
-            yield pd.Series([[{"distance": d, "bank_id": b} for d, b in row] for row in found])
+            names = ("distance", "bank_id", *more)
+            yield pd.Series(
+                [
+                    [dict(zip(names, row)) for row in zip(d.tolist(), ids[at].tolist(), *[m[at].tolist() for m in more.values()])]
+                    for d, at in _top(_matrix(vectors), matrix, ids, k, metric, mine)
+                ]
+            )
+
+    own_id = F.col(key).cast("long") if skip_self else F.lit(0).cast("long")
+    return queries.withColumn("neighbours", find(own_id, F.col(vec)))
+
+
+# --- beyond the broadcast limit ---------------------------------------------------
+
+
+class Cells:
+    """Pivots and what is known of the bank vectors around each: bounded by the number of pivots."""
+
+    def __init__(self, pivots: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.sizes, self.low, self.high = pivots, sizes, low, high
+        self.between = np.array([np.linalg.norm(pivots - p, axis=1) for p in pivots])
+
+    def gaps(self, matrix: np.ndarray) -> np.ndarray:
+        squares = (matrix * matrix).sum(axis=1)[:, None] + (self.pivots * self.pivots).sum(axis=1)[None, :]
+        return np.sqrt(np.maximum(squares - 2.0 * matrix @ self.pivots.T, 0.0))
+
+    def slack(self, matrix: np.ndarray) -> float:
+        """More than rounding can take from a distance."""
+        most = max((matrix * matrix).sum(axis=1).max(initial=0.0), (self.pivots * self.pivots).sum(axis=1).max(initial=0.0))
+        return 1e-6 * (1.0 + math.sqrt(most))
+
+    def home(self, matrix: np.ndarray, want: int) -> list[np.ndarray]:
+        """Per query the nearest cells that together hold ``want`` vectors."""
+        order = np.argsort(np.where(self.sizes > 0, self.gaps(matrix), np.inf), axis=1, kind="stable")
+        held = np.cumsum(self.sizes[order], axis=1)
+        enough = np.minimum((held < want).sum(axis=1) + 1, int((self.sizes > 0).sum()))
+        return [row[:n] for row, n in zip(order, enough)]
+
+    def within(self, matrix: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """``[query, cell]``: whether the cell can hold a vector at most ``reach`` away.
+
+        Three bounds: the vectors of a cell lie in a ring around its pivot, and on
+        its side of the plane between its pivot and the pivot nearest to the query.
+        """
+        gaps = self.gaps(matrix)
+        nearest = gaps.argmin(axis=1)
+        first = gaps[np.arange(len(gaps)), nearest]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (gaps**2 - first[:, None] ** 2) / (2.0 * self.between[nearest])
+        least = np.maximum(np.maximum(gaps - self.high, self.low - gaps), np.nan_to_num(plane, nan=0.0, posinf=0.0))
+        return (least <= reach[:, None] + self.slack(matrix)) & (self.sizes > 0)[None, :]
 
-    return queries.withColumn("neighbours", find(F.col(key).cast("long"), F.col(vec)))
 
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    flat = table.column(name).combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
-def _nearest_blocked(queries, bank, k, key, vec, metric, skip_self, limit):
-    block_count = math.ceil(bank.count() / limit)
-    chunk_count = max(1, math.ceil(queries.count() / limit))
-    chunk, block = F.pmod(F.xxhash64(key), F.lit(chunk_count)), F.pmod(F.xxhash64("bank_id"), F.lit(block_count))
-    left = queries.select(F.col(key).cast("long").alias("_q"), F.col(vec).alias("_v"), chunk.alias("_chunk")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block_count - 1).cast("long")))
+
+def _visits(pairs: DataFrame, placed: DataFrame, cells: Cells, k: int, metric: str, limit: int, report: dict | None) -> DataFrame:
+    """The ``k`` best bank vectors of every visit ``(q, vec, cell)``: ``q, distance, spot, members``."""
+    spark = placed.sparkSession
+    visitors = {r["cell"]: r["count"] for r in pairs.groupBy("cell").count().collect()}
+    if report is not None:
+        report["pairs"] = report.get("pairs", 0) + sum(n * int(cells.sizes[c]) for c, n in visitors.items())
+    cuts = [(c, math.ceil(n / limit), math.ceil(int(cells.sizes[c]) / limit)) for c, n in visitors.items()]
+    plan = F.broadcast(spark.createDataFrame(cuts, "cell int, chunks long, blocks long"))  # a row per cell at most
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = pairs.join(plan, "cell").select(
+        "q", "vec", "cell", F.pmod(F.xxhash64("q"), "chunks").alias("chunk"), every("blocks").alias("block")
+    )
+    right = placed.join(plan, "cell").select(
+        "spot", "vec", "members", "cell", F.pmod(F.xxhash64("spot"), "blocks").alias("block"), every("chunks").alias("chunk")
     )
-    right = bank.select("bank_id", "vec", block.alias("_block")).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunk_count - 1).cast("long")))
+    schema = T.StructType(
+        [T.StructField("q", T.LongType()), T.StructField("distance", T.DoubleType()), placed.schema["spot"], placed.schema["members"]]
     )
 
-    def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"_q": [], "distance": [], "bank_id": []}).astype({"_q": "int64", "bank_id": "int64"})
-        theirs = theirs.sort_values("bank_id", kind="stable")
-        own = mine["_q"].to_numpy(dtype=np.int64)
-        found = top_k(
-            _matrix(mine["_v"]), _matrix(theirs["vec"]), theirs["bank_id"].to_numpy(dtype=np.int64), k, metric,
-            own if skip_self else None,
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = []
+        if len(mine) and len(theirs):
+            spots = theirs.column("spot").to_numpy()
+            asked = mine.column("q").to_numpy()
+            tops = list(_top(_column(mine, "vec"), _column(theirs, "vec"), spots, k, metric))
+            at = np.concatenate([a for _, a in tops])
+            found = [
+                np.repeat(asked, [len(a) for _, a in tops]),
+                np.concatenate([d for d, _ in tops]),
+                spots[at],
+                theirs.column("members").take(pa.array(at)).combine_chunks(),
+            ]
+        empty = theirs.slice(0, 0)
+        if not found:
+            found = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), empty.column("members").combine_chunks()]
+        return pa.Table.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2]), found[3]], names=["q", "distance", "spot", "members"])
+
+    keys = ["cell", "block", "chunk"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("q").orderBy("distance", "spot")
+    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _listed(found: DataFrame, k: int, carry: Sequence[str]) -> DataFrame:
+    """``q, neighbours``: the members of the best spots, ordered by distance and id."""
+
+    def spread(spot: Column) -> Column:
+        fields = ["bank_id", *carry]
+        return F.transform(
+            spot["members"], lambda m: F.struct(spot["distance"].alias("distance"), *[m[c].alias(c) for c in fields])
         )
-        flat = [(q, d, b) for q, row in zip(own.tolist(), found) for d, b in row if math.isfinite(d)]
-        return pd.DataFrame(flat, columns=["_q", "distance", "bank_id"])
 
-    partial = (
-        left.groupBy("_chunk", "_block")
-        .cogroup(right.groupBy("_chunk", "_block"))
-        .applyInPandas(meet, "_q bigint, distance double, bank_id bigint")
+    spots = F.collect_list(F.struct("distance", "members"))
+    members = F.flatten(F.transform("_s", spread))
+    by_place = F.array_sort(members, lambda a, b: _compare(a, b))
+    return found.groupBy("q").agg(spots.alias("_s")).select("q", F.slice(by_place, 1, k).alias("neighbours"))
+
+
+def _compare(a: Column, b: Column) -> Column:
+    return (
+        F.when(a["distance"] < b["distance"], -1)
+        .when(a["distance"] > b["distance"], 1)
+        .when(a["bank_id"] < b["bank_id"], -1)
+        .when(a["bank_id"] > b["bank_id"], 1)
+        .otherwise(0)
+    )
+
+
+def _nearest_by_pivots(queries, bank, k, key, vec, metric, skip_self, limit, carry, report):
+    spark = queries.sparkSession
+    want = k + 1 if skip_self else k
+    metric = "unit" if metric == "cosine" else metric
+
+    # equal vectors are one spot; only their smallest ids can be among the nearest
+    first = Window.partitionBy("vec").orderBy("bank_id")
+    spots = freeze(
+        bank.select("bank_id", *carry, F.col("vec").cast("array<double>").alias("vec"))
+        .withColumn("_r", F.row_number().over(first))
+        .filter(F.col("_r") <= want)
+        .groupBy("vec")
+        .agg(F.sort_array(F.collect_list(F.struct("bank_id", *carry))).alias("members"))
+        .withColumn("spot", F.col("members")[0]["bank_id"])
+    )
+    count = spots.count()
+    drawn = hash_sample(spots.select("spot", "vec"), "spot", min(MOST_PIVOTS, math.ceil(2 * math.sqrt(count)))).toPandas()
+    pivots = _matrix(drawn["vec"])
+    pivots = _unit(pivots) if metric == "unit" else pivots
+    cells = Cells(pivots, np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots)))
+    # arrays only: executors need not have this package
+    bare = spark.sparkContext.broadcast((cells.pivots, cells.sizes, cells.low, cells.high))
+
+    @F.pandas_udf("cell int, away double, vec array<double>")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cells = Cells(*bare.value)
+        for vectors in batches:
+            matrix = _unit(_matrix(vectors)) if metric == "unit" else _matrix(vectors)
+            gaps = cells.gaps(matrix)
+            at = gaps.argmin(axis=1)
+            yield pd.DataFrame({"cell": at, "away": gaps[np.arange(len(at)), at], "vec": list(matrix)})
+
+    placed = freeze(spots.withColumn("_p", place("vec")).select("spot", "members", "_p.*"))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away"), F.max("away")).collect():
+        cells.sizes[r[0]], cells.low[r[0]], cells.high[r[0]] = r[1], r[2], r[3]
+    known = spark.sparkContext.broadcast((cells.pivots, cells.sizes, cells.low, cells.high))
+
+    # equal queries are asked once
+    distinct = queries.select(F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+
+    @F.pandas_udf("vec array<double>, home array<int>")
+    def begin(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cells = Cells(*known.value)
+        for vectors in batches:
+            matrix = _unit(_matrix(vectors)) if metric == "unit" else _matrix(vectors)
+            yield pd.DataFrame({"vec": list(matrix), "home": cells.home(matrix, want)})
+
+    asked = freeze(distinct.withColumn("q", F.monotonically_increasing_id()).withColumn("_b", begin("_v")).select("q", "_v", "_b.*"))
+
+    @F.pandas_udf("array<int>")
+    def further(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        cells = Cells(*known.value)
+        for vectors, home, reach in batches:
+            if not len(vectors):
+                yield pd.Series([], dtype=object)
+                continue
+            # cosine distances are half the squared distance of unit vectors
+            limits = np.sqrt(2.0 * reach.to_numpy()) if metric == "unit" else reach.to_numpy()
+            visit = cells.within(_matrix(vectors), limits)
+            yield pd.Series([np.setdiff1d(np.flatnonzero(row), seen).astype(np.int32) for row, seen in zip(visit, home)])
+
+    near = freeze(
+        _best(_visits(asked.select("q", "vec", F.explode("home").alias("cell")), placed, cells, want, metric, limit, report), want)
+    )
+    upto = _listed(near, want, carry).select(
+        "q", F.when(F.size("neighbours") >= want, F.element_at("neighbours", -1)["distance"]).otherwise(float("inf")).alias("reach")
     )
-    best = Window.partitionBy("_q").orderBy("distance", "bank_id")
-    merged = (
-        partial.withColumn("_r", F.row_number().over(best))
-        .filter(F.col("_r") <= k)
-        .groupBy("_q")
-        .agg(F.array_sort(F.collect_list(F.struct("distance", "bank_id"))).alias("neighbours"))
+    more = freeze(
+        asked.join(upto, "q").select("q", "vec", F.explode(further("vec", "home", "reach")).alias("cell"))
     )
-    return queries.join(merged, queries[key] == merged["_q"], "left").drop("_q")
+    found = near.unionByName(_visits(more, placed, cells, want, metric, limit, report))
+    answers = asked.select("q", "_v").join(_listed(_best(found, want), want, carry), "q").drop("q")
+    joined = queries.join(answers, queries[vec].cast("array<double>") == answers["_v"], "left").drop("_v")
+    if not skip_self:
+        return joined
+    others = F.filter("neighbours", lambda n: n["bank_id"] != F.col(key).cast("long"))
+    return joined.withColumn("neighbours", F.slice(others, 1, k))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
-from duskwatch.operators.features import hash_sample
-from duskwatch.operators.neighbours import _matrix, nearest
+from duskwatch.operators.samples import hash_sample
+from duskwatch.operators.neighbours import _matrix, _top, collect_bank, nearest
 from duskwatch.plans.ordering import freeze
 
 _LRD_FLOOR = 1e-10
+SCORES = (*fixed.METHODS, "contrastive_distance")
 
 
 def bank_is_fit(bank: DataFrame) -> bool:
@@ -51,10 +52,7 @@ def contrastive_distance(rows: DataFrame, queue: DataFrame, key: str, vec: str =
     """Smallest cosine distance to the queue, scaled over the run; a constant run gives 0."""
     found = nearest(rows, queue, 1, key, vec, metric="cosine")
     raw = freeze(found.withColumn(out, F.get("neighbours", F.lit(0))["distance"]).drop("neighbours"))
-    low, high = raw.agg(F.min(out), F.max(out)).first()
-    if low is None or not high > low:
-        return raw.withColumn(out, F.lit(0.0))
-    return raw.withColumn(out, (F.col(out) - F.lit(low)) / F.lit(high - low))
+    return scale_run(raw, [out], flat_is_zero=[out])
 
 
 def recent_queue(rows: DataFrame, key: str, limit: int, vec: str = "vec", order: str | None = None) -> DataFrame:
@@ -79,65 +77,56 @@ def _edges(found: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _density(edges: DataFrame, k_distances: DataFrame) -> DataFrame:
-    """Local reachability density per query."""
-    reach = F.greatest("_d", "_kd")
-    return (
-        edges.join(k_distances, "bank_id")
-        .groupBy("_q")
-        .agg((1.0 / (F.avg(reach) + F.lit(_LRD_FLOOR))).alias("_lrd"))
-    )
-
-
 @dataclass
 class Density:
-    """What a local outlier factor needs to know about its bank."""
+    """A bank whose members know their k-distance ``kd`` and local reachability density ``lrd``."""
 
+    bank: DataFrame
     edges: DataFrame
-    k_distances: DataFrame
-    density: DataFrame
 
 
 def fit_density(bank: DataFrame, k: int = fixed.LOF_NEIGHBOURS, **options) -> Density:
-    """Neighbour edges, k-distances and densities of the members of a bank."""
-    own = freeze(
-        nearest(bank, bank, k, "bank_id", "vec", skip_self=True, **options).select("bank_id", "neighbours")
-    )
-    k_distances = own.select("bank_id", F.element_at("neighbours", -1)["distance"].alias("_kd"))
+    """K-distances and densities of the members of a bank, and their neighbour edges."""
+    own = freeze(nearest(bank.select("bank_id", "vec"), bank, k, "bank_id", "vec", skip_self=True, **options))
+    k_distances = own.select("bank_id", F.element_at("neighbours", -1)["distance"].alias("kd"))
     edges = _edges(own, "bank_id")
-    density = _density(edges, k_distances).select(F.col("_q").alias("bank_id"), F.col("_lrd").alias("_bank_lrd"))
-    return Density(edges, k_distances, freeze(density))
-
-
-def novelty_from(found: DataFrame, fitted: Density, key: str, out: str = "lof") -> DataFrame:
-    """``key, out`` from rows that carry ``neighbours``: the factor minus the offset 1.5."""
-    known = fitted.k_distances.join(fitted.density, "bank_id")
-    reach = F.greatest("_d", "_kd")
-    # both means in one pass over the edges; all edges of a row start in one task
-    around = (
-        _edges(found, key)
-        .join(known, "bank_id")
-        .groupBy("_q")
-        .agg(F.avg("_bank_lrd").alias("_around"), (F.avg(reach) + F.lit(_LRD_FLOOR)).alias("_reach"))
+    reach = F.greatest("_d", "kd")
+    density = (
+        edges.join(k_distances, "bank_id")
+        .groupBy(F.col("_q").alias("bank_id"))
+        .agg((1.0 / (F.avg(reach) + F.lit(_LRD_FLOOR))).alias("lrd"))
     )
-    return around.select(F.col("_q").alias(key), (F.col("_around") * F.col("_reach") - fixed.LOF_OFFSET).alias(out))
+    members = own.select("bank_id", "vec", F.element_at("neighbours", -1)["distance"].alias("kd"))
+    return Density(freeze(members.join(density, "bank_id")), edges)
+
+
+def novelty(neighbours: str) -> Column:
+    """The local outlier factor minus the offset 1.5, of neighbours that carry ``kd`` and ``lrd``."""
+
+    def mean(value) -> Column:
+        return F.aggregate(F.transform(neighbours, value), F.lit(0.0), lambda a, x: a + x) / F.size(neighbours)
+
+    reach = mean(lambda n: F.greatest(n["distance"], n["kd"])) + F.lit(_LRD_FLOOR)
+    return mean(lambda n: n["lrd"]) * reach - F.lit(fixed.LOF_OFFSET)
 
 
 def lof_novelty(rows: DataFrame, bank: DataFrame, key: str, k: int = fixed.LOF_NEIGHBOURS, vec: str = "vec", out: str = "lof", **options) -> DataFrame:
     """Local outlier factor of new vectors against the bank, minus the offset 1.5."""
     if not bank_is_fit(bank):
         return _zero(rows, out)
-    found = nearest(rows, bank, k, key, vec, **options).select(key, "neighbours")
-    return rows.join(novelty_from(found, fit_density(bank, k, **options), key, out), key, "left")
+    fitted = fit_density(bank, k, **options)
+    found = nearest(rows, fitted.bank, k, key, vec, carry=("kd", "lrd"), **options)
+    return found.withColumn(out, novelty("neighbours")).drop("neighbours")
 
 
 def lof(rows: DataFrame, key: str, k: int = fixed.LOF_NEIGHBOURS, vec: str = "vec", out: str = "lof", **options) -> DataFrame:
     """Local outlier factor of every vector among all the others."""
     bank = rows.select(F.col(key).alias("bank_id"), F.col(vec).alias("vec"))
     fitted = fit_density(bank, k, **options)
-    around = fitted.edges.join(fitted.density, "bank_id").groupBy("_q").agg(F.avg("_bank_lrd").alias("_around"))
-    scored = around.join(fitted.density.withColumnRenamed("bank_id", "_q"), "_q").select(
-        F.col("_q").alias(key), (F.col("_around") / F.col("_bank_lrd")).alias(out)
+    density = fitted.bank.select("bank_id", "lrd")
+    around = fitted.edges.join(density, "bank_id").groupBy("_q").agg(F.avg("lrd").alias("_around"))
+    scored = around.join(density.withColumnRenamed("bank_id", "_q"), "_q").select(
+        F.col("_q").alias(key), (F.col("_around") / F.col("lrd")).alias(out)
     )
     return rows.join(scored, key, "left")
 
@@ -156,13 +145,23 @@ def fit_clusters(bank: DataFrame, k: int = fixed.CLUSTERS, seed: int = 7) -> np.
 def cluster_score(rows: DataFrame, centres: np.ndarray, vec: str = "vec", out: str = "cluster") -> DataFrame:
     """Distance to the nearest of the cluster centres."""
 
+    return _measured(rows, lambda matrix: _centre_distance(matrix, centres), vec, out)
+
+
+def _centre_distance(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    gap = matrix[:, None, :] - centres[None, :, :]
+    return np.sqrt((gap * gap).sum(axis=2)).min(axis=1)
+
+
+def _measured(rows: DataFrame, measure: Callable[[np.ndarray], np.ndarray], vec: str, out: str) -> DataFrame:
+    """Add ``measure`` of the matrix of each Arrow batch of vectors."""
+
     @F.pandas_udf("double")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            gap = _matrix(vectors)[:, None, :] - centres[None, :, :]
-            yield pd.Series(np.sqrt((gap * gap).sum(axis=2)).min(axis=1))
+            yield pd.Series(measure(_matrix(vectors)) if len(vectors) else [], dtype="float64")
 
-    return rows.withColumn(out, measure(vec))
+    return rows.withColumn(out, run(vec))
 
 
 def fit_reconstruction(bank: DataFrame, k: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -175,16 +174,14 @@ def fit_reconstruction(bank: DataFrame, k: int = 16) -> tuple[np.ndarray, np.nda
 
 def reconstruction_score(rows: DataFrame, fitted: tuple[np.ndarray, np.ndarray], vec: str = "vec", out: str = "reconstruction") -> DataFrame:
     """Squared error after projection on the principal directions and back."""
-    mean, directions = fitted
+    return _measured(rows, lambda matrix: _left_over(matrix, fitted), vec, out)
 
-    @F.pandas_udf("double")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            centred = _matrix(vectors) - mean
-            left = centred - (centred @ directions) @ directions.T
-            yield pd.Series((left * left).sum(axis=1))
 
-    return rows.withColumn(out, measure(vec))
+def _left_over(matrix: np.ndarray, fitted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    mean, directions = fitted
+    centred = matrix - mean
+    left = centred - (centred @ directions) @ directions.T
+    return (left * left).sum(axis=1)
 
 
 # --- isolation forest ---------------------------------------------------------
@@ -250,41 +247,96 @@ def fit_forest(bank: DataFrame, trees: int = fixed.TREES, sample: int = fixed.TR
     )
 
 
-def forest_score(rows: DataFrame, forest: DataFrame, sample_size: int, vec: str = "vec", out: str = "iforest") -> DataFrame:
-    """``2^(-mean path / c(n)) - 0.5`` over all trees; the forest is bounded by its tree count."""
+def collect_trees(forest: DataFrame) -> list[tuple]:
+    """Per tree the node columns; a forest is bounded by its number of trees and their sample."""
     nodes = forest.orderBy("tree", "node").toPandas()
-    trees = [
+    return [
         tuple(part[c].to_numpy() for c in ("feature", "split", "left", "right", "path"))
         for _, part in nodes.groupby("tree")
     ]
-    shared = rows.sparkSession.sparkContext.broadcast(trees)
+
+
+def _isolation(matrix: np.ndarray, trees: list[tuple], sample_size: int) -> np.ndarray:
     norm = _path_norm(sample_size) or 1.0
+    line = np.arange(len(matrix))
+    total = np.zeros(len(matrix))
+    for feature, split, left, right, path in trees:
+        at = np.zeros(len(matrix), dtype=np.int64)
+        inner = feature[at] >= 0
+        while inner.any():
+            value = matrix[line, np.where(inner, feature[at], 0)]
+            step = np.where(value <= split[at], left[at], right[at])
+            at = np.where(inner, step, at)
+            inner = feature[at] >= 0
+        total += path[at]
+    return np.power(2.0, -(total / len(trees)) / norm) - 0.5
 
-    @F.pandas_udf("double")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def forest_score(rows: DataFrame, forest: DataFrame, sample_size: int, vec: str = "vec", out: str = "iforest") -> DataFrame:
+    """``2^(-mean path / c(n)) - 0.5`` over all trees; the forest is bounded by its tree count."""
+    shared = rows.sparkSession.sparkContext.broadcast(collect_trees(forest))
+    return _measured(rows, lambda matrix: _isolation(matrix, shared.value, sample_size), vec, out)
+
+
+# --- all methods in one visit ---------------------------------------------------
+
+
+def all_scores(
+    rows: DataFrame, density: Density, centres: np.ndarray, directions: tuple[np.ndarray, np.ndarray], forest: DataFrame, sample_size: int, vec: str = "vec",
+    limit: int = fixed.BANK_LIMIT,
+) -> DataFrame:
+    """Add the raw scores ``knn, cluster, lof, iforest, reconstruction`` and ``contrastive_distance``.
+
+    With a bank within the broadcast limit every vector is visited once, in the
+    partition it lies in: no column is shuffled. A larger bank is searched by
+    cells (``nearest``), which moves vectors only, for the three scores that
+    need neighbours.
+    """
+    spark = rows.sparkSession
+    k, few = fixed.LOF_NEIGHBOURS, fixed.KNN_NEIGHBOURS
+    trees = spark.sparkContext.broadcast(collect_trees(forest))
+    small = collect_bank(density.bank, limit, carry=("kd", "lrd"))
+    shared = spark.sparkContext.broadcast(small)
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in SCORES))
+    def visit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
+            if not len(vectors):
+                yield pd.DataFrame({c: pd.Series(dtype="float64") for c in SCORES})
+                continue
             matrix = _matrix(vectors)
-            line = np.arange(len(matrix))
-            total = np.zeros(len(matrix))
-            for feature, split, left, right, path in shared.value:
-                at = np.zeros(len(matrix), dtype=np.int64)
-                inner = feature[at] >= 0
-                while inner.any():
-                    value = matrix[line, np.where(inner, feature[at], 0)]
-                    step = np.where(value <= split[at], left[at], right[at])
-                    at = np.where(inner, step, at)
-                    inner = feature[at] >= 0
-                total += path[at]
-            yield pd.Series(np.power(2.0, -(total / len(shared.value)) / norm) - 0.5)
-
-    return rows.withColumn(out, measure(vec))
+            found = {
+                "cluster": _centre_distance(matrix, centres),
+                "iforest": _isolation(matrix, trees.value, sample_size),
+                "reconstruction": _left_over(matrix, directions),
+                "knn": np.nan,
+                "lof": np.nan,
+                "contrastive_distance": np.nan,
+            }
+            if shared.value is not None:
+                ids, bank, known = shared.value
+                gaps, places = map(np.stack, zip(*_top(matrix, bank, ids, k, "euclidean")))
+                reach = np.maximum(gaps, known["kd"][places]).mean(axis=1) + _LRD_FLOOR
+                found["knn"] = gaps[:, :few].mean(axis=1)
+                found["lof"] = known["lrd"][places].mean(axis=1) * reach - fixed.LOF_OFFSET
+                found["contrastive_distance"] = np.array([d[0] for d, _ in _top(matrix, bank, ids, 1, "cosine")])
+            yield pd.DataFrame(found, index=range(len(matrix)))[list(SCORES)]
+
+    visited = rows.withColumn("_all", visit(vec))
+    if small is not None:
+        return visited.withColumns({c: F.col(f"_all.{c}") for c in SCORES}).drop("_all")
+    visited = visited.withColumns({c: F.col(f"_all.{c}") for c in ("cluster", "iforest", "reconstruction")}).drop("_all")
+    near = nearest(visited, density.bank, k, "", vec, limit=limit, carry=("kd", "lrd"))
+    scored = near.withColumns({"knn": mean_distance("neighbours", few), "lof": novelty("neighbours")}).drop("neighbours")
+    angle = nearest(scored, density.bank.select("bank_id", "vec"), 1, "", vec, metric="cosine", limit=limit)
+    return angle.withColumn("contrastive_distance", F.get("neighbours", F.lit(0))["distance"]).drop("neighbours")
 
 
 # --- scaling ------------------------------------------------------------------
 
 
-def scale_run(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Min-max scaling of each column over the run; a constant column is clipped to [0, 1]."""
+def scale_run(rows: DataFrame, columns: Sequence[str], flat_is_zero: Sequence[str] = ()) -> DataFrame:
+    """Min-max scaling of each column over the run; a constant column is clipped to [0, 1], or zero if named."""
     bounds = rows.agg(
         *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]
     ).first()
@@ -293,6 +345,8 @@ def scale_run(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         low, high = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
         if low is not None and high > low:
             changes[c] = (F.col(c) - F.lit(low)) / (F.lit(high) - F.lit(low))
+        elif c in flat_is_zero:
+            changes[c] = F.lit(0.0)
         else:
             changes[c] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
     return rows.withColumns(changes)

@@ -31,32 +31,57 @@ def _gather(placed: DataFrame) -> DataFrame:
     )
 
 
-def fixed_windows(lines: DataFrame, size: int) -> DataFrame:
+def fixed_windows(lines: DataFrame, size: int, spread: bool = False) -> DataFrame:
     """Consecutive windows of ``size`` lines; a shorter last window is kept."""
-    return _gather(lines.withColumn("window_idx", F.floor(F.col("idx") / size)))
+    placed = lines.withColumn("window_idx", F.floor(F.col("idx") / size))
+    return _gather(_spread(placed, "window_idx") if spread else placed)
 
 
-def sliding_windows(lines: DataFrame, size: int, stride: int = 1, keep_single: bool = False) -> DataFrame:
+def _spread(rows: DataFrame, place: str) -> DataFrame:
+    """Deal groups out to a fixed number of tasks, for work that costs more than its bytes tell.
+
+    The grouping that follows needs no shuffle of its own.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "seq_id", place)
+
+
+def sliding_windows(lines: DataFrame, size: int, stride: int = 1, keep_single: bool = False, spread: bool = False, block: int = 10_000) -> DataFrame:
     """Full windows of ``size`` lines every ``stride`` lines.
 
     A sequence shorter than ``size`` has none; with ``keep_single`` a sequence
-    of one line still gives one window of one line.
+    of one line still gives one window of one line. Lines meet in blocks of the
+    index that carry the first ``size - 1`` lines of the next block, so a line is
+    shuffled once or twice, not once per window.
     """
-    first = F.greatest(F.ceil((F.col("idx") - (size - 1)) / stride), F.lit(0).cast("long"))
-    last = F.floor(F.col("idx") / stride)
-    covered = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    windows = _gather(lines.withColumn("window_idx", F.explode(covered)))
-    full = F.size("logs") == size
+    block = max(block, size)
+    placed = blocks(lines.select("seq_id", "idx", "line"), "idx", size - 1, block, ahead=True)
+    placed = _spread(placed, "_block") if spread else placed
+    held = placed.groupBy("seq_id", "_block").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("_lines"))
+    # the block of a halo may hold no line of its own
+    held = held.withColumn("_low", F.col("_lines")[0]["idx"]).filter(F.floor(F.col("_low") / block) == F.col("_block"))
+    first = F.ceil(F.col("_low") / stride)
+    last_own = F.least((F.col("_block") + 1) * block - 1, F.col("_low") + F.size("_lines") - size)
+    last = F.floor(last_own / stride)
+    starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     if keep_single:
-        full = full | ((F.col("window_idx") == 0) & (F.size("logs") == 1))
-    return windows.filter(full)
+        starts = F.when((F.col("_low") == 0) & (F.size("_lines") == 1) & (F.lit(size) > 1), F.array(F.lit(0).cast("bigint"))).otherwise(starts)
+    cut = held.withColumn("window_idx", F.explode(starts))
+    start = F.col("window_idx") * stride
+    own = F.slice("_lines", (start - F.col("_low") + 1).cast("int"), F.lit(size))
+    return (
+        cut.select("seq_id", "window_idx", start.alias("start_idx"), F.transform(own, lambda x: x["line"]).alias("logs"))
+        .withColumn("end_idx", F.col("start_idx") + F.size("logs"))
+        .withColumn("text", F.array_join("logs", fixed.WINDOW_SEPARATOR))
+        .select("seq_id", "window_idx", "start_idx", "end_idx", "logs", "text")
+    )
 
 
-def make_windows(lines: DataFrame, kind: str = "fixed", size: int = 10, stride: int = 1) -> DataFrame:
+def make_windows(lines: DataFrame, kind: str = "fixed", size: int = 10, stride: int = 1, spread: bool = False) -> DataFrame:
     if kind == "fixed":
-        return fixed_windows(lines, size)
+        return fixed_windows(lines, size, spread)
     if kind == "sliding":
-        return sliding_windows(lines, size, stride, keep_single=True)
+        return sliding_windows(lines, size, stride, keep_single=True, spread=spread)
     raise ValueError("window type must be fixed or sliding")
 
 

@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.operators import features, fusion, scores, windows
-from duskwatch.operators.neighbours import nearest
 from duskwatch.plans.ordering import freeze
 
 
 @dataclass
 class Detector:
-    """Everything the five methods need; all of it bounded by the bank."""
+    """Everything the five methods need; all of it bounded by the bank, which ``density`` holds."""
 
-    bank: DataFrame
     density: scores.Density
     centres: np.ndarray
     directions: tuple[np.ndarray, np.ndarray]
@@ -37,7 +35,6 @@ def fit_detector(bank: DataFrame, vectorizer: PipelineModel | None = None, how:
     if size < fixed.BANK_MINIMUM:
         raise ValueError(f"at least {fixed.BANK_MINIMUM} reference vectors are needed")
     return Detector(
-        bank=bank,
         density=scores.fit_density(bank, min(fixed.LOF_NEIGHBOURS, size - 1)),
         centres=scores.fit_clusters(bank, min(fixed.CLUSTERS, size), seed),
         directions=scores.fit_reconstruction(bank, dims),
@@ -49,38 +46,43 @@ def fit_detector(bank: DataFrame, vectorizer: PipelineModel | None = None, how:
     )
 
 
-def score(rows: DataFrame, detector: Detector, key: str, vec: str = "vec", method: str = "ensemble", threshold: float = 0.5, use_knn: bool = False) -> DataFrame:
+def score(rows: DataFrame, detector: Detector, vec: str = "vec", method: str = "ensemble", threshold: float = 0.5, use_knn: bool = False) -> DataFrame:
     """Add the five method scores, the ensemble, ``score`` and ``is_anomaly``.
 
-    Scores are scaled over the whole run, so they do not depend on batches.
+    One visit of each vector gives all raw scores; rows stay in the partitions
+    they come in unless the bank is beyond the broadcast limit. Scores are scaled
+    over the whole run, so they do not depend on batches. Rows need no key.
     """
-    # one search serves the kNN and the local outlier score
-    found = freeze(nearest(rows, detector.bank, fixed.LOF_NEIGHBOURS, key, vec))
-    local = scores.novelty_from(found.select(key, "neighbours"), detector.density, key)
-    raw = found.withColumn("knn", scores.mean_distance("neighbours", fixed.KNN_NEIGHBOURS)).drop("neighbours")
-    raw = scores.cluster_score(raw, detector.centres, vec)
-    raw = scores.forest_score(raw, detector.forest, detector.sample, vec)
-    raw = scores.reconstruction_score(raw, detector.directions, vec)
-    raw = raw.withColumn("reconstruction_error", F.col("reconstruction")).join(local, key, "left")
-    raw = scores.contrastive_distance(raw, detector.bank, key, vec)
-    scaled = scores.scale_run(raw, fixed.METHODS)
+    raw = freeze(
+        scores.all_scores(
+            rows, detector.density, detector.centres, detector.directions, detector.forest, detector.sample, vec
+        ).withColumns({"reconstruction_error": F.col("reconstruction"), "_knn": F.col("knn")})
+    )
+    scaled = scores.scale_run(raw, scores.SCORES, flat_is_zero=["contrastive_distance"])
     chosen = fusion.choose_method(fusion.fuse(scaled, detector.fusion, **detector.options), method)
     if use_knn:
-        chosen = fusion.knn_enhanced(chosen, detector.bank, key, vec=vec)
-    return chosen.withColumn("is_anomaly", F.col("score") > threshold)
+        chosen = scores.scale_by_max(chosen, "_knn").withColumn("score", (F.col("score") + F.col("_knn")) / 2)
+    return chosen.drop("_knn").withColumn("is_anomaly", F.col("score") > threshold)
 
 
-def detect_lines(lines: DataFrame, detector: Detector, key: str, text: str = "text", **choices) -> DataFrame:
+def detect_lines(lines: DataFrame, detector: Detector, text: str = "text", **choices) -> DataFrame:
     """Score single lines; ``method_scores`` holds the score of each method."""
     vectors = features.vectorize(lines, detector.vectorizer, text)
-    scored = score(vectors, detector, key, **choices)
-    return scored.withColumn("method_scores", F.struct(*fixed.METHODS))
+    return score(vectors, detector, **choices).withColumn("method_scores", F.struct(*fixed.METHODS))
 
 
 def detect_sequences(lines: DataFrame, detector: Detector, kind: str = "fixed", size: int = 10, stride: int = 1, **choices) -> DataFrame:
-    """Score the windows of ``(seq_id, idx, line)`` sequences."""
-    cut = freeze(windows.make_windows(lines, kind, size, stride).withColumn("_key", F.xxhash64("seq_id", "window_idx")))
-    return detect_lines(cut, detector, "_key", **choices).drop("_key", "vec")
+    """Score the windows of ``(seq_id, idx, line)`` sequences, known by ``seq_id`` and ``window_idx``.
+
+    Lines are shuffled once, to form the windows; a window's text is not moved again.
+    """
+    return detect_lines(windows.make_windows(lines, kind, size, stride, spread=True), detector, **choices).drop("vec")
+
+
+def fit_on_windows(lines: DataFrame, size: int = 10, dims: int = 256, **choices) -> Detector:
+    """Vectorizer, bank and detector from the fixed windows of lines taken as normal."""
+    bank, model = features.bank_from_normal_lines(lines, size, dims)
+    return fit_detector(bank, model, **choices)
 
 
 def summarize(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

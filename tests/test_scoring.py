@@ -63,6 +63,70 @@ def test_nearest_matches_brute_force_on_both_routes(points):
             assert np.allclose([n["distance"] for n in row["neighbours"]], [d for d, _ in expected], atol=1e-9)
 
 
+def _clusters(count, dims, seed=2):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(80, dims)) * 8
+    matrix = centres[draw.integers(0, 80, count)] + draw.normal(size=(count, dims))
+    matrix[: count // 4] = matrix[0]  # a quarter of all rows are copies
+    return matrix
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_pivots_find_the_same_neighbours_with_few_pairs(spark, metric):
+    """20,000 clustered vectors with a large group of copies, each without itself, a column carried along."""
+    count, k = 20_000, 4
+    matrix = _clusters(count, 6)
+    df = spark.createDataFrame([(i, row.tolist(), f"n{i}") for i, row in enumerate(matrix)], "bank_id BIGINT, vec ARRAY<DOUBLE>, name STRING")
+    report = {}
+    found = nearest(df.drop("name").repartition(8), df, k, "bank_id", metric=metric, skip_self=True, limit=1500, carry=("name",), report=report)
+    ids = np.arange(count)
+    expected = top_k(matrix, matrix, ids, k, metric, ids)
+    rows = found.select("bank_id", "neighbours").collect()
+    assert len(rows) == count
+    for row in rows:
+        assert [n["bank_id"] for n in row["neighbours"]] == [i for _, i in expected[row["bank_id"]]]
+        assert [n["name"] for n in row["neighbours"]] == [f"n{i}" for _, i in expected[row["bank_id"]]]
+        assert np.allclose([n["distance"] for n in row["neighbours"]], [d for d, _ in expected[row["bank_id"]]], atol=1e-9)
+    assert report["pairs"] < count * count / 20
+
+
+def test_pivots_with_few_vectors_and_without_queries(spark):
+    """Fewer bank vectors than neighbours asked for, null vectors, an empty query table."""
+    rows = [(i, [float(i % 3), 1.0]) for i in range(5)]
+    bank = spark.createDataFrame(rows, "bank_id BIGINT, vec ARRAY<DOUBLE>")
+    queries = spark.createDataFrame([(7, [0.0, 1.0]), (8, None)], "id BIGINT, vec ARRAY<DOUBLE>")
+    found = {r["id"]: r["neighbours"] for r in nearest(queries, bank, 9, "id", limit=2).collect()}
+    assert [n["bank_id"] for n in found[7]] == [0, 3, 1, 4, 2] and found[8] is None
+    assert nearest(queries.limit(0), bank, 2, "id", limit=2).count() == 0
+
+
+def test_one_visit_gives_the_scores_of_each_method(points):
+    """Inside and beyond the broadcast limit, against the scores computed one by one."""
+    _, df = points
+    bank = _bank(df).filter("bank_id < 300")
+    fitted = scoring.fit_detector(bank, dims=4)
+    single = scores.knn_score(df, bank, "id")
+    single = scores.cluster_score(single, fitted.centres)
+    single = scores.reconstruction_score(scores.forest_score(single, fitted.forest, fitted.sample), fitted.directions)
+    single = {r["id"]: r for r in scores.lof_novelty(single, bank, "id").collect()}
+    raw_angle = {r["id"]: r["neighbours"][0]["distance"] for r in nearest(df, bank, 1, "id", metric="cosine").collect()}
+    args = (df, fitted.density, fitted.centres, fitted.directions, fitted.forest, fitted.sample)
+    for limit in (scores.fixed.BANK_LIMIT, 40):
+        for row in scores.all_scores(*args, limit=limit).collect():
+            for method in scores.fixed.METHODS:
+                assert row[method] == pytest.approx(single[row["id"]][method], abs=1e-9), method
+            assert row["contrastive_distance"] == pytest.approx(raw_angle[row["id"]], abs=1e-9)
+
+
+def test_sliding_windows_cross_blocks(spark):
+    """Blocks of 7 lines; windows equal those cut from the whole list."""
+    for count, size, stride in ((40, 5, 3), (23, 7, 1), (21, 7, 7), (30, 2, 5)):
+        out = windows.sliding_windows(_sequence(spark, count), size, stride, block=7).orderBy("window_idx").collect()
+        starts = range(0, count - size + 1, stride)
+        assert [r["start_idx"] for r in out] == list(starts)
+        assert [r["logs"] for r in out] == [[f"line {i}" for i in range(s, s + size)] for s in starts]
+
+
 def test_ties_take_the_smaller_id():
     bank = np.zeros((6, 2))
     assert [i for _, i in top_k(np.zeros((1, 2)), bank, np.arange(6), 3, "euclidean", None)[0]] == [0, 1, 2]
@@ -85,7 +149,7 @@ def test_factor_matches_brute_force(points):
 def test_detector_ranks_planted_outliers(points):
     matrix, df = points
     bank = features.build_bank(df.filter("id < 300"), "id")
-    found = scoring.score(df, scoring.fit_detector(bank, dims=4), "id").collect()
+    found = scoring.score(df, scoring.fit_detector(bank, dims=4)).collect()
     for method in ("knn", "cluster", "iforest", "ensemble"):
         top = {r["id"] for r in sorted(found, key=lambda r: -r[method])[:3]}
         assert top == {300, 301, 302}, method
