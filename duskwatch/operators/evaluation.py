@@ -23,7 +23,8 @@ from duskwatch.operators.features import build_bank
 from duskwatch.operators.neighbours import _matrix
 from duskwatch.operators.samples import hash_sample
 from duskwatch.operators.scores import lof
-from duskwatch.plans.ordering import blocks, freeze, percentiles, row_index, same_keys, scan
+from duskwatch.plans.ordering import blocks, freeze, same_keys, scan
+from duskwatch.plans.selection import before, bound_at, percentiles
 
 # --- with labels ---------------------------------------------------------------
 
@@ -384,9 +385,10 @@ def spatial_density(rows: DataFrame, key: str, k: int = 20, share: float = 0.1,
     total = factors.count()
     limit = percentiles(factors, "lof", {"p": 1.0 - share}).first()[0]
     label = F.when(F.col("lof") > limit, 1.0).otherwise(-1.0)
-    ranked = row_index(factors.select(key, "score", label.alias("_l")), ["score", key], name="_rank")
-    top = F.col("_rank") >= int(total * 0.9)
-    return ranked.agg(
+    narrow = factors.select(key, "score", label.alias("_l"))
+    start, _ = bound_at(narrow, ["score", key], int(total * 0.9))
+    top = ~before(narrow, ["score", key], start)
+    return narrow.agg(
         F.corr("_l", "score").alias("lof_correlation"),
         F.avg(F.when(top, F.col("_l"))).alias("top10pct_density"),
         F.avg(F.when(~top, F.col("_l"))).alias("rest_density"),

@@ -12,6 +12,7 @@ from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.text import tokens
 from duskwatch.operators.samples import hash_sample
 from duskwatch.plans.ordering import row_index
+from duskwatch.plans.selection import values_at
 
 
 def fit_vectorizer(rows: DataFrame, text: str = "text", dims: int = 256) -> PipelineModel:
@@ -124,10 +125,22 @@ def augment(rows: DataFrame, key: str, text: str = "text", seed: int = 0, out: s
 
 
 def mark_sample(rows: DataFrame, key: str, ratio: float = 0.5, seed: int = 0, out: str = "chosen") -> DataFrame:
-    """Mark exactly ``floor(rows * ratio)`` rows, chosen by hash order of the key."""
+    """Mark exactly ``floor(rows * ratio)`` rows, chosen by hash order of the key.
+
+    The hash at the last chosen place is found by counting, so no row moves.
+    Rows that share this hash (copies of one key, as a rule) are told apart by
+    their key and, where that is equal too, by a number given to them alone.
+    """
     wanted = int(rows.count() * ratio)
     hashed = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    return row_index(hashed, ["_h", key], name="_n").withColumn(out, F.col("_n") < wanted).drop("_h", "_n")
+    if wanted == 0:
+        return rows.withColumn(out, F.lit(False))
+    place = values_at(hashed, "_h", [wanted - 1])[wanted - 1]
+    if place.below + place.equal == wanted:
+        return hashed.withColumn(out, F.col("_h") <= place.value).drop("_h")
+    sure = hashed.filter(F.col("_h") != place.value).withColumn(out, F.col("_h") < place.value)
+    tied = row_index(hashed.filter(F.col("_h") == place.value), [key], name="_n")
+    return sure.unionByName(tied.withColumn(out, F.col("_n") < wanted - place.below).drop("_n")).drop("_h")
 
 
 def build_bank(rows: DataFrame, key: str, vec: str = "vec", limit: int | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact nearest neighbours of vectors in a bank.
 
-A bank of up to ``fixed.BANK_LIMIT`` vectors (counted before it is fetched)
+A bank of up to ``BROADCAST_VALUES`` entries (counted before it is fetched)
 is broadcast and each Arrow batch of queries is compared with it as one matrix
 product: no shuffle and no pair rows.
 
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from duskwatch.functions import fixed_values as fixed
 from duskwatch.operators.samples import hash_sample
 from duskwatch.plans.ordering import freeze
 
 _STEP = 512  # query rows per matrix product
 MOST_PIVOTS = 1024
+# Entries of a bank that is broadcast (8 MB as doubles), and of a block of a cell.
+BROADCAST_VALUES = 1 << 20
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -82,8 +83,15 @@ def top_k(queries: np.ndarray, bank: np.ndarray, ids: np.ndarray, k: int, metric
     return [list(zip(d.tolist(), ids[at].tolist())) for d, at in _top(queries, bank, ids, k, metric, own)]
 
 
-def collect_bank(bank: DataFrame, limit: int = fixed.BANK_LIMIT, carry: Sequence[str] = ()):
+def broadcast_rows(bank: DataFrame) -> int:
+    """How many vectors of the length found in this bank make up ``BROADCAST_VALUES`` entries."""
+    one = bank.select(F.size("vec")).first()
+    return BROADCAST_VALUES // max(one[0] if one else 1, 1)
+
+
+def collect_bank(bank: DataFrame, limit: int | None = None, carry: Sequence[str] = ()):
     """Ids, vectors and carried columns of a bank within the limit, ordered by id; None beyond it."""
+    limit = broadcast_rows(bank) if limit is None else limit
     rows = bank.select("bank_id", "vec", *carry).limit(limit + 1).toPandas()
     if len(rows) > limit:
         return None
@@ -105,16 +113,19 @@ def nearest(
     vec: str = "vec",
     metric: str = "euclidean",
     skip_self: bool = False,
-    limit: int = fixed.BANK_LIMIT,
+    limit: int | None = None,
     carry: Sequence[str] = (),
     report: dict | None = None,
 ) -> DataFrame:
     """Add ``neighbours``: the ``k`` nearest ``(distance, bank_id, *carry)`` of ``bank(bank_id, vec, *carry)``.
 
     ``key`` matters only with ``skip_self``, where it is the bank id a query must
-    not meet. ``report["pairs"]`` receives the number of vector pairs compared by
+    not meet. ``limit`` is the number of vectors to broadcast, or to put into one
+    block, at most (by default as many as make up ``BROADCAST_VALUES`` entries).
+    ``report["pairs"]`` receives the number of vector pairs compared by
     the route through pivots.
     """
+    limit = broadcast_rows(bank) if limit is None else limit
     small = collect_bank(bank, limit, carry)
     if small is None:
         return _nearest_by_pivots(queries, bank, k, key, vec, metric, skip_self, limit, carry, report)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions.predicates import contains_any, moment, score_band
 from duskwatch.functions.timecols import hour_text, micros
 from duskwatch.plans.ordering import row_index
+from duskwatch.plans.selection import has_bins, rows_between
 
 # --- filters ------------------------------------------------------------------
 
@@ -238,14 +239,18 @@ def dashboard(anomalies: DataFrame, logs: DataFrame, as_of, period: str = "month
 
 
 def page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
-    """One page of an ordered listing, with the total row count on every row."""
-    ranked = row_index(rows, order, name="_row")
-    first = (number - 1) * size
-    return (
-        ranked.filter((F.col("_row") >= first) & (F.col("_row") < first + size))
-        .drop("_row")
-        .withColumn("total", F.lit(rows.count()).cast("long"))
-    )
+    """One page of an ordered listing, with the total row count on every row.
+
+    Times and numbers are narrowed down to the page by counting; a listing
+    ordered by other columns is ranked as a whole.
+    """
+    first, total = (number - 1) * size, rows.count()
+    if has_bins(rows, order):
+        found = rows_between(rows, order, first, size)
+    else:
+        ranked = row_index(rows, order, name="_row")
+        found = ranked.filter((F.col("_row") >= first) & (F.col("_row") < first + size)).drop("_row")
+    return found.withColumn("total", F.lit(total).cast("long"))
 
 
 def run_rule_table(rules: list[dict], tables: dict[str, DataFrame]) -> DataFrame:

@@ -283,7 +283,7 @@ def forest_score(rows: DataFrame, forest: DataFrame, sample_size: int, vec: str
 
 def all_scores(
     rows: DataFrame, density: Density, centres: np.ndarray, directions: tuple[np.ndarray, np.ndarray], forest: DataFrame, sample_size: int, vec: str = "vec",
-    limit: int = fixed.BANK_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add the raw scores ``knn, cluster, lof, iforest, reconstruction`` and ``contrastive_distance``.
 

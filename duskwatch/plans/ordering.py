@@ -209,41 +209,3 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     other = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
     return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])
-
-
-def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per key (a null key is a key).
-
-    Distinct values are counted, scanned in order, and read off at the two
-    positions around each share, so no task holds the values of a key. A key
-    without a value has null percentiles.
-    """
-    keys = list(keys)
-    counted = (
-        rows.filter(F.col(column).isNotNull())
-        .groupBy(*keys, F.col(column).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    reached = scan(counted, ["_v"], keys, sums={"_upto": "_n"})
-    totals = rows.groupBy(*keys).agg((F.count(column) - 1).alias("_last"))
-    if keys:
-        placed = same_keys(reached, totals, keys)
-    else:
-        placed = reached.withColumn("_last", F.lit(totals.first()[0]))
-
-    def at(position: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
-
-    picked = placed.groupBy(*keys).agg(
-        F.max("_last").alias("_last"),
-        *[at(F.floor(F.col("_last") * q)).alias(f"_lo_{n}") for n, q in shares.items()],
-        *[at(F.ceil(F.col("_last") * q)).alias(f"_hi_{n}") for n, q in shares.items()],
-    )
-    if keys:
-        picked = same_keys(totals.drop("_last"), picked, keys, "left")
-    values = []
-    for name, share in shares.items():
-        part = F.col("_last") * share - F.floor(F.col("_last") * share)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        values.append((low + (high - low) * part).alias(name))
-    return picked.select(*keys, *values)
