@@ -38,14 +38,8 @@ COUNTED = {
     "ssh_high_frequency": (R.SSH_HIGH_FREQUENCY.tuned(DAY, 3), "ssh_logs", "TRUE", "count(*)"),
     "ssh_port_scan": (R.SSH_PORT_SCAN.tuned(DAY, 4), "ssh_logs", "TRUE", "count(*)"),
     "ssh_global_ddos": (R.SSH_GLOBAL_DDOS.tuned(DAY, 10), "ssh_logs", "event_type = 'invalid_user'", "count(*)"),
-    "ssh_distinct_ports": (
-        R.SSH_DISTINCT_PORTS.tuned(WEEK, 3, where=lambda: F.col("event_type").isin("authentication_failure", "login_success")),
-        "ssh_logs", "event_type IN ('authentication_failure', 'login_success')", "count(DISTINCT port)",
-    ),
-    "ssh_protocol_anomaly": (
-        R.SSH_PROTOCOL.tuned(MONTH, 0, where=lambda: (F.col("event_type") == "login_success") & (F.col("port") != 22)),
-        "ssh_logs", "event_type = 'login_success' AND port <> 22", "count(*)",
-    ),
+    "ssh_distinct_ports": (R.SSH_DISTINCT_PORTS.tuned(WEEK, 3), "ssh_attempts", "event_type IN ('connection_attempt', 'invalid_port')", "count(DISTINCT port)"),
+    "ssh_protocol_anomaly": (R.SSH_PROTOCOL.tuned(MONTH, 0), "ssh_attempts", "event_type = 'connection_attempt' AND port <> 22", "count(*)"),
     "web_brute_force": (R.WEB_BRUTE_FORCE.tuned(WEEK, 2), "web_logs", "status_code IN (401, 403)", "count(*)"),
     "web_scanner": (R.WEB_SCANNER.tuned(WEEK, 1), "web_logs", "status_code = 404", "count(*)"),
     "web_high_frequency": (R.WEB_HIGH_FREQUENCY.tuned(MONTH, 4), "web_logs", "TRUE", "count(*)"),

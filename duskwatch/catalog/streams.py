@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from duskwatch.catalog.detection import FLAGGED
 from duskwatch.catalog.registry import query, rounded
 from duskwatch.catalog.views import VIEWS, _point, cte, table, view
 from duskwatch.functions.predicates import moment
@@ -17,6 +18,7 @@ from duskwatch.plans.ordering import freeze
 from duskwatch.session import new_folder
 from duskwatch.sources import readers
 from duskwatch.streaming import detect as D
+from duskwatch.streaming.state import latest
 
 
 def _events(spark, sf):
@@ -55,6 +57,7 @@ _WINDOWED = {
     "ssh_reverse_dns_failure": (R.SSH_REVERSE_DNS, "ssh_logs", "event_type = 'reverse_dns_failure'", 2),
     "ssh_high_frequency": (R.SSH_HIGH_FREQUENCY, "ssh_logs", "TRUE", 5),
     "ssh_user_enumeration": (R.SSH_USER_ENUMERATION, "ssh_logs", "event_type = 'invalid_user'", 1),
+    "ssh_distinct_ports": (R.SSH_DISTINCT_PORTS, "ssh_attempts", "event_type IN ('connection_attempt', 'invalid_port')", 1),
     "ssh_global_ddos": (R.SSH_GLOBAL_DDOS, "ssh_logs", "event_type = 'invalid_user'", 60),
     "web_brute_force": (R.WEB_BRUTE_FORCE, "web_logs", "status_code IN (401, 403)", 1),
     "web_scanner": (R.WEB_SCANNER, "web_logs", "status_code = 404", 1),
@@ -81,11 +84,7 @@ for _name, _spec in _WINDOWED.items():
     _register_windowed(_name, *_spec)
 
 
-for _name, _rule, _source, _where in (
-    ("web_sql_injection", R.WEB_SQL_INJECTION, "web_logs", "path ILIKE '%UNION%SELECT%' OR path ILIKE '%1=1%' OR path ILIKE '%DROP%TABLE%'"),
-    ("firewall_internal_outbound", R.FIREWALL_OUTBOUND, "firewall_logs", "source_ip LIKE '192.168.%' AND dest_ip NOT LIKE '192.168.%' AND action = 'DROP'"),
-    ("mysql_privilege_change", R.MYSQL_PRIVILEGE, "mysql_logs", "sql_statement ILIKE '%GRANT%ALL%' OR sql_statement ILIKE '%REVOKE%'"),
-):
+for _name, (_rule, _source, _where) in FLAGGED.items():
 
     @query(f"stream_{_name}", cte(_source) + f"SELECT '{_rule.name}' AS anomaly_type, {', '.join(chr(34) + c + chr(34) for c in _rule.columns)} FROM {_source} WHERE {_where}")
     def _pattern(spark, sf, rule=_rule, source=_source):
@@ -138,10 +137,10 @@ def _stats(spark, sf):
     series.repartition(4).write.parquet(incoming)
     stream = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 2).parquet(incoming)
     D.running_stats(stream, folder)
-    return D.latest(spark, folder).select("method", rounded("min"), rounded("max"), rounded("sum"), "count")
+    return latest(spark, folder).select("method", rounded("min"), rounded("max"), rounded("sum"), "count")
 
 
-@query("stream_recent_bank", "SELECT vec_id AS bank_id FROM embeddings ORDER BY vec_id DESC LIMIT 100")
+@query("stream_recent_bank", "SELECT vec_id AS bank_id FROM embeddings ORDER BY vec_id DESC LIMIT 100")  # a bank of fixed size
 def _bank(spark, sf):
     """Vectors delivered in several files; the newest hundred are kept."""
     incoming, folder = new_folder(spark, "vectors"), new_folder(spark, "bank")
@@ -151,26 +150,47 @@ def _bank(spark, sf):
     rows.repartition(4).write.parquet(incoming)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
     D.recent_bank(stream, folder, limit=100)
-    return D.latest(spark, folder).select("bank_id")
+    return latest(spark, folder).select("bank_id")
 
 
-@query("stream_late_rows", cte("ssh_logs") + "SELECT count(*) AS rows FROM ssh_logs WHERE timestamp < CAST((SELECT max(timestamp) FROM ssh_logs) - INTERVAL 10 DAY AS DATE)")
+@query(
+    "stream_late_rows",
+    cte("ssh_logs")
+    + "SELECT source_ip, count(*) AS rows FROM ssh_logs WHERE timestamp < CAST((SELECT max(timestamp) FROM ssh_logs) - INTERVAL 10 DAY AS DATE) GROUP BY ALL",
+)
 def _late(spark, sf):
-    """Old rows arriving after newer ones are dropped and counted."""
-    incoming = new_folder(spark, "late")
+    """Old rows arrive after newer ones and are found in the table of late rows; the rule sees the others."""
+    incoming, folder = new_folder(spark, "late"), new_folder(spark, "late-sides")
     logs = freeze(view(spark, sf, "ssh_logs"))
     cut = logs.agg(F.to_date(F.max("timestamp") - F.expr("INTERVAL '10' DAY")).cast("timestamp_ntz")).first()[0]
     fresh = F.col("timestamp") >= moment(cut)
-    state, folder = new_folder(spark, "late-state"), new_folder(spark, "late-out")
-    logs.filter(fresh).write.mode("append").parquet(incoming)
-    rule = R.SSH_HIGH_FREQUENCY.tuned(threshold=0)
-
-    def run():
+    state = new_folder(spark, "late-state")
+    day_end = (F.date_trunc("day", "timestamp") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
+    for part in (fresh, ~fresh):
+        logs.filter(part).write.mode("append").parquet(incoming)
         stream = spark.readStream.schema(logs.schema).parquet(incoming)
-        return D.run_to_table(D.windowed_rule(stream, rule, "10 minutes", "1 day"), folder, state)
+        D.split_late(stream, folder, closes=day_end, checkpoint=state)
+    return D.side(spark, folder, "late", logs.schema).groupBy("source_ip").agg(F.count(F.lit(1)).alias("rows"))
+
 
-    run()
-    # one row per source and day, so that each dropped state row is one source and day
-    logs.filter(~fresh).write.mode("append").parquet(incoming)
-    dropped = D.late_rows(run())
-    return logs.agg(F.count_if(~fresh).alias("rows")).filter(F.lit(dropped > 0))
+@query(
+    "stream_rule_without_late_rows",
+    cte("ssh_logs")
+    + f""", n AS (SELECT max(timestamp) AS newest FROM ssh_logs), f AS (SELECT s.* FROM ssh_logs s, n WHERE timestamp >= CAST(newest - INTERVAL 10 DAY AS DATE))
+    SELECT '{R.SSH_HIGH_FREQUENCY.name}' AS anomaly_type, source_ip, CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end, count(*) AS connections
+    FROM f, n WHERE date_trunc('day', timestamp) + INTERVAL 1 DAY <= newest - INTERVAL 10 MINUTE GROUP BY ALL""",
+)
+def _on_time(spark, sf):
+    """A rule over the on-time side counts none of the late rows."""
+    incoming, folder = new_folder(spark, "late"), new_folder(spark, "late-sides")
+    logs = freeze(view(spark, sf, "ssh_logs"))
+    cut = logs.agg(F.to_date(F.max("timestamp") - F.expr("INTERVAL '10' DAY")).cast("timestamp_ntz")).first()[0]
+    fresh = F.col("timestamp") >= moment(cut)
+    state = new_folder(spark, "late-state")
+    day_end = (F.date_trunc("day", "timestamp") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
+    for part in (fresh, ~fresh):
+        logs.filter(part).write.mode("append").parquet(incoming)
+        D.split_late(spark.readStream.schema(logs.schema).parquet(incoming), folder, closes=day_end, checkpoint=state)
+    rows = spark.readStream.schema(logs.schema).option("recursiveFileLookup", True).parquet(f"{folder}/on-time")
+    rule = R.SSH_HIGH_FREQUENCY.tuned(threshold=0)
+    return _zone_free(_stored(spark, D.windowed_rule(rows, rule, duration="1 day"), "on-time"), "window_start", "window_end")

@@ -40,6 +40,11 @@ SELECT event_id AS id, ts AS timestamp, CAST(event_id % 32768 AS INT) AS process
     ELSE 'reverse_dns_failure' END AS event_type,
   concat('u', CAST(event_id % 7 AS STRING)) AS {{q}}user{{q}}, {_IP} AS source_ip,
   CAST(1024 + event_id % 50000 AS INT) AS port
+FROM events"""),
+    "ssh_attempts": (["events"], f"""
+SELECT event_id AS id, ts AS timestamp, CASE event_type WHEN 'error' THEN 'connection_attempt' WHEN 'purchase' THEN 'invalid_port'
+    WHEN 'view' THEN 'connection_attempt' ELSE 'connection_closed' END AS event_type,
+  {_IP} AS source_ip, CAST(CASE WHEN event_id % 3 = 0 THEN 22 ELSE 1024 + event_id % 20 END AS INT) AS port
 FROM events"""),
     "web_logs": (["events"], f"""
 SELECT event_id AS id, ts AS timestamp, {_IP} AS source_ip,

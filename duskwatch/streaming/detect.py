@@ -10,16 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from duskwatch.functions import fixed_values as fixed
+from duskwatch.functions.predicates import moment
 from duskwatch.functions.timecols import as_instant
 from duskwatch.operators import rules as R
 from duskwatch.operators.geo import with_country
 from duskwatch.operators.scores import merge_stats, score_stats
 from duskwatch.session import new_folder
+from duskwatch.streaming.state import advance, before_batch, newest, run
 
 
 def event_time(logs: DataFrame, delay: str = "10 minutes", ts: str = "timestamp") -> DataFrame:
@@ -76,59 +78,43 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str | None = None, on
     return started
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a finished or running query has dropped as too late."""
-    return sum(
-        int(state.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for state in progress.get("stateOperators", [])
-    )
+def split_late(
+    stream: DataFrame, folder: str, delay: str = "10 minutes", ts: str = "timestamp", closes: Column | None = None, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Part a stream into ``folder/on-time`` and ``folder/late``, batch by batch.
 
+    A row is late if the watermark, the newest time of all earlier batches minus
+    ``delay``, has passed ``closes`` (by default its own time; the end of its
+    window where windows are counted). The newest time is carried from batch to
+    batch with the rows' own progress, so every late row is written down however
+    long the stream runs. A rule over the on-time rows drops none of them: its
+    own watermark is never ahead of this one.
 
-def _versions(spark, folder: str) -> list[int]:
-    """Version numbers stored below ``folder``, from the shared file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(path)]
-    done = []
-    for name in names:
-        if name.startswith("v="):
-            marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
-            if files.exists(marker):
-                done.append(int(name[2:]))
-    return sorted(done)
+    Both sides are written per batch, so a repeated batch replaces its rows.
+    Rows without a time are on time.
+    """
+    closes = F.col(ts) if closes is None else closes
 
+    def step(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+        seen = batch.agg(F.max(ts).alias("newest"))
+        return (seen if state is None else state.select("newest").unionByName(seen)).agg(F.max("newest").alias("newest"))
 
-def latest(spark, folder: str) -> DataFrame | None:
-    """The newest complete version of a state table kept by a stream."""
-    known = _versions(spark, folder)
-    return spark.read.parquet(f"{folder}/v={known[-1]}") if known else None
+    carry = advance(f"{folder}/watermark", step)
 
+    def each(batch: DataFrame, number: int) -> None:
+        known = before_batch(batch.sparkSession, f"{folder}/watermark", number)
+        mark = known.first()["newest"] if known is not None else None
+        late = F.coalesce(closes <= moment(mark) - F.expr(f"INTERVAL {delay}"), F.lit(False)) if mark is not None else F.lit(False)
+        batch.filter(late).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        batch.filter(~late).write.mode("overwrite").parquet(f"{folder}/on-time/batch={number}")
+        carry(batch, number)
 
-def _advance(folder: str, step):
-    """Merge each batch into the next version; a repeated batch rewrites its own version."""
+    return run(stream, each, checkpoint)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = [v for v in _versions(spark, folder) if v < number]
-        state = spark.read.parquet(f"{folder}/v={earlier[-1]}") if earlier else None
-        step(state, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
 
-    return merge
-
-
-def _keep(stream: DataFrame, folder: str, step, checkpoint: str | None) -> StreamingQuery:
-    checkpoint = checkpoint or new_folder(stream.sparkSession, "stream-state")
-    started = (
-        stream.writeStream.foreachBatch(_advance(folder, step))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
-    return started
+def side(spark: SparkSession, folder: str, which: str, schema) -> DataFrame:
+    """The ``late`` or ``on-time`` rows of a split stream, with the batch they came in."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/{which}")
 
 
 def running_stats(scores: DataFrame, folder: str, checkpoint: str | None = None) -> StreamingQuery:
@@ -138,14 +124,18 @@ def running_stats(scores: DataFrame, folder: str, checkpoint: str | None = None)
         fresh = score_stats(batch)
         return fresh if state is None else merge_stats(state, fresh)
 
-    return _keep(scores, folder, step, checkpoint)
+    return run(scores, advance(folder, step), checkpoint)
 
 
 def recent_bank(vectors: DataFrame, folder: str, limit: int, checkpoint: str | None = None) -> StreamingQuery:
-    """Keep the newest ``limit`` vectors of a stream of ``(bank_id, ts, vec)``."""
+    """Keep the newest ``limit`` vectors of a stream of ``(bank_id, ts, vec)``.
+
+    The time and id from which on vectors stay are found by counting, so vectors
+    are filtered where they lie and never meet in one task.
+    """
 
     def step(state: DataFrame | None, batch: DataFrame) -> DataFrame:
         both = batch if state is None else state.unionByName(batch)
-        return both.orderBy(F.col("ts").desc(), F.col("bank_id").desc()).limit(limit)
+        return newest(both, ["ts", "bank_id"], limit)
 
-    return _keep(vectors.select("bank_id", "ts", "vec"), folder, step, checkpoint)
+    return run(vectors.select("bank_id", "ts", "vec"), advance(folder, step), checkpoint)
