@@ -9,6 +9,7 @@ from duskwatch.catalog.views import _IP, cte, table, view
 from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.timecols import back_from, calendar_range, parse_date
 from duskwatch.operators import questions as N
+from duskwatch.operators.answers import answer_questions
 
 _ADDRESS = _IP.replace("{div}", "//")
 _NOW = "(SELECT max(ts) FROM events)"
@@ -204,6 +205,41 @@ def _relative(spark, sf):
     return events.select("event_id", back_from(newest(spark, sf), (F.col("event_id") % 30).cast("int"), unit).alias("start"))
 
 
+# --- from question texts to rows ----------------------------------------------
+
+_ASKED = cte("auth_logs", "anomalies", "rules", "asked") + f""", w AS (SELECT q.question_id, q.form, q.most, q.ip, l.* FROM asked q JOIN auth_logs l
+    ON l.timestamp >= {_NOW} - to_days(CAST(q.days AS INTEGER)) AND l.timestamp <= {_NOW})"""
+_SHOWN = "question_id, kind, id, count, entity_name, source, event_category, data_type, event_time, description"
+_ANSWERS = {
+    "login_failures": """SELECT question_id, 'login_failures' AS kind, CAST(NULL AS BIGINT) AS id, count(*) AS count, "user" AS entity_name, source_ip AS source, 'login_failure' AS event_category,
+        'count' AS data_type, max(timestamp) AS event_time, CAST(NULL AS VARCHAR) AS description FROM w WHERE form = 0 AND event_type = 'login' AND message ILIKE '%failure%' GROUP BY question_id, "user", source_ip""",
+    "anomalies": """SELECT question_id, 'anomalies' AS kind, anomaly_id AS id, CAST(NULL AS BIGINT) AS count, CAST(NULL AS VARCHAR) AS entity_name, source_ip AS source, anomaly_type AS event_category,
+        'anomaly' AS data_type, timestamp AS event_time, message AS description FROM w JOIN anomalies a ON w.log_id = a.log_id WHERE form IN (1, 4)""",
+    "rules": """SELECT question_id, 'rules' AS kind, rule_id AS id, CAST(NULL AS BIGINT) AS count, name AS entity_name, '' AS source, action AS event_category,
+        'rule' AS data_type, created_at AS event_time, CAST(NULL AS VARCHAR) AS description FROM asked, rules WHERE form = 2""",
+    "logs": """SELECT question_id, 'logs' AS kind, log_id AS id, CAST(NULL AS BIGINT) AS count, CAST(NULL AS VARCHAR) AS entity_name, source_ip AS source, event_type AS event_category,
+        'log' AS data_type, timestamp AS event_time, message AS description FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY timestamp DESC, log_id) AS place FROM w
+        WHERE form = 4 OR (form = 3 AND (source_ip ILIKE ip OR message ILIKE '%' || ip || '%'))) WHERE place <= CASE form WHEN 3 THEN most ELSE 100 END""",
+}
+
+
+def _answered(spark, sf):
+    tables = [view(spark, sf, n) for n in ("auth_logs", "anomalies", "rules")]
+    return answer_questions(view(spark, sf, "asked"), *tables, newest(spark, sf))
+
+
+for _name, _sql in _ANSWERS.items():
+
+    @query(f"answered_{_name}", f"{_ASKED} {_sql}")
+    def _answers(spark, sf, kind=_name):
+        return _answered(spark, sf).filter(F.col("kind") == kind)
+
+
+@query("answered_questions", f"{_ASKED} SELECT {_SHOWN} FROM (" + ") UNION ALL SELECT * FROM (".join(_ANSWERS.values()) + ")")
+def _all_answers(spark, sf):
+    return _answered(spark, sf)
+
+
 _SPECIAL = {
     "今天": ("date_trunc('day', ts)", "date_trunc('day', ts) + INTERVAL 86399 SECOND"),
     "昨天": ("date_trunc('day', ts) - INTERVAL 1 DAY", "date_trunc('day', ts) - INTERVAL 1 SECOND"),

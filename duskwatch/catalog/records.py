@@ -8,6 +8,7 @@ from duskwatch.catalog.registry import newest, query
 from duskwatch.catalog.views import cte, view
 from duskwatch.functions.predicates import hour_between, is_ipv4, like_any, lower_like_any, since
 from duskwatch.operators import records as Q
+from duskwatch.operators.stored_rules import run_stored_rules
 from duskwatch.sources import sinks as S
 
 _SPAN = ("2024-01-05 00:00:00", "2024-01-20 12:00:00")
@@ -272,19 +273,31 @@ def _bag(spark, sf):
 # --- described extras ---------------------------------------------------------
 
 
+_STORED = (
+    cte("logs", "anomalies", "stored_rules")
+    + """, k AS (SELECT *, rule_id % 7 AS kind FROM stored_rules), top AS (SELECT max(log_id) AS log_id FROM logs GROUP BY source_ip HAVING count(*) > 3),
+    h AS (SELECT l.log_id, k.rule_id FROM logs l, k WHERE (kind = 0 AND event_type = 'failed_login' AND l.log_id % 50 = k.rule_id % 50)
+        OR (kind = 1 AND "user" = 'root' AND hour(l.timestamp) < 6) OR (kind = 6 AND (detected_by = 'AI' OR message IS NULL))
+      UNION ALL SELECT a.log_id, k.rule_id FROM anomalies a JOIN k ON kind = 2 AND a.score > (10 + k.rule_id % 80) / 100.0
+      UNION ALL SELECT top.log_id, k.rule_id FROM top, k WHERE kind = 3)"""
+)
+
+
+def _rules_and_tables(spark, sf):
+    return view(spark, sf, "stored_rules"), {n: view(spark, sf, n) for n in ("logs", "anomalies")}
+
+
 @query(
     "stored_sql_rules",
-    cte("logs")
-    + "SELECT log_id, CAST(1 AS BIGINT) AS rule_id, 'failures' AS anomaly_type, 'failed logins' AS description, 'rules' AS detected_by, CAST(1.0 AS DOUBLE) AS score FROM logs WHERE event_type = 'failed_login' "
-    "UNION ALL SELECT log_id, 2, 'root', 'root at night', 'rules', 1.0 FROM logs WHERE \"user\" = 'root' AND hour(timestamp) < 6",
+    _STORED + " SELECT h.log_id, h.rule_id, r.name AS anomaly_type, r.description, 'rules' AS detected_by, CAST(1.0 AS DOUBLE) AS score FROM h JOIN stored_rules r ON h.rule_id = r.rule_id",
 )
 def _stored(spark, sf):
-    rules = [
-        {"rule_id": 1, "name": "failures", "description": "failed logins", "sql_query": "SELECT log_id FROM logs WHERE event_type = 'failed_login'"},
-        {"rule_id": 2, "name": "root", "description": "root at night", "sql_query": "SELECT log_id FROM logs WHERE user = 'root' AND hour(timestamp) < 6"},
-        {"rule_id": 3, "name": "broken", "description": "skipped", "sql_query": "SELECT log_id FROM no_such_table"},
-    ]
-    return Q.run_rule_table(rules, {"logs": view(spark, sf, "logs")})
+    return run_stored_rules(*_rules_and_tables(spark, sf))[0]
+
+
+@query("stored_sql_rule_failures", cte("stored_rules") + "SELECT rule_id, name FROM stored_rules WHERE rule_id % 7 IN (4, 5)")
+def _stored_failures(spark, sf):
+    return run_stored_rules(*_rules_and_tables(spark, sf))[1].select("rule_id", "name")
 
 
 @query(

@@ -109,6 +109,30 @@ SELECT CAST(s_suppkey AS BIGINT) AS rule_id, concat('rule_', CAST(s_suppkey AS S
   CASE s_suppkey % 3 WHEN 0 THEN 'alert' WHEN 1 THEN 'block' ELSE 'log' END AS action,
   CAST('2024-01-01 00:00:00' AS {ntz}) + CAST(s_suppkey AS INT) * INTERVAL '1' MINUTE AS created_at
 FROM supplier"""),
+    "auth_logs": (["logs"], """
+SELECT log_id, timestamp, source_ip, event_type, {q}user{q}, detected_by,
+  CASE WHEN event_type = 'login' AND log_id % 3 = 0 THEN concat('login failure for user=', {q}user{q}) ELSE message END AS message
+FROM logs"""),
+    "asked": (["nation"], """
+SELECT CAST(n_nationkey AS BIGINT) AS question_id, CAST(n_nationkey % 9 + 1 AS BIGINT) AS days, CAST(n_nationkey % 15 + 1 AS BIGINT) AS most,
+  concat('10.0.0.', CAST(n_nationkey % 20 AS STRING)) AS ip, CAST(n_nationkey % 5 AS INT) AS form,
+  CASE n_nationkey % 5 WHEN 0 THEN concat('最近', CAST(n_nationkey % 9 + 1 AS STRING), '天登录失败的次数')
+    WHEN 1 THEN concat('最近', CAST(n_nationkey % 9 + 1 AS STRING), '天的异常')
+    WHEN 2 THEN '查看规则'
+    WHEN 3 THEN concat('最近', CAST(n_nationkey % 9 + 1 AS STRING), '天来自IP 10.0.0.', CAST(n_nationkey % 20 AS STRING), ' 的前', CAST(n_nationkey % 15 + 1 AS STRING), '条日志')
+    ELSE concat('合并最近', CAST(n_nationkey % 9 + 1 AS STRING), '天的异常和日志') END AS question
+FROM nation"""),
+    "stored_rules": (["supplier"], """
+SELECT CAST(s_suppkey AS BIGINT) AS rule_id, concat('rule ', CAST(s_suppkey AS STRING)) AS name, concat('watch ', s_name) AS description,
+  CASE s_suppkey % 7
+    WHEN 0 THEN concat('SELECT log_id FROM logs WHERE event_type = ''failed_login'' AND log_id % 50 = ', CAST(s_suppkey % 50 AS STRING))
+    WHEN 1 THEN 'select * from logs where user = ''root'' and hour(timestamp) < 6'
+    WHEN 2 THEN concat('SELECT log_id FROM anomalies WHERE score > 0.', CAST(10 + s_suppkey % 80 AS STRING))
+    WHEN 3 THEN 'SELECT max(log_id) AS log_id FROM logs GROUP BY source_ip HAVING count(*) > 3'
+    WHEN 4 THEN 'SELECT log_id FROM logs WHERE no_such_column = 1'
+    WHEN 5 THEN 'SELECT log_id FROM'
+    ELSE 'SELECT log_id FROM logs WHERE detected_by = ''AI'' OR message IS NULL' END AS sql_query
+FROM supplier WHERE s_suppkey <= 70"""),
     "anomalies": (["events"], """
 SELECT event_id AS anomaly_id, event_id AS log_id, event_id % 120 AS rule_id,
   CASE event_id % 3 WHEN 0 THEN 'rules' WHEN 1 THEN 'AI' ELSE 'both' END AS detected_by,

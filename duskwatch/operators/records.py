@@ -253,40 +253,6 @@ def page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame
     return found.withColumn("total", F.lit(total).cast("long"))
 
 
-def run_rule_table(rules: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
-    """Run stored SQL rules and collect ``(log_id, rule_id, anomaly_type, ...)``.
-
-    Each rule is ``{rule_id, name, description, sql_query}`` and selects a
-    ``log_id``. A rule that cannot be analysed is skipped and logged.
-    """
-    import logging
-
-    from pyspark.errors import AnalysisException, ParseException
-
-    spark = next(iter(tables.values())).sparkSession
-    out = None
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    for rule in rules:
-        try:
-            hits = spark.sql(rule["sql_query"]).select("log_id")
-        except (AnalysisException, ParseException) as error:
-            logging.getLogger(__name__).warning("rule %s skipped: %s", rule["name"], error)
-            continue
-        found = hits.select(
-            "log_id",
-            F.lit(rule["rule_id"]).cast("long").alias("rule_id"),
-            F.lit(rule["name"]).alias("anomaly_type"),
-            F.lit(rule["description"]).alias("description"),
-            F.lit("rules").alias("detected_by"),
-            F.lit(1.0).alias("score"),
-        )
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no rule could be run")
-    return out
-
-
 def word_counts(rows: DataFrame, text: str = "message", top: int = 20) -> DataFrame:
     """Most frequent cleaned words."""
     from duskwatch.functions.text import tokens
