@@ -301,11 +301,11 @@ def _lof_label(spark, sf):
 
 @query(
     "class_separation",
-    """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CASE WHEN label < 5 THEN 0 ELSE 1 END AS k FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 5000),
-    d AS (SELECT x.vec_id, x.k, y.k AS ok, sum(list_distance(x.a, y.a)) AS s, count(*) AS n FROM q x, q y GROUP BY ALL),
+    """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CASE WHEN label < 5 THEN 0 ELSE 1 END AS k FROM embeddings),
+    d AS (SELECT x.vec_id, x.k, y.k AS ok, sum(power(list_distance(x.a, y.a), 2)) AS s, count(*) AS n FROM q x, q y GROUP BY ALL),
     i AS (SELECT vec_id, k, max(CASE WHEN k = ok THEN s / (n - 1) END) AS inner_d, min(CASE WHEN k <> ok THEN s / n END) AS outer_d, max(CASE WHEN k = ok THEN s / n END) AS within FROM d GROUP BY ALL),
     c AS (SELECT k, i, avg(a[i]) AS m FROM q, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
-    t AS (SELECT sqrt(sum(power(x.m - y.m, 2))) AS inter FROM c x JOIN c y ON x.i = y.i AND x.k = 0 AND y.k = 1), w AS (SELECT avg(within) AS intra FROM (SELECT k, avg(within) AS within FROM i GROUP BY ALL))
+    t AS (SELECT sqrt(sum(power(x.m - y.m, 2))) AS inter FROM c x JOIN c y ON x.i = y.i AND x.k = 0 AND y.k = 1), w AS (SELECT avg(sqrt(within)) AS intra FROM (SELECT k, avg(within) AS within FROM i GROUP BY ALL))
     SELECT (SELECT round(avg((outer_d - inner_d) / greatest(outer_d, inner_d)), 5) + 0.0 FROM i) AS silhouette, round(intra, 5) AS intra_distance, round(inter, 5) AS inter_distance, round(inter / intra, 5) AS separation_index FROM t, w""",
 )
 def _separation(spark, sf):

@@ -109,25 +109,35 @@ def _adaptive(spark, sf):
 _WORDS = r"""list_filter(string_split_regex(lower(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(message, '\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}.\d{3}', '', 'g'),
     '\b(INFO|DEBUG|ERROR|WARNING|WARN|TRACE)\b', '', 'g'), '\s+', ' ', 'g')), '[^a-zA-Z0-9\s]', '', 'g')), '\s+'), lambda t: t <> '')"""
 _VOCABULARY = f"""vocabulary AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) AS BIGINT) AS token_id FROM
-    (SELECT token, count(*) AS n FROM (SELECT unnest({_WORDS}) AS token FROM logs) GROUP BY ALL) ORDER BY n DESC, token LIMIT 200)"""
+    (SELECT token, count(*) AS n FROM (SELECT unnest({_WORDS}) AS token FROM logs) GROUP BY ALL))"""
 
 
 @query("word_vocabulary", cte("logs") + f", {_VOCABULARY} SELECT * FROM vocabulary")
 def _vocabulary(spark, sf):
-    return features.build_vocabulary(view(spark, sf, "logs"), "message", 200)
+    return features.build_vocabulary(view(spark, sf, "logs"), "message", None)
+
+
+_CODED = f""", {_VOCABULARY}, w AS (SELECT log_id, unnest({_WORDS}) AS token, generate_subscripts({_WORDS}, 1) AS place FROM logs),
+    i AS (SELECT log_id, place, token_id AS id FROM w JOIN vocabulary v ON w.token = v.token)"""
+
+
+@query("token_id_lists", cte("logs") + _CODED + " SELECT log_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS ids FROM i GROUP BY ALL")
+def _ids(spark, sf):
+    """Every word of every message."""
+    logs = view(spark, sf, "logs")
+    vocabulary = features.build_vocabulary(logs, "message", None)
+    return features.token_ids(logs, vocabulary, "log_id", "message", None).select("log_id", F.array_join("ids", ",").alias("ids"))
 
 
 @query(
-    "token_id_lists",
-    cte("logs")
-    + f""", {_VOCABULARY}, w AS (SELECT log_id, unnest({_WORDS}) AS token, generate_subscripts({_WORDS}, 1) AS place FROM logs),
-    i AS (SELECT log_id, place, coalesce(token_id, (SELECT max(token_id) + 1 FROM vocabulary)) AS id FROM w LEFT JOIN vocabulary v ON w.token = v.token WHERE place <= 8)
-    SELECT log_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) || repeat(',0', CAST(8 - count(*) AS INTEGER)) AS ids FROM i GROUP BY ALL""",
+    "padded_token_id_lists",
+    cte("logs") + _CODED + " SELECT log_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) || repeat(',0', CAST(128 - count(*) AS INTEGER)) AS ids FROM i GROUP BY ALL",
 )
-def _ids(spark, sf):
+def _padded(spark, sf):
+    """The lists as a model takes them: 128 ids, the vocabulary of 30,522 words."""
     logs = view(spark, sf, "logs")
-    vocabulary = features.build_vocabulary(logs, "message", 200)
-    return features.token_ids(logs, vocabulary, "log_id", "message", 8).select("log_id", F.array_join("ids", ",").alias("ids"))
+    vocabulary = features.build_vocabulary(logs, "message")
+    return features.token_ids(logs, vocabulary, "log_id", "message").select("log_id", F.array_join("ids", ",").alias("ids"))
 
 
 @query("message_vectors")

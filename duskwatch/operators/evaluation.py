@@ -21,7 +21,6 @@ from duskwatch.functions import fixed_values as fixed
 from duskwatch.functions.predicates import excludes_all, score_band
 from duskwatch.operators.features import build_bank
 from duskwatch.operators.neighbours import _matrix
-from duskwatch.operators.samples import hash_sample
 from duskwatch.operators.scores import lof
 from duskwatch.plans.ordering import blocks, freeze, same_keys, scan
 from duskwatch.plans.selection import before, bound_at, percentiles
@@ -405,50 +404,54 @@ def mean_lof_label(rows: DataFrame, key: str, k: int = 20, vec: str = "vec") ->
     )
 
 
-def class_separation(rows: DataFrame, key: str, vec: str = "vec", label: str = "label", sample: int = 5000) -> DataFrame:
-    """Silhouette, mean distances within the classes, centre distance and their ratio.
+def class_separation(rows: DataFrame, key: str, vec: str = "vec", label: str = "label") -> DataFrame:
+    """Silhouette, distance within the classes, centre distance and their ratio, over all rows.
 
-    Defined on at most ``sample`` rows (in hash order beyond that), which bounds
-    the matrix each task compares its batch with.
+    Distances are squared, as the sum of squared distances from ``x`` to all
+    ``n`` rows of a class is ``n`` times that to its centre plus the class's own
+    spread; so centres, counts and spreads are all a row has to know.
+    ``intra_distance`` is the root of the mean squared distance of two rows of a
+    class, averaged over the classes. Rows without vector or label are left out.
+    The driver receives one row per class. ``key`` is not needed and kept for
+    callers that name it.
     """
-    chosen = freeze(
-        hash_sample(rows.select(F.col(key).alias("_k"), F.col(vec).alias("vec"), F.col(label).alias("label")), "_k", sample)
+    known = rows.select(F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("vec")).filter(
+        F.col("vec").isNotNull() & F.col("label").isNotNull()
     )
-    local = chosen.toPandas()
-    shared = chosen.sparkSession.sparkContext.broadcast((_matrix(local["vec"]), local["label"].to_numpy()))
-
-    @F.pandas_udf("within double, silhouette double")
-    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        matrix, labels = shared.value
-        kinds = np.unique(labels)
-        for vectors, own in batches:
-            mine = _matrix(vectors)
-            gaps = np.sqrt(
-                np.maximum((mine * mine).sum(1)[:, None] + (matrix * matrix).sum(1)[None, :] - 2 * mine @ matrix.T, 0.0)
-            )
-            gaps[gaps < 1e-7] = 0.0
-            sums = np.stack([gaps[:, labels == kind].sum(axis=1) for kind in kinds], axis=1)
-            sizes = np.array([(labels == kind).sum() for kind in kinds])
-            at = np.searchsorted(kinds, own.to_numpy())
-            line = np.arange(len(at))
-            inner = sums[line, at] / np.maximum(sizes[at] - 1, 1)
-            outer = sums / sizes
-            outer[line, at] = np.inf
-            nearest = outer.min(axis=1)
-            value = np.where(sizes[at] > 1, (nearest - inner) / np.maximum(np.maximum(inner, nearest), 1e-300), 0.0)
-            yield pd.DataFrame({"within": sums[line, at] / sizes[at], "silhouette": value})
-
-    measured = freeze(chosen.withColumn("_m", measure("vec", "label")))
-    silhouette = measured.agg(F.avg("_m.silhouette").alias("silhouette"))
-    per_class = measured.groupBy("label").agg(F.avg("_m.within").alias("intra"))
-    dense = chosen.select("label", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
-    centres = {r[0]: r[1].toArray() for r in dense.groupBy("label").agg(Summarizer.mean(F.col("v"))).collect()}
-    two = sorted(centres)
-    between = float(np.linalg.norm(centres[two[0]] - centres[two[1]])) if len(two) == 2 else None
-    intra = per_class.agg(F.avg("intra")).first()[0]
-    out = silhouette.withColumn("intra_distance", F.lit(intra).cast("double"))
-    return out.withColumn("inter_distance", F.lit(between).cast("double")).withColumn(
-        "separation_index", F.col("inter_distance") / F.nullif("intra_distance", F.lit(0.0))
+    dense = known.select("label", array_to_vector("vec").alias("v"))
+    classes = dense.groupBy("label").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("v")).alias("m")).orderBy("label").collect()
+    names = [r["label"] for r in classes]
+    centres = np.array([r["m"].toArray() for r in classes])
+    sizes = np.array([r["n"] for r in classes], dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def squares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            matrix = _matrix(vectors)
+            yield pd.Series([[float(((x - c) ** 2).sum()) for c in centres] for x in matrix])
+
+    place = F.coalesce(*[F.when(F.col("label") == F.lit(n), F.lit(i)) for i, n in enumerate(names)]) if names else F.lit(None).cast("int")
+    measured = known.select(place.alias("at"), squares("vec").alias("gaps"))
+    own = F.get("gaps", F.col("at"))
+    spread = {r["at"]: r["s"] for r in measured.groupBy("at").agg(F.sum(own).alias("s")).collect()}
+    spreads = [float(spread.get(i, 0.0)) for i in range(len(names))]
+
+    count = lambda i: F.element_at(F.array(*[F.lit(float(n)) for n in sizes]), i + 1)
+    held = lambda i: F.element_at(F.array(*[F.lit(v) for v in spreads]), i + 1)
+    spark = rows.sparkSession
+    if len(names) > 1:
+        at = F.col("at")
+        inner = (own * count(at) + held(at)) / (count(at) - 1)
+        outer = F.array_min(F.filter(F.transform("gaps", lambda g, i: F.when(i != at, g + held(i) / count(i))), lambda v: v.isNotNull()))
+        value = F.when(count(at) > 1, (outer - inner) / F.greatest(inner, outer, F.lit(1e-300))).otherwise(0.0)
+        silhouette = measured.agg(F.avg(value)).first()[0]
+    else:
+        silhouette = None
+    intra = float(np.mean([np.sqrt(2.0 * s / n) for s, n in zip(spreads, sizes)])) if names else None
+    between = float(np.linalg.norm(centres[0] - centres[1])) if len(names) == 2 else None
+    ratio = between / intra if between is not None and intra else None
+    return spark.createDataFrame(
+        [(silhouette, intra, between, ratio)], "silhouette DOUBLE, intra_distance DOUBLE, inter_distance DOUBLE, separation_index DOUBLE"
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -54,33 +57,63 @@ def apply_tfidf(rows: DataFrame, model: PipelineModel, text: str = "text") -> Da
     return model.transform(rows.withColumn("_terms", _terms(text))).drop("_terms", "_counts")
 
 
-def build_vocabulary(rows: DataFrame, text: str = "text", size: int = 30_522) -> DataFrame:
-    """``token, token_id``: the ``size`` most frequent words, ids from 1; 0 is padding."""
+def build_vocabulary(rows: DataFrame, text: str = "text", size: int | None = 30_522) -> DataFrame:
+    """``token, token_id``: the ``size`` most frequent words (all for None), ids from 1; 0 is padding.
+
+    Words are ranked by falling frequency, ties by the word.
+    """
     counted = rows.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    kept = counted.orderBy(F.desc("n"), "token").limit(size)
-    ranked = row_index(kept.withColumn("_down", -F.col("n")), ["_down", "token"], parts=1)
+    kept = counted if size is None else counted.orderBy(F.desc("n"), "token").limit(size)
+    ranked = row_index(kept.withColumn("_down", -F.col("n")), ["_down", "token"])
     return ranked.select("token", (F.col("idx") + 1).alias("token_id"))
 
 
-def token_ids(rows: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", length: int = 128) -> DataFrame:
-    """``key, ids``: fixed-length id lists; unknown words get ``vocabulary size + 1``.
+# Words of a vocabulary that is sent to every task; a larger one is joined by a shuffle.
+BROADCAST_WORDS = 200_000
+
+
+def token_ids(rows: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", length: int | None = 128) -> DataFrame:
+    """``key, ids``: id lists padded to ``length``; unknown words get ``vocabulary size + 1``.
 
     A list is ``length`` long by definition, so only its first ``length`` words
-    are looked up.
+    are looked up; None takes every word and pads nothing. A vocabulary up to
+    ``BROADCAST_WORDS`` words is a sorted array in every task and each text is
+    coded where it lies; a larger one is joined word by word. A null text has no
+    words.
     """
-    unknown = vocabulary.agg((F.max("token_id") + 1).alias("u")).first()["u"] or 1
-    words = rows.select(key, F.posexplode_outer(F.slice(tokens(text), 1, length)).alias("_at", "token"))
-    # ids are dense, so the largest one tells the size of the vocabulary
-    small = unknown <= 1_000_000
-    looked = words.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left")
-    listed = looked.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("token_id", F.lit(unknown)).alias("i"))))
-        ).alias("_l")
-    )
-    ids = F.transform("_l", lambda x: x["i"])
-    padding = F.array_repeat(F.lit(0).cast("long"), F.lit(length) - F.size("_l"))
-    return listed.select(key, F.concat(ids, padding).alias("ids"))
+    known = vocabulary.count()
+    unknown = known + 1
+    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    words = words if length is None else F.slice(words, 1, length)
+    if known <= BROADCAST_WORDS:
+        coded = _coded_in_place(rows.select(key, words.alias("_w")), vocabulary, key, unknown)
+    else:
+        coded = _coded_by_join(rows.select(key, words.alias("_w")), vocabulary, key, unknown)
+    if length is None:
+        return coded
+    padding = F.array_repeat(F.lit(0).cast("long"), F.lit(length) - F.size("ids"))
+    return coded.select(key, F.concat("ids", padding).alias("ids"))
+
+
+def _coded_in_place(listed: DataFrame, vocabulary: DataFrame, key: str, unknown: int) -> DataFrame:
+    local = {r["token"]: r["token_id"] for r in vocabulary.select("token", "token_id").collect()}
+    shared = listed.sparkSession.sparkContext.broadcast(local)
+
+    @F.pandas_udf("array<bigint>")
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = shared.value
+        for lists in batches:
+            yield lists.map(lambda words: [ids.get(w, unknown) for w in words])
+
+    return listed.select(key, look_up("_w").alias("ids"))
+
+
+def _coded_by_join(listed: DataFrame, vocabulary: DataFrame, key: str, unknown: int) -> DataFrame:
+    words = listed.select(key, F.posexplode_outer("_w").alias("_at", "token"))
+    looked = words.join(vocabulary, "token", "left")
+    one = F.struct("_at", F.coalesce("token_id", F.lit(unknown)).alias("i"))
+    gathered = looked.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), one))).alias("_l"))
+    return gathered.select(key, F.transform("_l", lambda x: x["i"]).alias("ids"))
 
 
 def augment(rows: DataFrame, key: str, text: str = "text", seed: int = 0, out: str = "augmented") -> DataFrame:

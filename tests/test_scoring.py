@@ -220,9 +220,45 @@ def test_augmentation_rules(spark):
     assert again == {i: r["augmented"] for i, r in out.items()}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_token_ids_on_both_routes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(features, "BROADCAST_WORDS", 1000 if broadcast else 0)
+    rows = spark.createDataFrame([(1, "b a b zz"), (2, None), (3, ""), (4, "a b c d e f")], "id INT, text STRING")
+    words = features.build_vocabulary(rows.filter("id = 1"), size=2)
+    assert {r["token"]: r["token_id"] for r in words.collect()} == {"b": 1, "a": 2}
+    whole = {r["id"]: r["ids"] for r in features.token_ids(rows, words, "id", length=None).collect()}
+    assert whole == {1: [1, 2, 1, 3], 2: [], 3: [], 4: [2, 1, 3, 3, 3, 3]}
+    short = {r["id"]: r["ids"] for r in features.token_ids(rows, words, "id", length=3).collect()}
+    assert short == {1: [1, 2, 1], 2: [0, 0, 0], 3: [0, 0, 0], 4: [2, 1, 3]}
+
+
 # --- evaluation ----------------------------------------------------------------
 
 
+def test_class_separation_matches_all_pairs(spark):
+    """Three classes, one of a single row; rows without vector or label do not count."""
+    draw = np.random.default_rng(4)
+    matrix = np.vstack([draw.normal(size=(40, 3)) + 1e6, draw.normal(size=(25, 3)) + 1e6 + 2, [[1e6 + 9.0] * 3]])
+    labels = np.array([0] * 40 + [1] * 25 + [7])
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(matrix, labels))] + [(90, None, 0), (91, [0.0] * 3, None)]
+    df = spark.createDataFrame(rows, "id BIGINT, vec ARRAY<DOUBLE>, label INT").repartition(3)
+    square = ((matrix[:, None] - matrix[None]) ** 2).sum(axis=2)
+    values = []
+    for i, own in enumerate(labels):
+        mine = labels == own
+        inner = square[i, mine].sum() / (mine.sum() - 1) if mine.sum() > 1 else None
+        outer = min(square[i, labels == k].mean() for k in set(labels) - {own})
+        values.append(0.0 if inner is None else (outer - inner) / max(inner, outer))
+    one = E.class_separation(df, "id").first()
+    assert one["silhouette"] == pytest.approx(np.mean(values), abs=1e-9) and one["inter_distance"] is None
+    two = E.class_separation(df.filter("label < 2"), "id").first()
+    intra = np.mean([np.sqrt(square[np.ix_(labels == k, labels == k)].mean()) for k in (0, 1)])
+    assert two["intra_distance"] == pytest.approx(intra, rel=1e-9)
+    assert two["separation_index"] == pytest.approx(two["inter_distance"] / intra)
+    assert E.class_separation(df.filter("label = 7"), "id").first()["silhouette"] is None
+    assert E.class_separation(df.limit(0), "id").first()["intra_distance"] is None
+
+
 def test_ties_count_half(spark):
     df = spark.createDataFrame([(0.5, 1), (0.5, 0), (0.9, 1), (0.1, 0)], "score DOUBLE, label INT")
     row = E.areas(E.curve(df)).first()
