@@ -29,19 +29,25 @@ REMEMBERED = 400_000
 # Words up to this many bytes are contracted together, one pair of each per round.
 SHORT = 64
 
+# Rows form a chain: ``following`` and ``next_pos`` name the token after each, so a
+# round needs hash joins only and no ordering.
 CONTRACT = """
-WITH RECURSIVE step(word, pos, token, live) AS (
-  SELECT word, pos, token, true FROM start
+WITH RECURSIVE step(word, pos, token, following, next_pos, live) AS (
+  SELECT word, pos, token, following, next_pos, true FROM start
   UNION ALL
-  SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.token END, b.word IS NOT NULL
+  SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.token END,
+    CASE WHEN s.pos = b.pos THEN b.third WHEN s.next_pos = b.pos THEN b.merged ELSE s.following END,
+    CASE WHEN s.pos = b.pos THEN b.third_pos ELSE s.next_pos END,
+    b.word IS NOT NULL
   FROM step s LEFT JOIN (
-    SELECT p.word, min(m.merged) AS merged, arg_min(p.pos, m.merged::BIGINT << 32 | p.pos) AS pos,
-      arg_min(p.next_pos, m.merged::BIGINT << 32 | p.pos) AS eaten
+    SELECT c.word, c.best & 4294967295 AS pos, (c.best >> 32)::INT AS merged, c.eaten,
+      e.following AS third, e.next_pos AS third_pos
     FROM (
-      SELECT word, pos, token, lead(token) OVER w AS following, lead(pos) OVER w AS next_pos
-      FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ) p JOIN merges m ON m.first = p.token AND m.second = p.following
-    GROUP BY p.word
+      SELECT p.word, min(m.merged::BIGINT << 32 | p.pos) AS best,
+        arg_min(p.next_pos, m.merged::BIGINT << 32 | p.pos) AS eaten
+      FROM step p JOIN merges m ON m.first = p.token AND m.second = p.following
+      WHERE p.live GROUP BY p.word
+    ) c JOIN step e ON e.word = c.word AND e.pos = c.eaten
   ) b ON b.word = s.word
   WHERE s.live AND (b.word IS NULL OR s.pos <> b.eaten)
 )
@@ -80,7 +86,7 @@ WITH RECURSIVE step(pos, token, live, low, bad) AS (
 SELECT bool_or(bad) AS bad, list(token ORDER BY pos) AS ids FROM step WHERE NOT live
 """
 ASSEMBLE = """
-SELECT r.doc, string_agg(v.hex, '' ORDER BY r.pos) AS hex, count(v.hex) AS known
+SELECT r.doc, list(v.piece ORDER BY r.pos) AS pieces, count(v.piece) AS known
 FROM rows r LEFT JOIN vocabulary v ON v.id = r.id GROUP BY r.doc ORDER BY r.doc
 """
 
@@ -113,7 +119,7 @@ def _connect():
 class Encoder:
     """Encodes words of one task; keeps what it has encoded."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: np.ndarray):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -122,7 +128,6 @@ class Encoder:
             raise ValueError(f"the ranks lack single bytes: {missing[:5]}")
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.ranks = ranks
-        table = merge_table(ranks)
         self.con = _connect()
         held = pa.table({n: table[:, i] for i, n in enumerate(("first", "second", "merged"))})
         self.con.register("held", held)
@@ -152,11 +157,18 @@ class Encoder:
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         first = np.cumsum(lengths) - lengths
         data = np.frombuffer(b"".join(raw), np.uint8)
+        token = self.of_byte[data]
+        pos = (np.arange(len(data)) - np.repeat(first, lengths)).astype(np.int32)
+        following, next_pos = np.append(token[1:], -1).astype(np.int32), pos + 1
+        last = (first + lengths - 1)[lengths > 0]
+        following[last] = next_pos[last] = -1
         start = pa.table(
             {
                 "word": np.repeat(np.arange(len(raw), dtype=np.int32), lengths),
-                "pos": (np.arange(len(data)) - np.repeat(first, lengths)).astype(np.int32),
-                "token": self.of_byte[data],
+                "pos": pos,
+                "token": token,
+                "following": following,
+                "next_pos": next_pos,
             }
         )
         self.con.register("start", start)
@@ -206,16 +218,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     """``docs`` without its text and with ``ids``: the ids of the whole text, special tokens off.
 
     Each match of ``pattern`` is encoded separately. A null text counts as empty
-    and gives an empty list; an empty table gives no rows. Memory is bounded by
+    and gives an empty list; an empty table gives no rows. Repeated rows each
+    count; an input column named ``out`` is replaced. Memory is bounded by
     the batch, the words a task remembers and the longest text.
     """
-    held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # the vocabulary
+    ranks = read_ranks(ranks_path)
+    held = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))  # the vocabulary
     rest = [c for c in docs.columns if c not in (text_col, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(held.value, pattern)
+            encoder = encoder or Encoder(held.value[0], pattern, held.value[1])
             column = batch.column(batch.num_columns - 1)
             sizes = np.array([len(t.as_buffer()) for t in column], np.int64)
             for a, b in _slices(batch, sizes, 4 << 20):
@@ -232,12 +246,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return narrow.mapInArrow(run, schema)
 
 
+def _joined(pieces: pa.ListArray) -> Iterator[bytes]:
+    """The bytes of each list: pieces of a list lie next to each other."""
+    flat = pieces.flatten()
+    if not len(flat):
+        return
+    ends = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset)
+    data = memoryview(flat.buffers()[2])
+    edges = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()].tolist()
+    for a, b in zip(edges, edges[1:]):
+        yield bytes(data[a:b])
+
+
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``decoded`` (binary): the bytes of the ids in order, by ordered aggregation.
 
     A null or empty list decodes to no bytes; an id outside the vocabulary is an
-    error. Texts longer than one query's share of ids are decoded in pieces.
+    error. Repeated rows each count; an input column named ``out`` is replaced.
+    Texts longer than one query's share of ids are decoded in pieces.
     """
+    rows = rows.drop(out)
     held = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +273,10 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "d
         for batch in batches:
             if con is None:
                 con = _connect()
-                items = sorted((r, t.hex()) for t, r in held.value.items())
+                items = sorted((r, t) for t, r in held.value.items())
                 con.register(
                     "held",
-                    pa.table({"id": pa.array([i for i, _ in items], pa.int32()), "hex": [h for _, h in items]}),
+                    pa.table({"id": pa.array([i for i, _ in items], pa.int32()), "piece": [t for _, t in items]}),
                 )
                 con.execute("CREATE TABLE vocabulary AS SELECT * FROM held")
             column = batch.column(batch.schema.get_field_index(ids_col))
@@ -265,12 +293,12 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "d
                         {"doc": doc[at:end], "pos": np.arange(at, end, dtype=np.int64), "id": flat[at:end]}
                     )
                     con.register("rows", piece)
-                    found = con.execute(ASSEMBLE).fetchall()
+                    found = con.sql(ASSEMBLE).to_arrow_table().combine_chunks()
                     con.unregister("rows")
-                    if sum(known for _, _, known in found) != end - at:
+                    if sum(found.column("known").to_pylist()) != end - at:
                         raise ValueError("an id is not in the vocabulary")
-                    for i, text, _ in found:
-                        texts[i] += bytes.fromhex(text)
+                    for i, text in zip(found.column("doc").to_pylist(), _joined(found.column("pieces").combine_chunks())):
+                        texts[i] += text
                 kept = [c.slice(a, b - a) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.binary())], [*batch.schema.names, out])
 
