@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.plans.ordering import freeze
@@ -67,6 +67,16 @@ def unzip():
     return zstandard.ZstdDecompressor().decompress
 
 
+def small_batches(spark: SparkSession, rows: int = 2048, size: int = 8 << 20) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows and about ``size`` bytes.
+
+    Batches wait in memory on both sides of a Python worker, whole texts in them;
+    a job that runs many stages on the same executors keeps the sum of it low so.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back."""
     spark = df.sparkSession

@@ -171,12 +171,19 @@ def near_duplicate_components(
 def keep_one_per_component(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = BLOCK_LIMIT
 ) -> DataFrame:
-    """``docs`` with one row of each component: the smallest id (a null id comes last)."""
+    """``docs`` with one row of each component: the smallest id (a null id comes last).
+
+    Rows equal in id and text are thinned to one; only rows known to have an
+    equal one are compared for it. Whole texts are shuffled once and not sorted.
+    """
     keyed = with_document_key(packed(docs, "doc_id", "text"))
     placed = near_duplicate_components(keyed, ["doc_id", "_k1", "_k2"], shingle, distance, limit)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
-    winners = placed.groupBy("root").agg(F.min(order).alias("w")).select("w._k1", "w._k2")
-    one_each = keyed.dropDuplicates(["_k1", "_k2"])
-    return one_each.join(winners, ["_k1", "_k2"], "left_semi").select(
-        *unpacked(docs.columns, ("doc_id", "text"))
-    )
+    winners = freeze(placed.groupBy("root").agg(F.min(order).alias("w")).select("w._k1", "w._k2"))
+    repeated = freeze(placed.groupBy("_k1", "_k2").count().where("count > 1").select("_k1", "_k2"))
+    keys = ["_k1", "_k2"]
+    kept = keyed.join(winners.hint("shuffle_hash"), keys, "left_semi")
+    if repeated.limit(1).count():
+        again = kept.join(repeated.hint("shuffle_hash"), keys, "left_semi").dropDuplicates(keys)
+        kept = kept.join(repeated.hint("shuffle_hash"), keys, "left_anti").unionByName(again)
+    return kept.select(*unpacked(docs.columns, ("doc_id", "text")))
