@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.plans import ordering as O
+from duskwatch.plans.selection import percentiles
 
 
 @pytest.fixture(scope="module")
@@ -105,10 +106,10 @@ def test_percentiles_match_with_null_keys_and_values(spark, hot):
 
     rows, df = hot
     shares = {"a": 0.25, "b": 0.5, "c": 0.95}
-    one = O.percentiles(df, "t", shares).first()
+    one = percentiles(df, "t", shares).first()
     values = np.array([r[1] for r in rows], dtype=float)
     assert [one[n] for n in shares] == pytest.approx([np.percentile(values, 100 * q) for q in shares.values()])
-    by_key = O.percentiles(df, "t", shares, ["k"]).collect()
+    by_key = percentiles(df, "t", shares, ["k"]).collect()
     assert {r["k"] for r in by_key} == {r[0] for r in rows}
     for row in by_key:
         mine = np.array([r[1] for r in rows if r[0] == row["k"]], dtype=float)
@@ -125,5 +126,5 @@ def test_hash_sample_is_exact(spark):
 
 def test_percentiles_of_a_key_without_values_are_null(spark):
     df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", None)], "k STRING, v DOUBLE")
-    found = {r["k"]: r["m"] for r in O.percentiles(df, "v", {"m": 0.5}, ["k"]).collect()}
+    found = {r["k"]: r["m"] for r in percentiles(df, "v", {"m": 0.5}, ["k"]).collect()}
     assert found == {"a": 1.0, None: 2.0, "b": None}
