@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -274,3 +275,28 @@ def test_co_training_learns_exchanges_and_holds_out(spark):
     assert np.mean([k == bool(q) for k, q in hidden]) > 0.95
     assert cotraining.classify(docs, labels.limit(0)).where("NOT kept").count() == 0
     assert cotraining.classify(docs.limit(0), labels).count() == 0
+
+
+def test_few_labels_in_many_documents_give_a_model_like_the_unsampled_fit(spark):
+    draw = random.Random(12)
+    rows = []
+    for i in range(4000):
+        bad = i % 5 == 0
+        text = prose(draw, draw.randint(20, 60))
+        rows.append((i, text.upper() if bad else text, "en", "junk" if bad and i % 3 else f"src{i % 7}", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 4000, 16)], "doc_id bigint, quality int, toxic int")
+    kept = []
+    for limits in ({}, {"fit_rows": 90, "handed_rows": 60}):
+        model = cotraining.fit(docs, labels, **limits)
+        assert model.exchanged > 500
+        kept.append({r.doc_id: r.kept for r in cotraining.score(docs, model).select("doc_id", "kept").collect()})
+        assert np.mean([k == bool(i % 5) for i, k in kept[-1].items()]) > 0.97
+    assert np.mean([kept[0][i] == kept[1][i] for i in kept[0]]) > 0.97
+
+
+def test_views_are_separate():
+    texts = [b"one two", b"THREE\n\nfour"]
+    assert cotraining._views(*map(pd.Series, (texts, ["en"] * 2, [None] * 2, [3.0] * 2)))[
+        :, cotraining.text_view([b""]).shape[1] :
+    ].std(axis=0).max() == 0
