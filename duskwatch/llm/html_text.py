@@ -24,6 +24,7 @@ NEVER = frozenset(
     "button input form fieldset nav aside footer dialog menu noembed noframes xmp".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+FRAMES = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = BLOCKS - {"html", "body"}
 # An opening tag of the key closes an open element of the value, up to the scope.
@@ -38,13 +39,19 @@ CLOSES = {
 }
 # Words in class, id or role that mark what is not the article, and what may be.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|"
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adslot|banner|sponsor|sponsored|sponsors|promo|"
+    r"promos|promoted|promotion|sidebar|side|widget|menu|nav|navbar|navigation|navmenu|breadcrumbs?|"
     r"header|masthead|footer|foot|cookies?|consent|gdpr|notices?|disclaimer|popup|modal|newsletter|subscribe|signup|login|"
-    r"comments?|disqus|replies|reply|respond|discussion|share|sharing|social|related|recommend\w*|more-links|pagination|pager|"
+    r"comments?|disqus|replies|reply|respond|discussion|share|sharing|social|related|recommended|recommendations?|more-links|pagination|pager|"
     r"toolbar|tags|legal|copyright|skip|search)(?:$|[\s_-])",
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|story|entry|post|body|text)(?:$|[\s_-])", re.I)
+# Of these, the only ones that cut a paragraph of an article; and what readers wrote.
+ADVERT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsored|promo|promoted)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|respond|discussion)(?:$|[\s_-])", re.I)
+# Says what an element has beside it, not what it is.
+BESIDE = re.compile(r"(?<![^\s_-])(?:with|without|has|no)[_-]\w+", re.I)
 UNLIKELY_ROLES = frozenset(
     "navigation banner complementary contentinfo search form menu menubar toolbar alert alertdialog dialog".split()
 )
@@ -58,20 +65,21 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "likely", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "cut", "likely", "names", "named", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False, likely: bool = False):
-        self.tag, self.parent, self.cut, self.likely = tag, parent, cut, likely
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, likely: bool = False, names: str = ""):
+        self.tag, self.parent, self.cut, self.likely, self.names = tag, parent, cut, likely, names
+        self.named = False  # cut for its names alone
         self.children: list[Node | str] = []
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _flags(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element is not part of the article, and whether its names suggest it is."""
+def _flags(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether the element is hidden or never text, whether its names suggest the article, and its names."""
     if tag in NEVER:
-        return True, False
+        return True, False, ""
     if not attributes or attributes.isspace():
-        return False, tag in ("article", "main")
+        return False, tag in FRAMES, ""
     names, cut = "", False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -83,10 +91,23 @@ def _flags(tag: str, attributes: str) -> tuple[bool, bool]:
             cut = True
         elif name == "style" and HIDDEN.search(value):
             cut = True
-    likely = tag in ("article", "main") or bool(names and LIKELY.search(names))
-    if names and tag not in ("html", "body", "article", "main") and UNLIKELY.search(names):
-        cut = True
-    return cut, likely
+    likely = tag in FRAMES or bool(names and LIKELY.search(names))
+    return cut, likely, names
+
+
+def _cut_by_name(node: Node) -> bool:
+    """Whether class or id say that the element is not the article; of an article's paragraphs only adverts are."""
+    if not node.names or node.tag in ("html", "body", *FRAMES):
+        return False
+    names = BESIDE.sub(" ", node.names)
+    if not UNLIKELY.search(names):
+        return False
+    if node.tag in PARAGRAPHS and node.tag != "li" and not ADVERT.search(names):
+        up = node.parent
+        while up is not None and up.tag not in FRAMES:
+            up = up.parent
+        return up is None
+    return True
 
 
 def parse(page: str) -> Node:
@@ -131,15 +152,15 @@ def parse(page: str) -> Node:
                 if node.tag in ends:
                     here = node.parent
                 node = node.parent
-        if tag == "body" or tag == "html":
-            pass
-        cut, likely = _flags(tag, attributes)
+        cut, likely, names = _flags(tag, attributes)
         if tag == "header":  # the page's header, not the article's
             node = here
             while node is not root and node.tag not in ("article", "main"):
                 node = node.parent
             cut = cut or node is root
-        child = Node(tag, here, cut, likely)
+        child = Node(tag, here, cut, likely, names)
+        if not cut and _cut_by_name(child):
+            child.cut = child.named = True
         here.children.append(child)
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "use"):
             continue
@@ -237,18 +258,79 @@ def _lines(nodes: list[Node]) -> list[str]:
     return lines
 
 
+def _unlinked(node: Node) -> int:
+    """Characters outside links, in elements cut by name too."""
+    total, left = 0, [node]
+    while left:
+        item = left.pop()
+        if isinstance(item, str):
+            total += len(item.strip())
+        elif item.tag != "a" and (item.named or not item.cut):
+            left.extend(item.children)
+    return total
+
+
+def _restore(root: Node, found: str) -> bool:
+    """Take back the cut of elements around the article; whether there were any.
+
+    Such an element holds most of the page's unlinked text and, if its names do not
+    speak for it, an article or main element, or four times what was ``found``
+    without it. What readers wrote comes back only if nothing else was found.
+    """
+    named, left = [], [root]
+    while left:
+        node = left.pop()
+        if node.named:
+            named.append(node)
+        left.extend(c for c in node.children if isinstance(c, Node) and (c.named or not c.cut))
+    if not named:
+        return False
+    total, restored = _unlinked(root), False
+    for node in named:
+        size = _unlinked(node)
+        if 2 * size <= total or not size:
+            continue
+        if COMMENTS.search(node.names):
+            around = not found
+        else:
+            around = node.likely or 4 * len(found) < size or _holds_frame(node)
+        if around:
+            node.cut = node.named = False
+            restored = True
+    return restored
+
+
+def _holds_frame(node: Node) -> bool:
+    left = [node]
+    while left:
+        item = left.pop()
+        if item.tag in FRAMES and not COMMENTS.search(item.names):
+            return True
+        left.extend(c for c in item.children if isinstance(c, Node) and (c.named or not c.cut))
+    return False
+
+
 def main_text(page: str) -> str:
     """The article of a page: the best container and those of its siblings that read like it."""
     root = parse(page)
+    found = _article(root)
+    if _restore(root, found):
+        found = _article(root)
+    return found
+
+
+def _article(root: Node) -> str:
     nodes = _order(root)
+    for node in nodes:
+        node.score, node.chars, node.linked = 0.0, 0, 0
     _score(nodes)
     best = max(nodes, key=lambda n: n.score, default=root)
     if best.score <= 0:
         # No paragraph earned a point: what is left after cutting is short, or is one heading.
-        kept = [n for n in nodes if n.likely and n.tag in ("article", "main")][:1]
+        kept = [n for n in nodes if n.likely and n.tag in FRAMES][:1]
         return "\n".join(_lines(kept or [root]))
     # An element that holds little besides the best one is the better frame of the article.
-    while best.parent is not None and best.parent.likely and best.parent.tag in ("article", "main"):
+    while best.parent is not None and best.parent.likely and best.parent.tag in FRAMES:
         best = best.parent
     if best.parent is None or best.tag in ("body", "html"):
         return "\n".join(_lines([best]))
@@ -258,7 +340,8 @@ def main_text(page: str) -> str:
             kept.append(item)
         elif isinstance(item, Node) and not item.cut and item.tag in BLOCKS:
             density = _link_density(item)
-            if item.score >= max(10.0, 0.2 * best.score):
+            alike = item.tag == best.tag and item.names == best.names and (item.names or item.tag == "section")
+            if item.score >= 0.2 * best.score or (alike and item.score > 0 and density < 0.25):
                 kept.append(item)
             elif item.tag in PARAGRAPHS and item.chars and (
                 (item.tag in HEADINGS and density < 0.5)

@@ -150,6 +150,39 @@ def test_deep_and_plain_pages():
     assert html_text.main_text("<article><h1>Head</h1></article><footer>f</footer>") == "Head"
 
 
+ARTICLE = "<h1>Head line</h1><p>First, long, paragraph with words, and more of them.</p><p>Second one, also here.</p>"
+FRAME = "<body><div class='nav'><a href='/'>Home</a></div>{}<div class='footer'>All rights, reserved.</div></body>"
+
+
+@pytest.mark.parametrize(
+    "opening, end",
+    [
+        ('<div class="main-content with-sidebar">', "</div>"), ('<div id="story-with-comments">', "</div>"),
+        ('<div class="elementor-widget elementor-widget-text">', "</div>"), ('<div class="two side">', "</div>"),
+        ('<div class="elementor-widget"><article>', "</article></div>"), ('<div class="two side"><div class="widget">', "</div></div>"),
+    ],
+)
+def test_names_do_not_cut_what_is_around_the_article(opening, end):
+    assert html_text.main_text(FRAME.format(opening + ARTICLE + end)).split("\n") == [
+        "Head line", "First, long, paragraph with words, and more of them.", "Second one, also here.",
+    ]
+
+
+def test_names_of_paragraphs_and_short_sections():
+    page = FRAME.format(f"<article>{ARTICLE}<p class='navy'>Blue text.</p><p class='share'>A share of it.</p><p class='ad'>Buy.</p></article>")
+    assert html_text.main_text(page).split("\n")[3:] == ["Blue text.", "A share of it."]
+    page = FRAME.format(f"<div><section>{ARTICLE * 3}</section><section><h2>End</h2><p>Short one.</p></section></div>")
+    assert html_text.main_text(page).split("\n")[9:] == ["End", "Short one."]
+
+
+def test_long_comments_and_notices_stay_out():
+    readers = "<article class='comment-body'><p>I, for one, think, that, this, is, a, long, comment.</p></article>" * 20
+    notice = "<p>We use cookies, and more, to see, what, you, read, on, this, site, now.</p>" * 2
+    page = FRAME.format(f"<div class='post'>{ARTICLE}</div><div id='comments'>{readers}</div><div class='cookie-notice'>{notice}</div>")
+    assert html_text.main_text(page).split("\n")[0] == "Head line"
+    assert "cookies" not in html_text.main_text(page) and "for one" not in html_text.main_text(page)
+
+
 def test_extract_handles_nulls_and_counts_code_points(spark):
     pages = spark.createDataFrame(
         [(1, "u", "<p>é, 😀</p>", "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "", None)],
