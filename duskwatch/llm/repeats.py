@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskwatch.llm.common import stored, text_bytes, unzip
-from duskwatch.llm.symbols import Rolling, white_table, word_bounds
+from duskwatch.llm.symbols import Prefix, Rolling, white_table, word_bounds
 
 RUNS = "_k1 bigint, _k2 bigint, _id bigint, kind int, h bigint, r1 bigint, r2 bigint, start int, n int"
 _BINARY, _LONGS = T.BinaryType(), T.ArrayType(T.LongType())
@@ -53,7 +53,7 @@ class Sequences:
         self.one, self.two = Rolling(101), Rolling(202)
         self.white = white_table()
 
-    def prefixes(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def prefixes(self, raw: bytes) -> tuple[Prefix, Prefix]:
         data = np.frombuffer(raw, np.uint8)
         if not self.shape.words:
             return self.one.prefix(data), self.two.prefix(data)
@@ -62,13 +62,13 @@ class Sequences:
         other = self.two.slices(self.two.prefix(data), starts, ends)
         return self.one.prefix(values), self.two.prefix(other)
 
-    def windows(self, prefixes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, prefixes: tuple[Prefix, Prefix]) -> tuple[np.ndarray, np.ndarray]:
         return (
             self.one.grams(prefixes[0], self.shape.window),
             self.two.grams(prefixes[1], self.shape.window),
         )
 
-    def anchors(self, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, prefix: Prefix) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every gram; position of the leftmost smallest gram of every window."""
         grams = self.one.grams(prefix, self.shape.gram)
         width = self.shape.window - self.shape.gram + 1
@@ -89,7 +89,7 @@ class Sequences:
         if len(raw) < window:
             return []
         one, two = self.prefixes(raw)
-        if len(one) - 1 < window:
+        if one.symbols < window:
             return []
         grams, at = self.anchors(one)
         step = np.flatnonzero(at[1:] != at[:-1]) + 1
@@ -278,7 +278,7 @@ def hashed_windows(pieces_of: DataFrame, shape: Shape, step: int = 16) -> DataFr
     def open_run(sequences: Sequences, piece: pa.Scalar):
         values = _values(piece)
         one, two = sequences.one.prefix(values), sequences.two.prefix(values)
-        count = len(one) - shape.window
+        count = one.symbols + 1 - shape.window
         anchor = int(sequences.anchors(one)[1][0])
         return one, two, (anchor - np.arange(count)) // step, anchor
 

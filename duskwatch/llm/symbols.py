@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 # The white space between words, 0x20 and 0x09 to 0x0D.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+PRIME = np.uint64((1 << 31) - 1)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Below 2**31 + 8 and equal modulo PRIME."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+class Prefix(NamedTuple):
+    """Prefix sums of one sequence, modulo 2**64 and modulo PRIME."""
+
+    wide: np.ndarray
+    prime: np.ndarray
+
+    @property
+    def symbols(self) -> int:
+        return len(self.wide) - 1
+
+
 class Rolling:
-    """Hashes of any slice of a sequence from prefix sums, modulo 2**64.
+    """64-bit hashes of any slice of a sequence from prefix sums.
 
-    The base is odd, so it has an inverse and a slice's hash does not depend on
-    where the slice starts. Two instances with different seeds act as one
-    128-bit hash.
+    Two polynomials are mixed: one modulo 2**64, whose odd base has an inverse, so
+    that a slice's hash does not depend on where the slice starts, and one modulo
+    a prime, as regular sequences (Thue-Morse words) all have the same value
+    modulo a power of two whatever the base. Two instances with different seeds
+    act as one 128-bit hash, of which 62 bits hold against such sequences.
     """
 
     def __init__(self, seed: int):
@@ -22,37 +47,64 @@ class Rolling:
         self.base %= 1 << 64
         self.inverse = pow(self.base, -1, 1 << 64)
         self.of_byte = draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self._up = self._down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = 1 << max(16, n.bit_length())
-            for name, base in (("_up", self.base), ("_down", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self._up, self._down
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
+        self.prime_of_byte = _reduced(self.of_byte)
+        self.prime_base = int(draw.integers(1 << 20, int(PRIME) - 1))
+        self.prime_inverse = pow(self.prime_base, -1, int(PRIME))
+        self._up = self._down = self._prime_up = self._prime_down = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        """Powers of the bases for sequences of ``n`` prefix sums."""
+        if len(self._up) >= n:
+            return
+        size = 1 << max(16, n.bit_length())
+        for name, base in (("_up", self.base), ("_down", self.inverse)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        for name, base in (("_prime_up", self.prime_base), ("_prime_down", self.prime_inverse)):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < size:
+                powers = np.concatenate([powers, _reduced(powers * np.uint64(pow(base, len(powers), int(PRIME))))])
+            setattr(self, name, powers)
+
+    def prefix(self, values: np.ndarray) -> Prefix:
         """Prefix sums of a sequence of uint64 values (bytes: of their table entries)."""
+        n = len(values)
         if values.dtype == np.uint8:
-            values = self.of_byte[values]
-        up, _ = self._powers(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=out[1:])
-        return out
-
-    def slices(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, down = self._powers(len(prefix))
-        return mixed((prefix[ends] - prefix[starts]) * down[starts])
-
-    def grams(self, prefix: np.ndarray, length: int) -> np.ndarray:
+            small, values = self.prime_of_byte[values], self.of_byte[values]
+        else:
+            small = _reduced(values)
+        self._grow(n + 1)
+        wide, prime = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(values * self._up[:n], out=wide[1:])
+        np.cumsum(_reduced(small * self._prime_up[:n]), out=prime[1:])
+        return Prefix(wide, prime)
+
+    def slices(self, prefix: Prefix, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._grow(len(prefix.wide))
+        return self._hash(
+            (prefix.wide[ends] - prefix.wide[starts]) * self._down[starts],
+            prefix.prime[ends] - prefix.prime[starts],
+            self._prime_down[starts],
+        )
+
+    def grams(self, prefix: Prefix, length: int) -> np.ndarray:
         """The hash of every slice of ``length`` symbols."""
-        count = len(prefix) - length
+        count = len(prefix.wide) - length
         if count <= 0:
             return np.zeros(0, np.uint64)
-        _, down = self._powers(len(prefix))
-        return mixed((prefix[length:] - prefix[:-length]) * down[:count])
+        self._grow(len(prefix.wide))
+        return self._hash(
+            (prefix.wide[length:] - prefix.wide[:-length]) * self._down[:count],
+            prefix.prime[length:] - prefix.prime[:-length],
+            self._prime_down[:count],
+        )
+
+    @staticmethod
+    def _hash(wide: np.ndarray, sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+        small = _reduced(_reduced(sums) * down)
+        small -= PRIME * (small >= PRIME)
+        return mixed(wide + small * SPREAD)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -62,6 +62,9 @@ def corpus(seed: int, words: int = 400) -> list[str]:
             at = draw.randint(0, len(own))
             own[at:at] = passage[a:b]
         texts.append(draw.choice([" ", "\n", "  "]).join(own))
+    # Thue-Morse words: every polynomial modulo a power of two gives both ways round one value.
+    parity = [bin(i).count("1") % 2 for i in range(4096)]
+    texts += ["".join("xy"[bit ^ flip] for bit in parity) + " one two three four five six seven eight nine ten eleven" for flip in (0, 1)]
     texts += [texts[0], texts[3] + " x", "a " * 300, "a " * 250 + "b", "ab " * 150, "z" * 700, "", " \n"]
     return texts
 
