@@ -90,25 +90,32 @@ def _agreed_share(postings: dict[str, tuple[int, float]], text: list[str], key:
     offsets = {w: at for w, (at, _) in postings.items()}
     weights = {w: idf for w, (_, idf) in postings.items()}
     total, span = sum(weights.values()), len(text)
-    starts = F.transform(
-        F.filter("_hits", lambda h: h["word"].isin(list(postings))),
-        lambda h: F.struct(
-            (h["at"] - _by_word(h["word"], offsets)).alias("at"), _by_word(h["word"], weights).alias("idf")
-        ),
-    )
-    sums = F.transform(
-        F.array_distinct(F.transform(starts, lambda x: x["at"])),
-        lambda at: F.struct(
-            at.alias("at"),
-            (
-                F.aggregate(
-                    F.filter(starts, lambda x: x["at"] == at), F.lit(0.0), lambda held, x: held + x["idf"]
-                )
-                / F.lit(total)
-            ).alias("share"),
-        ),
+    starts = F.array_sort(
+        F.transform(
+            F.filter("_hits", lambda h: h["word"].isin(list(postings))),
+            lambda h: F.struct(
+                (h["at"] - _by_word(h["word"], offsets)).alias("at"), _by_word(h["word"], weights).alias("idf")
+            ),
+        )
     )
 
+    def summed(held: Column) -> Column:
+        """Distinct starts with their share. A word stands once in a notice, so no more hits than words share a start."""
+        last = F.filter(
+            F.sequence(F.lit(1), F.size(held)),
+            lambda i: (i == F.size(held)) | (F.get(held, i)["at"] != F.get(held, i - 1)["at"]),
+        )
+
+        def share(i: Column) -> Column:
+            near = F.slice(held, F.greatest(i - len(postings), F.lit(0)) + 1, F.least(i, F.lit(len(postings))))
+            mine = F.filter(near, lambda x: x["at"] == F.get(held, i - 1)["at"])
+            return F.aggregate(mine, F.lit(0.0), lambda sofar, x: sofar + x["idf"]) / F.lit(total)
+
+        return F.transform(last, lambda i: F.struct(F.get(held, i - 1)["at"].alias("at"), share(i).alias("share")))
+
+    # Bound as a lambda's variable, the sorted starts are evaluated once and not for every start.
+    sums = F.flatten(F.transform(F.filter(F.array(starts), lambda held: F.size(held) > 0), summed))
+
     def verified(x: Column) -> Column:
         around = F.slice("_words", F.greatest(x["at"] - span, F.lit(0)) + 1, 3 * span)
         return (x["share"] >= least) & F.contains(

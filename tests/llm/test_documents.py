@@ -94,6 +94,13 @@ def test_licences_match_brute_force(spark):
     assert found[11].labels == "" and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_one_indexed_word_very_often_in_one_text(spark):
+    notice = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    texts = ["redistribution binary " * 20_000 + notice, notice] + [f"plain text number {i}" for i in range(40)]
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert found[0][0] == found[1][0] == "bsd" and found[0][1] == pytest.approx(found[1][1])
+
+
 # --- shards ----------------------------------------------------------------------
 
 
@@ -243,6 +250,8 @@ def labelled(draw: random.Random):
 def test_statistics_match_brute_force(spark):
     draw = random.Random(6)
     texts = ODD + [prose(draw, 60) + "\nsame line\n \nsame line\n" + "a b c d e f g h " * draw.randint(0, 3) for _ in range(30)]
+    parity = [bin(i).count("1") % 2 for i in range(4096)]  # one value modulo a power of two, both ways round
+    texts += ["\n".join("".join("ab"[bit ^ flip] for bit in parity) + " tail" * 7 for flip in (0, 1))]
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
     for row in quality_rules.judge(docs, labels).collect():
