@@ -10,14 +10,14 @@ aggregation per document puts the bytes together again.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import packed, text_bytes, unpacked
+from duskwatch.llm.common import handing_back, packed, text_bytes, unpacked
 
 # Words encoded by one recursive query, bytes of them, and ids decoded by one query.
 WORDS_PER_QUERY = 50_000
@@ -225,11 +225,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     ranks = read_ranks(ranks_path)
     held = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))  # the vocabulary
     rest = [c for c in docs.columns if c not in (text_col, out)]
+    narrow = docs.select(*rest, text_bytes(text_col).alias("_text"))
+    schema = narrow.drop("_text").withColumn(out, F.lit(None).cast("array<int>")).schema
+    return narrow.mapInArrow(_encoding(lambda: held.value, pattern, rest, out), schema)
+
+
+def _encoding(vocabulary: Callable, pattern: str, rest: list[str], out: str):
+    """Batches of ``rest`` and a text as bytes to batches of ``rest`` and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(held.value[0], pattern, held.value[1])
+            encoder = encoder or Encoder(vocabulary()[0], pattern, vocabulary()[1])
             column = batch.column(batch.num_columns - 1)
             sizes = np.array([len(t.as_buffer()) for t in column], np.int64)
             for a, b in _slices(batch, sizes, 4 << 20):
@@ -240,10 +247,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(parts), "<i4"))
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(rest))]
                 yield pa.RecordBatch.from_arrays([*kept, ids], [*rest, out])
+        if encoder:
+            encoder.con.close()
 
-    narrow = docs.select(*rest, text_bytes(text_col).alias("_text"))
-    schema = narrow.drop("_text").withColumn(out, F.lit(None).cast("array<int>")).schema
-    return narrow.mapInArrow(run, schema)
+    return run
 
 
 def _joined(pieces: pa.ListArray) -> Iterator[bytes]:
@@ -266,14 +273,20 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "d
     Texts longer than one query's share of ids are decoded in pieces.
     """
     rows = rows.drop(out)
-    held = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    held = rows.sparkSession.sparkContext.broadcast((read_ranks(ranks_path),))
+    schema = rows.withColumn(out, F.lit(None).cast("binary")).schema
+    return rows.mapInArrow(_decoding(lambda: held.value, ids_col, out), schema)
+
+
+def _decoding(vocabulary: Callable, ids_col: str, out: str):
+    """Batches with ids to batches with their bytes besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = None
         for batch in batches:
             if con is None:
                 con = _connect()
-                items = sorted((r, t) for t, r in held.value.items())
+                items = sorted((r, t) for t, r in vocabulary()[0].items())
                 con.register(
                     "held",
                     pa.table({"id": pa.array([i for i, _ in items], pa.int32()), "piece": [t for _, t in items]}),
@@ -301,18 +314,29 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "d
                         texts[i] += text
                 kept = [c.slice(a, b - a) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.binary())], [*batch.schema.names, out])
+        if con is not None:
+            con.close()
 
-    schema = rows.withColumn(out, F.lit(None).cast("binary")).schema
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``docs`` with each text replaced by the decoding of its encoding (null: null), ``ids`` and ``n_tokens``.
 
-    Input columns named ids or n_tokens are replaced.
+    Input columns named ids or n_tokens are replaced. Both ways run in one Python
+    worker per task, which holds the vocabulary once.
     """
-    held = packed(docs, "text").withColumn("_null", F.col("text").isNull())
-    back = decode(encode(held, ranks_path, pattern), ranks_path)
+    ranks = read_ranks(ranks_path)
+    held = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))  # the vocabulary
+    narrow = packed(docs, "text").withColumn("_null", F.col("text").isNull())
+    rest = [c for c in narrow.columns if c != "text"]
+    schema = narrow.drop("text").withColumns(
+        {"ids": F.lit(None).cast("array<int>"), "decoded": F.lit(None).cast("binary")}
+    ).schema
+    encoded = _encoding(lambda: held.value, pattern, rest, "ids")
+    decoded = _decoding(lambda: held.value, "ids", "decoded")
+    both = handing_back(lambda batches: decoded(encoded(batches)))
+    back = narrow.select(*rest, text_bytes().alias("_text")).mapInArrow(both, schema)
     text = F.when(~F.col("_null"), F.col("decoded").cast("string"))
     return back.withColumns({"text": text, "n_tokens": F.size("ids").cast("bigint")}).select(
         *unpacked(docs.columns, ("text",), ("ids", "n_tokens"))

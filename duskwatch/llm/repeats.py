@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskwatch.llm.common import stored, text_bytes, unzip
+from duskwatch.llm.common import handing_back, stored, text_bytes, unzip
 from duskwatch.llm.symbols import Prefix, Rolling, white_table, word_bounds
 
 RUNS = "_k1 bigint, _k2 bigint, _id bigint, kind int, h bigint, r1 bigint, r2 bigint, start int, n int"
@@ -161,7 +161,7 @@ def _cut(shape: Shape):
 def cut_into_runs(keyed: DataFrame, shape: Shape) -> DataFrame:
     """One row per run, and rows for the windows repeated inside one document."""
     narrow = keyed.select("_k1", "_k2", F.col("doc_id").cast("bigint").alias("_id"), text_bytes().alias("_text"))
-    return narrow.mapInArrow(_cut(shape), RUNS)
+    return narrow.mapInArrow(handing_back(_cut(shape)), RUNS)
 
 
 def variants_of(runs: DataFrame) -> DataFrame:
