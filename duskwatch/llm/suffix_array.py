@@ -51,11 +51,22 @@ def longest_previous_factors(order: np.ndarray, common: np.ndarray) -> np.ndarra
     return lpf
 
 
-def window_matches(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_next_factors(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """LNF of every position: its longest match with a later position.
+
+    Counted from the end, later positions are earlier ones, and the order of the
+    suffixes is what it was.
+    """
+    return longest_previous_factors(len(order) - 1 - order, common)[::-1]
+
+
+def window_matches(
+    data: np.ndarray, starts: np.ndarray, least: int, keep_first: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes at ``starts`` (in order of first appearance): found elsewhere, found earlier.
 
     Suffixes are sorted by their first ``least`` bytes, which is all a match of
-    that length depends on.
+    that length depends on. With ``keep_first`` only what is earlier is looked for.
     """
     rows = np.lib.stride_tricks.sliding_window_view(data, least)[starts]
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{least}").ravel(), kind="stable")
@@ -63,15 +74,13 @@ def window_matches(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np
     unlike = ranked[1:] != ranked[:-1]
     common = np.zeros(len(order), np.int64)
     common[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), least)
-    lpf = longest_previous_factors(order, common)
-    other = np.zeros(len(order), bool)
-    same = common[1:] >= least
-    other[order[1:][same]] = True
-    other[order[:-1][same]] = True
-    return other, lpf >= least
+    earlier = longest_previous_factors(order, common) >= least
+    if keep_first:
+        return earlier, earlier
+    return earlier | (longest_next_factors(order, common) >= least), earlier
 
 
-def _arrays(least: int):
+def _arrays(least: int, keep_first: bool):
     """Suffix arrays over whole anchors, rows sorted by anchor and first place."""
 
     def decide(rows: list[tuple]) -> pa.RecordBatch:
@@ -82,7 +91,7 @@ def _arrays(least: int):
             starts.append(np.arange(at, at + n))
             sizes.append(n)
             at += len(piece)
-        other, earlier = window_matches(np.frombuffer(b"".join(data), np.uint8), np.concatenate(starts), least)
+        other, earlier = window_matches(np.frombuffer(b"".join(data), np.uint8), np.concatenate(starts), least, keep_first)
         out, a = [], 0
         for (h, r1, r2, n, _), size in zip(rows, sizes):
             if other[a : a + size].any():
@@ -119,7 +128,7 @@ def _lists(mask: np.ndarray) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def compare_bytes(shape: Shape, limit: int):
+def compare_bytes(shape: Shape, limit: int, keep_first: bool):
     """How runs around one anchor are compared: in suffix order, or by hash beyond ``limit`` of them."""
 
     def cut(_, raw: bytes):
@@ -136,7 +145,7 @@ def compare_bytes(shape: Shape, limit: int):
             .select("h", "r1", "r2", "n", "piece")
         )
         in_order = few.mapInArrow(
-            _arrays(shape.window), f"h bigint, r1 bigint, r2 bigint, n int, others {_SPANS}, earlier {_SPANS}"
+            _arrays(shape.window, keep_first), f"h bigint, r1 bigint, r2 bigint, n int, others {_SPANS}, earlier {_SPANS}"
         )
         return in_order.union(hashed_windows(fetched.where(F.col("of_anchor") > limit), shape))
 
@@ -164,7 +173,7 @@ def deduplicate(
     shape = Shape(words=False, window=least, gram=min(gram, least))
     keyed = with_document_key(packed(docs, "doc_id", "text"))
     zipped = with_zipped_text(keyed)
-    spans = repeated_spans(shape, compare_bytes(shape, limit), keep_first, keyed, zipped)
+    spans = repeated_spans(shape, compare_bytes(shape, limit, keep_first), keep_first, keyed, zipped)
     names = ["doc_id", "_rest", "_null"]
     joined = zipped.join(spans, ["_k1", "_k2"], "left").select(*names, "_zip", "spans")
 

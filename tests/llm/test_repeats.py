@@ -134,23 +134,33 @@ def test_nulls_repeated_rows_clashes_and_empty_tables(spark, operator):
     assert operator(docs.limit(0)).count() == 0
 
 
-def test_longest_previous_factors():
+def match(data: bytes, i: int, j: int) -> int:
+    n = 0
+    while max(i, j) + n < len(data) and data[i + n] == data[j + n]:
+        n += 1
+    return n
+
+
+def test_longest_previous_and_next_factors():
     draw = np.random.default_rng(3)
     for _ in range(40):
         data = draw.integers(97, 99, draw.integers(1, 40)).astype(np.uint8).tobytes()
         order = sorted(range(len(data)), key=lambda i: data[i:])
-        common = [0]
-        for a, b in zip(order, order[1:]):
-            n = 0
-            while max(a, b) + n < len(data) and data[a + n] == data[b + n]:
-                n += 1
-            common.append(n)
-        found = suffix_array.longest_previous_factors(np.array(order), np.array(common))
+        common = np.array([0] + [match(data, a, b) for a, b in zip(order, order[1:])])
+        previous = suffix_array.longest_previous_factors(np.array(order), common)
+        following = suffix_array.longest_next_factors(np.array(order), common)
         for i in range(len(data)):
-            best = 0
-            for j in range(i):
-                n = 0
-                while i + n < len(data) and data[i + n] == data[j + n]:
-                    n += 1
-                best = max(best, n)
-            assert found[i] == best
+            assert previous[i] == max((match(data, i, j) for j in range(i)), default=0)
+            assert following[i] == max((match(data, i, j) for j in range(i + 1, len(data))), default=0)
+
+
+def test_ends_of_copied_passages(spark):
+    """Runs at the ends differ as a whole, so only factors tell which of their windows repeat."""
+    draw = random.Random(5)
+    passage = "".join(draw.choices("abcdefgh", k=300))
+    texts = ["".join(draw.choices("xyz", k=50)) + passage + c * 50 for c in "pqr"]
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    for keep_first, marks in ((False, removed_all), (True, removed_later)):
+        found = suffix_array.deduplicate(rows, 40, keep_first, gram=16).collect()
+        expected = [sum(mask) for mask in marks(texts, as_bytes, 40)]
+        assert [r.n_removed for r in sorted(found)] == expected and sum(expected) >= 600
