@@ -81,7 +81,7 @@ def _kinds(spark, sf):
     return _intents(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
 
 
-_LAST_DAYS = f"timestamp >= {_NOW} - INTERVAL 240 HOUR"
+_LAST_DAYS = f"timestamp BETWEEN {_NOW} - INTERVAL 240 HOUR AND {_NOW}"
 _FAIL = "(message ILIKE '%fail%' OR message ILIKE '%失败%' OR message ILIKE '%拒绝%' OR message ILIKE '%deny%' OR message ILIKE '%invalid%')"
 _ADMIN = """(coalesce("user" ILIKE 'admin', FALSE) OR message ILIKE '%admin%')"""
 _TEN_DAYS = {"time_type": "relative", "time_unit": "day", "time_value": 10}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.catalog.registry import newest, query
 from duskwatch.catalog.views import cte, view
-from duskwatch.functions.predicates import hour_between, is_ipv4, like_any, lower_like_any, since
+from duskwatch.functions.predicates import hour_between, is_ipv4, like_any, lower_like_any, moment, since
 from duskwatch.operators import records as Q
 from duskwatch.operators.stored_rules import run_stored_rules
 from duskwatch.sources import sinks as S
@@ -32,11 +32,28 @@ def _range(spark, sf):
     return Q.newest_first(found, tie="log_id")
 
 
-@query("logs_lookback_day", cte("logs") + "SELECT log_id FROM logs WHERE timestamp >= (SELECT max(timestamp) FROM logs) - INTERVAL 24 HOUR")
+@query(
+    "logs_lookback_day",
+    cte("logs")
+    + "SELECT log_id FROM logs, (SELECT max(timestamp) AS last FROM logs) "
+    "WHERE timestamp BETWEEN last - INTERVAL 24 HOUR AND last",
+)
 def _lookback(spark, sf):
     return view(spark, sf, "logs").filter(since("timestamp", newest(spark, sf), 24 * 60)).select("log_id")
 
 
+@query(
+    "logs_lookback_closed_end",
+    cte("logs")
+    + "SELECT log_id FROM logs, (SELECT max(timestamp) - INTERVAL 48 HOUR AS last FROM logs) "
+    "WHERE timestamp BETWEEN last - INTERVAL 24 HOUR AND last",
+)
+def _closed(spark, sf):
+    """A look-back from two days before the newest row: later rows do not count."""
+    earlier = moment(newest(spark, sf)) - F.expr("INTERVAL '48' HOUR")
+    return view(spark, sf, "logs").filter(since("timestamp", earlier, 24 * 60)).select("log_id")
+
+
 @query(
     "filter_in_lists",
     cte("web_logs", "firewall_logs")
@@ -329,7 +346,8 @@ def _by_user(spark, sf):
 
 @query(
     "sensitive_users_off_whitelist",
-    cte("logs", "blacklist") + """SELECT log_id FROM logs WHERE "user" IN ('admin', 'root') AND source_ip NOT IN (SELECT source_ip FROM blacklist)""",
+    cte("logs", "blacklist") + """SELECT log_id FROM logs l WHERE "user" IN ('admin', 'root')
+    AND NOT EXISTS (SELECT 1 FROM blacklist b WHERE b.source_ip = l.source_ip)""",
 )
 def _sensitive(spark, sf):
     return Q.sensitive_logins(view(spark, sf, "logs"), ["admin", "root"], view(spark, sf, "blacklist")).select("log_id")

@@ -139,7 +139,11 @@ def merge_detections(rule_hits: DataFrame, model_hits: DataFrame) -> DataFrame:
 
 
 def sensitive_logins(logs: DataFrame, users: list[str], whitelist: DataFrame) -> DataFrame:
-    """Logins of sensitive users from sources that are not on the whitelist."""
+    """Logins of sensitive users from sources that are not on the whitelist.
+
+    A login without a source is on no whitelist and is reported; a null in the
+    whitelist allows nothing and hides nothing.
+    """
     return logs.filter(F.col("user").isin(users)).join(whitelist.select("source_ip").distinct(), "source_ip", "left_anti")
 
 

@@ -133,3 +133,15 @@ def test_answer_runs_the_chosen_template(spark, logs):
     out = N.answer(intent, logs, anomalies, rules, NOW)
     assert out.columns[0] == "id" and len(out.columns) == 6 and out.count() == 4
     assert N.answer({"kinds": ["rules"]}, logs, anomalies, rules, NOW).first()["entity_name"] == "r"
+
+
+def test_sensitive_logins_with_unknown_sources(spark):
+    logs = spark.createDataFrame(
+        [(1, "root", "10.0.0.1"), (2, "root", "10.0.0.2"), (3, "admin", None), (4, "guest", "10.0.0.2"), (5, None, None)],
+        "log_id int, user string, source_ip string",
+    )
+    allowed = spark.createDataFrame([("10.0.0.1",), ("10.0.0.1",), (None,)], "source_ip string")
+    found = Q.sensitive_logins(logs, ["root", "admin"], allowed)
+    assert sorted(r.log_id for r in found.collect()) == [2, 3]
+    nobody = allowed.limit(0)
+    assert sorted(r.log_id for r in Q.sensitive_logins(logs, ["root", "admin"], nobody).collect()) == [1, 2, 3]
