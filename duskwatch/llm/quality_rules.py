@@ -240,7 +240,8 @@ def judge(
     documents that pass: rows above it are not kept. Without labels of both kinds,
     or without documents to fit on, only the base rules decide. ``labels`` has
     doc_id and quality; null ids match nothing, and of repeated labels each counts.
-    A null text fails. An empty table gives no rows.
+    A null text fails; whole texts count, however long; repeated rows each get their
+    row and equal ones the same verdict. An empty table gives no rows.
     """
     counted = freeze(
         with_statistics(docs).withColumn(

@@ -153,8 +153,9 @@ def near_duplicate_components(
     ``component_id`` is the smallest ``doc_id`` reached over links of at most
     ``distance`` differing bits. A null text has no words: fingerprint zero,
     linked like any other. Rows with a null id take part; the id of a component
-    without any id is null. An empty table gives no rows. Columns other than
-    ``keep`` are not read.
+    without any id is null. Repeated rows each get their row; texts are hashed
+    whole, one at a time, however long. An empty table gives no rows. Columns
+    other than ``keep`` are not read.
     """
     keep = list(dict.fromkeys([*keep, "doc_id"]))
     marked = freeze(with_fingerprints(docs, keep, shingle))
