@@ -272,6 +272,13 @@ def test_one_class_has_no_area(spark):
     assert row["roc_auc"] is None and row["pr_auc"] is None
 
 
+def test_areas_of_many_rows_of_both_classes(spark):
+    """More pairs of rows of the two classes than an int can hold."""
+    df = spark.range(100_000).select((F.col("id") % 10).cast("double").alias("score"), (F.col("id") % 2).cast("int").alias("label"))
+    row = E.areas(E.curve(df)).first()
+    assert row["roc_auc"] == pytest.approx(0.6) and row["pr_auc"] == pytest.approx(np.mean([i / (2 * i - 1) for i in range(1, 6)]))
+
+
 def test_first_best_threshold_is_the_lowest(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 0), (0.6, 1)], "score DOUBLE, label INT")
     row = E.best_f1(E.curve(df)).first()
