@@ -90,6 +90,24 @@ def test_pivots_find_the_same_neighbours_with_few_pairs(spark, metric):
     assert report["pairs"] < count * count / 20
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e5])
+def test_vectors_without_clusters_move_a_few_times(spark, shift):
+    """Where no cell can be left out, a query is not moved once per cell; far from the origin too, and with equal distances."""
+    count, k = 3_000, 6
+    matrix = np.random.default_rng(5).normal(size=(count, 24))
+    matrix[:200] = np.eye(24)[np.arange(200) % 24] * np.arange(1, 201)[:, None]
+    matrix += shift
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(matrix)], "id BIGINT, vec ARRAY<DOUBLE>")
+    report = {}
+    found = nearest(df, _bank(df), k, "id", skip_self=True, limit=200, report=report).collect()
+    assert len(found) == count
+    for row in found:
+        gaps = np.sqrt(((matrix[row["id"]] - matrix) ** 2).sum(axis=1))
+        gaps[row["id"]] = np.inf
+        assert [n["bank_id"] for n in row["neighbours"]] == np.lexsort((np.arange(count), gaps))[:k].tolist()
+    assert report["visits"] <= 8 * count
+
+
 def test_pivots_with_few_vectors_and_without_queries(spark):
     """Fewer bank vectors than neighbours asked for, null vectors, an empty query table."""
     rows = [(i, [float(i % 3), 1.0]) for i in range(5)]
