@@ -60,10 +60,26 @@ def _spelled(kind: str, value: Column) -> Column:
     return F.array(value, *texts)
 
 
-def _mentions(kind: str, value: Column, patterns: Column) -> Column:
-    """No name in the question, the field equals it, or the message mentions it."""
-    said = F.exists(patterns, lambda p: F.ilike(F.col("message"), F.concat(F.lit("%"), p, F.lit("%"))))
-    return value.isNull() | F.coalesce(F.ilike(F.col(kind), value), F.lit(False)) | F.coalesce(said, F.lit(False))
+def _plain(value: Column) -> Column:
+    """Whether LIKE reads the value as it is written."""
+    return ~F.rlike(value, F.lit(r"[%_\\]"))
+
+
+def _prepared(name: str) -> dict[str, Column]:
+    return {f"_{name}_plain": _plain(F.col(name)), f"_{name}_low": F.lower(name)}
+
+
+def _mentions(kind: str, name: str, patterns: str) -> Column:
+    """No name in the question, the field equals it, or the message mentions it.
+
+    Every spelling holds the value itself, which is one of the patterns, so a plain
+    value is looked for as it is: no pattern is compiled per row.
+    """
+    value, plain, low = F.col(f"_{name}"), F.col(f"_{name}_plain"), F.col(f"_{name}_low")
+    same = F.when(plain, F.lower(kind) == low).otherwise(F.ilike(F.col(kind), value))
+    spelled = F.exists(patterns, lambda p: F.ilike(F.col("message"), F.concat(F.lit("%"), p, F.lit("%"))))
+    said = F.when(plain, F.contains("_message", low)).otherwise(spelled)
+    return value.isNull() | F.coalesce(same, F.lit(False)) | F.coalesce(said, F.lit(False))
 
 
 def _matched(logs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -76,18 +92,24 @@ def _matched(logs: DataFrame, wanted: DataFrame) -> DataFrame:
     days = F.when(
         start <= end, F.sequence(F.to_date(start), F.to_date(end))
     )
-    named = wanted.withColumns({"_users": _spelled("user", F.col("user")), "_ips": _spelled("source_ip", F.col("ip"))})
+    named = wanted.withColumns(
+        {"_users": _spelled("user", F.col("user")), "_ips": _spelled("source_ip", F.col("ip"))}
+        | _prepared("user") | _prepared("ip") | _prepared("status")
+    )
     renamed = named.withColumn("_day", F.explode(days)).withColumnsRenamed({"user": "_user", "ip": "_ip", "event": "_event", "status": "_status"})
     small = renamed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     at = F.col("timestamp")
-    pairs = logs.withColumn("_day", F.to_date("timestamp")).join(F.broadcast(renamed) if small else renamed, "_day")
+    status = F.when(F.col("_status_plain"), F.contains("_message", F.col("_status_low"))).otherwise(
+        F.ilike(F.col("message"), F.concat(F.lit("%"), F.col("_status"), F.lit("%")))
+    )
+    pairs = logs.withColumns({"_day": F.to_date("timestamp"), "_message": F.lower("message")}).join(F.broadcast(renamed) if small else renamed, "_day")
     return pairs.filter(
         (F.col("from").isNull() | (at >= F.col("from")))
         & (F.col("to").isNull() | (at <= F.col("to")))
         & (F.col("_event").isNull() | (F.col("event_type") == F.col("_event")))
-        & ((F.col("kind") == "anomalies") | F.col("_status").isNull() | F.ilike(F.col("message"), F.concat(F.lit("%"), F.col("_status"), F.lit("%"))))
-        & _mentions("user", F.col("_user"), F.col("_users"))
-        & _mentions("source_ip", F.col("_ip"), F.col("_ips"))
+        & ((F.col("kind") == "anomalies") | F.col("_status").isNull() | status)
+        & _mentions("user", "user", "_users")
+        & _mentions("source_ip", "ip", "_ips")
     )
 
 

@@ -66,6 +66,20 @@ def test_answers_equal_one_call_per_question(spark, data):
     assert kinds_seen == {"logs", "anomalies", "rules", "login_failures"} and len(together) > 200
 
 
+def test_only_names_with_signs_of_like_are_patterns(spark, data):
+    """A plain name is looked for as it is; one with a wildcard finds what a single call finds."""
+    asked = spark.createDataFrame([(0, "最近9天用户是adm_n的日志"), (1, "最近9天用户是ADMIN的日志")], "question_id BIGINT, question STRING")
+    together = answer_questions(asked, *data, NOW)
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(_message" in plan
+    intents = {r["question_id"]: r.asDict() for r in N.read_intent(asked, NOW).collect()}
+    assert intents[0]["user"] == "adm_n" and intents[1]["user"].upper() == "ADMIN"
+    rows = together.collect()
+    for number, intent in intents.items():
+        expected = {r["id"] for r in N.answer(intent, *data, NOW).collect()}
+        assert expected and {r["id"] for r in rows if r["question_id"] == number} == expected
+
+
 def test_no_questions_and_no_logs(spark, data):
     logs, anomalies, rules = data
     asked = spark.createDataFrame([(1, "日志"), (2, "规则")], "question_id BIGINT, question STRING")
