@@ -164,3 +164,19 @@ def test_ends_of_copied_passages(spark):
         found = suffix_array.deduplicate(rows, 40, keep_first, gram=16).collect()
         expected = [sum(mask) for mask in marks(texts, as_bytes, 40)]
         assert [r.n_removed for r in sorted(found)] == expected and sum(expected) >= 600
+
+
+def test_op7_holds_small_batches(spark, tmp_path):
+    """Whole texts wait on both sides of a Python worker, so op7 bounds its batches whatever the session says."""
+    from duskwatch.llm.queries import op7
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    rows = [(1, "x" * 10), (2, None)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        spark.conf.set(name, "10000")
+        found = {r["doc_id"]: r["n_bytes"] for r in op7(spark, str(tmp_path)).collect()}
+        assert found == {1: 10, 2: 0} and int(spark.conf.get(name)) <= 2048
+    finally:
+        spark.conf.set(name, held)
