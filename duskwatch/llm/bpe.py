@@ -3,14 +3,15 @@
 Encoding: the distinct pre-tokens ("words") of a batch become rows (word, position,
 token). A recursive query joins every pair of neighbours with the merge table and
 contracts each word's minimum-rank pair, leftmost first, until no pair can merge.
-Decoding: rows (document, position, id) join the vocabulary, and an ordered
-aggregation per document puts the bytes together again.
+Decoding: rows (position, id) join the vocabulary, and an ordered aggregation puts
+the bytes together again.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +31,28 @@ REMEMBERED = 400_000
 SHORT = 64
 
 # Rows form a chain: ``following`` and ``next_pos`` name the token after each, so a
-# round needs hash joins only and no ordering.
+# round needs hash joins only and no ordering. Of the two rows of a pair the latter
+# stays, with the merged token: what follows it is what it was.
 CONTRACT = """
 WITH RECURSIVE step(word, pos, token, following, next_pos, live) AS (
   SELECT word, pos, token, following, next_pos, true FROM start
   UNION ALL
-  SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.token END,
-    CASE WHEN s.pos = b.pos THEN b.third WHEN s.next_pos = b.pos THEN b.merged ELSE s.following END,
-    CASE WHEN s.pos = b.pos THEN b.third_pos ELSE s.next_pos END,
+  SELECT s.word, s.pos, CASE WHEN s.pos = b.eaten THEN b.merged ELSE s.token END,
+    CASE WHEN s.next_pos = b.pos THEN b.merged ELSE s.following END,
+    CASE WHEN s.next_pos = b.pos THEN b.eaten ELSE s.next_pos END,
     b.word IS NOT NULL
   FROM step s LEFT JOIN (
-    SELECT c.word, c.best & 4294967295 AS pos, (c.best >> 32)::INT AS merged, c.eaten,
-      e.following AS third, e.next_pos AS third_pos
+    SELECT word, (best & 4294967295)::INT AS pos, (best >> 32)::INT AS merged, eaten
     FROM (
       SELECT p.word, min(m.merged::BIGINT << 32 | p.pos) AS best,
         arg_min(p.next_pos, m.merged::BIGINT << 32 | p.pos) AS eaten
       FROM step p JOIN merges m ON m.first = p.token AND m.second = p.following
       WHERE p.live GROUP BY p.word
-    ) c JOIN step e ON e.word = c.word AND e.pos = c.eaten
+    )
   ) b ON b.word = s.word
-  WHERE s.live AND (b.word IS NULL OR s.pos <> b.eaten)
+  WHERE s.live AND (b.word IS NULL OR s.pos <> b.pos)
 )
-SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word ORDER BY word
+SELECT word, token FROM step WHERE NOT live ORDER BY word, pos
 """
 # The same for one long word, but all pairs of the lowest rank in one round, leftmost
 # first and without overlap. That differs from one pair a round only if a contraction
@@ -86,8 +87,8 @@ WITH RECURSIVE step(pos, token, live, low, bad) AS (
 SELECT bool_or(bad) AS bad, list(token ORDER BY pos) AS ids FROM step WHERE NOT live
 """
 ASSEMBLE = """
-SELECT r.doc, list(v.piece ORDER BY r.pos) AS pieces, count(v.piece) AS known
-FROM rows r LEFT JOIN vocabulary v ON v.id = r.id GROUP BY r.doc ORDER BY r.doc
+SELECT list(v.piece ORDER BY r.pos) AS pieces, count(v.piece) AS known
+FROM rows r LEFT JOIN vocabulary v ON v.id = r.id
 """
 
 
@@ -116,8 +117,20 @@ def _connect():
     return con
 
 
+class Numbers(dict):
+    """Numbers keys by their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Encoder:
-    """Encodes words of one task; keeps what it has encoded."""
+    """Encodes words of one task; keeps what it has encoded.
+
+    ``numbers`` gives each word a number n; its ids are the ``sizes[n]`` entries of
+    ``pool`` from ``starts[n]`` on.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, table: np.ndarray):
         import regex
@@ -133,25 +146,46 @@ class Encoder:
         self.con.register("held", held)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM held")
         self.con.unregister("held")
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = Numbers()
+        self.starts = self.sizes = np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.int32)
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words; one that is itself a token takes that token."""
-        batch: list[tuple[str, bytes]] = []
+    def learn(self) -> None:
+        """Encode the words numbered since the last call; one that is itself a token takes that token."""
+        found = [(np.zeros(0, np.int64),) * 3]  # numbers, sizes, ids
+        batch: list[tuple[int, bytes]] = []
         size = 0
-        for word in words:
+        whole: list[tuple[int, int]] = []
+        old = len(self.sizes)
+        for number, word in enumerate(islice(self.numbers, old, None), old):
             raw = word.encode()
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.known[word] = rank.to_bytes(4, "little")
-            elif len(raw) <= SHORT or not self._contract_long(word, raw):
-                batch.append((word, raw))
+                whole.append((number, rank))
+                continue
+            ids = self._contract_long(raw) if len(raw) > SHORT else None
+            if ids is not None:
+                found.append((np.array([number]), np.array([len(ids)]), ids))
+            elif raw:
+                batch.append((number, raw))
                 size += len(raw)
             if len(batch) >= WORDS_PER_QUERY or size >= BYTES_PER_QUERY:
-                self._contract(batch)
+                found.append(self._contract(batch))
                 batch, size = [], 0
         if batch:
-            self._contract(batch)
+            found.append(self._contract(batch))
+        if whole:
+            both = np.array(whole, np.int64)
+            found.append((both[:, 0], np.ones(len(both), np.int64), both[:, 1]))
+        numbers, sizes, ids = (np.concatenate(c) for c in zip(*found))
+        more = np.zeros((2, len(self.numbers) - old), np.int32)
+        more[0, numbers - old] = len(self.pool) + np.cumsum(sizes) - sizes
+        more[1, numbers - old] = sizes
+        self.starts, self.sizes = np.append(self.starts, more[0]), np.append(self.sizes, more[1])
+        self.pool = np.append(self.pool, ids.astype(np.int32))
 
     def _start(self, raw: list[bytes]) -> None:
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -160,7 +194,7 @@ class Encoder:
         token = self.of_byte[data]
         pos = (np.arange(len(data)) - np.repeat(first, lengths)).astype(np.int32)
         following, next_pos = np.append(token[1:], -1).astype(np.int32), pos + 1
-        last = (first + lengths - 1)[lengths > 0]
+        last = first + lengths - 1
         following[last] = next_pos[last] = -1
         start = pa.table(
             {
@@ -173,33 +207,35 @@ class Encoder:
         )
         self.con.register("start", start)
 
-    def _contract_long(self, word: str, raw: bytes) -> bool:
+    def _contract_long(self, raw: bytes) -> np.ndarray | None:
         self._start([raw])
         found = self.con.sql(CONTRACT_LONG).to_arrow_table()
         self.con.unregister("start")
         if found.column("bad")[0].as_py():
-            return False
-        self.known[word] = found.column("ids").combine_chunks().flatten().to_numpy().astype("<i4").tobytes()
-        return True
+            return None
+        return found.column("ids").combine_chunks().flatten().to_numpy()
 
-    def _contract(self, words: list[tuple[str, bytes]]) -> None:
+    def _contract(self, words: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self._start([raw for _, raw in words])
-        ids = self.con.sql(CONTRACT).to_arrow_table().column("ids").combine_chunks()
+        ids = self.con.sql(CONTRACT).to_arrow_table()
         self.con.unregister("start")
-        flat = ids.values.to_numpy().astype("<i4")
-        ends = ids.offsets.to_numpy().tolist()
-        for (word, _), a, b in zip(words, ends, ends[1:]):
-            self.known[word] = flat[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [self.find(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = {w for words in split for w in words if w not in self.known}
-        self.learn(sorted(new))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        sizes = np.bincount(ids.column("word").to_numpy(), minlength=len(words))
+        return np.array([number for number, _ in words]), sizes, ids.column("token").to_numpy()
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        number = self.numbers.__getitem__
+        split = [np.fromiter(map(number, words), np.int32, len(words)) for words in map(self.find, texts)]
+        self.learn()
+        words = np.concatenate([np.zeros(0, np.int32), *split])
+        sizes = self.sizes[words]
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        offsets = ends[np.cumsum([0, *map(len, split)])]
+        at = np.repeat(self.starts[words] - ends[:-1], sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.pool[at]))
 
 
 def _slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -241,10 +277,7 @@ def _encoding(vocabulary: Callable, pattern: str, rest: list[str], out: str):
             sizes = np.array([len(t.as_buffer()) for t in column], np.int64)
             for a, b in _slices(batch, sizes, 4 << 20):
                 texts = [t.decode("utf-8", "replace") for t in column.slice(a, b - a).to_pylist()]
-                parts = encoder.encode(texts)
-                offsets = np.zeros(len(parts) + 1, np.int32)
-                np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(parts), "<i4"))
+                ids = encoder.encode(texts)
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(rest))]
                 yield pa.RecordBatch.from_arrays([*kept, ids], [*rest, out])
         if encoder:
@@ -253,16 +286,14 @@ def _encoding(vocabulary: Callable, pattern: str, rest: list[str], out: str):
     return run
 
 
-def _joined(pieces: pa.ListArray) -> Iterator[bytes]:
-    """The bytes of each list: pieces of a list lie next to each other."""
-    flat = pieces.flatten()
-    if not len(flat):
-        return
-    ends = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset)
-    data = memoryview(flat.buffers()[2])
-    edges = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()].tolist()
-    for a, b in zip(edges, edges[1:]):
-        yield bytes(data[a:b])
+def _joined(pieces: pa.BinaryArray, edges: np.ndarray) -> list[bytes]:
+    """The bytes from each edge to the next; pieces lie next to each other."""
+    if not len(pieces):
+        return [b""] * (len(edges) - 1)
+    ends = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset)
+    data = memoryview(pieces.buffers()[2])
+    at = ends[edges].tolist()
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -297,20 +328,18 @@ def _decoding(vocabulary: Callable, ids_col: str, out: str):
             for a, b in _slices(batch, lengths, IDS_PER_QUERY):
                 part = column.slice(a, b - a)
                 flat = part.flatten().to_numpy(zero_copy_only=False)
-                counts = lengths[a:b]
-                doc = np.repeat(np.arange(b - a, dtype=np.int32), counts)
+                edges = np.append(0, np.cumsum(lengths[a:b]))
                 texts = [b""] * (b - a)
                 for at in range(0, len(flat), IDS_PER_QUERY):
                     end = min(len(flat), at + IDS_PER_QUERY)
-                    piece = pa.table(
-                        {"doc": doc[at:end], "pos": np.arange(at, end, dtype=np.int64), "id": flat[at:end]}
-                    )
-                    con.register("rows", piece)
+                    rows = pa.table({"pos": np.arange(end - at, dtype=np.int32), "id": flat[at:end]})
+                    con.register("rows", rows)
                     found = con.sql(ASSEMBLE).to_arrow_table().combine_chunks()
                     con.unregister("rows")
-                    if sum(found.column("known").to_pylist()) != end - at:
+                    if found.column("known")[0].as_py() != end - at:
                         raise ValueError("an id is not in the vocabulary")
-                    for i, text in zip(found.column("doc").to_pylist(), _joined(found.column("pieces").combine_chunks())):
+                    pieces = found.column("pieces").combine_chunks().flatten()
+                    for i, text in enumerate(_joined(pieces, np.clip(edges, at, end) - at)):
                         texts[i] += text
                 kept = [c.slice(a, b - a) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.binary())], [*batch.schema.names, out])

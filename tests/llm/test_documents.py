@@ -39,6 +39,22 @@ def test_bpe_equals_the_library_and_decodes(spark):
         assert bytes(row.decoded) == text.encode()
 
 
+def test_encoder_numbers_each_word_once_and_forgets(monkeypatch):
+    ranks = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN, bpe.merge_table(ranks))
+    texts = ["Ungbersche reanouat Ungbersche", "", "reanouat thwhening", "a" * 3000]
+    want = [library.encode_ordinary(t) for t in texts]
+    assert encoder.encode(texts).to_pylist() == want
+    held = dict(encoder.numbers)
+    monkeypatch.setattr(encoder, "_contract", None)  # nothing new to contract
+    assert encoder.encode(texts[::-1]).to_pylist() == want[::-1] and encoder.numbers == held
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "REMEMBERED", 1)
+    assert encoder.encode(texts[:1]).to_pylist() == want[:1] and len(encoder.numbers) == 3
+    assert encoder.encode([]).to_pylist() == []
+
+
 def test_bpe_round_trip_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame(
         [("x", 1, "one two", 7, "q"), (None, None, None, None, None)], "ids string, doc_id bigint, text string, _null int, decoded string"
