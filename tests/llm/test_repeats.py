@@ -166,6 +166,13 @@ def test_ends_of_copied_passages(spark):
         assert [r.n_removed for r in sorted(found)] == expected and sum(expected) >= 600
 
 
+def test_runs_of_crowded_anchors_are_cut_once(spark):
+    rows = list(enumerate(corpus(1)))
+    found = suffix_array.deduplicate(spark.createDataFrame(rows, SCHEMA), 40, False, gram=16, limit=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInArrow cut(" not in plan and "MapInArrow windows(" not in plan
+
+
 def test_op7_holds_small_batches(spark, tmp_path):
     """Whole texts wait on both sides of a Python worker, so op7 bounds its batches whatever the session says."""
     from duskwatch.llm.queries import op7
