@@ -187,3 +187,19 @@ def test_op7_holds_small_batches(spark, tmp_path):
         assert found == {1: 10, 2: 0} and int(spark.conf.get(name)) <= 2048
     finally:
         spark.conf.set(name, held)
+
+
+def test_replacement_characters_of_a_text_stay(spark):
+    """Only code points broken by a cut go; a text without repeats leaves the pipeline's stage as it came."""
+    import corpus_pipeline
+
+    draw = random.Random(9)
+    common = "".join(draw.choices("abcdefgh", k=500))
+    clean = "one \ufffd two \ue000a \ue000b three"
+    texts = [clean, f"p \ufffd \u00e9{common}", f"q \ufffd\ue000b \ue000\ufffda \u00a9{common}r \ufffd"]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    found = {r.doc_id: r for r in corpus_pipeline.repeated_substrings(spark, rows, "").collect()}
+    # Both letters before the passage end in one byte, which is cut with it: the first byte of the later one is broken.
+    expected = [*texts[:2], "q \ufffd\ue000b \ue000\ufffda r \ufffd"]
+    assert [found[i].text for i in range(3)] == expected
+    assert [found[i].n_chars for i in range(3)] == [len(t) for t in expected]
