@@ -17,6 +17,8 @@ RADIUS = 19
 BLOCKS = 5
 # Item shingles that may be sent to every task; beyond that they are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
+# Keys of documents that may be sent to every task; beyond that their texts are shuffled.
+BROADCAST_DOCUMENTS = 500_000
 STRIDE = 4
 
 
@@ -116,6 +118,18 @@ def _starts(words: DataFrame, seeds: DataFrame, strides: dict[int, int], few: bo
     return spans.select("_k1", "_k2", "length", "size", starts.alias("starts")).where(F.size("starts") > 0)
 
 
+def _texts_of(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose _k1, _k2 are in ``chosen``, and perhaps a few others.
+
+    Texts stay where they are read while the keys are few enough to be sent to
+    every task: _k1 alone, which lets a row of an equal _k1 through. With more of
+    them texts are shuffled, as they are and not sorted.
+    """
+    if chosen.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS:
+        return keyed.join(F.broadcast(chosen.select("_k1")), "_k1", "left_semi")
+    return keyed.join(chosen.hint("shuffle_hash"), ["_k1", "_k2"], "left_semi")
+
+
 def candidate_windows(keyed: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """(_k1, _k2, doc_id, length, size, at, shingles): item-sized windows that can reach ``similarity``.
 
@@ -145,13 +159,15 @@ def candidate_windows(keyed: DataFrame, items: DataFrame, similarity: float) ->
         r["size"]: STRIDE if r["least"] >= STRIDE and miss < 1 / (2 * STRIDE) else 1 for r in kinds
     }
     words = keyed.select("_k1", "_k2", words_of().alias("words"))
-    chosen = _starts(words, seeds, strides, few, miss).select("_k1", "_k2").distinct()
+    chosen = stored(_starts(words, seeds, strides, few, miss).select("_k1", "_k2").distinct(), "chosen")
     texts = stored(
-        keyed.select("_k1", "_k2", "doc_id", words_of().alias("words")).join(chosen, ["_k1", "_k2"], "left_semi"), "texts"
+        _texts_of(keyed, chosen).select("_k1", "_k2", "doc_id", words_of().alias("words")), "texts"
     )
     spots = _starts(texts.select("_k1", "_k2", "words"), seeds, dict.fromkeys(strides, 1), few, miss)
+    # Repeated rows are one document, or their windows would meet each other in every join.
+    once = texts.groupBy("_k1", "_k2").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"))
     return (
-        texts.join(spots, ["_k1", "_k2"])
+        once.join(spots, ["_k1", "_k2"])
         .select("_k1", "_k2", "doc_id", "words", "length", "size", F.explode("starts").alias("at"))
         .withColumn("shingles", _shingles(F.slice("words", F.col("at") + 1, F.col("length")), F.col("size")))
         .select(*names)

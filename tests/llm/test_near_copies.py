@@ -165,3 +165,37 @@ def test_windows_in_another_order_match_brute_force(spark):
         spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
     ).collect()
     assert {(r.doc_id, r.item_id): (r.similarity, -r.distance, -r.first_word) for r in found} == expected
+
+
+@pytest.mark.parametrize("most, join", [(500_000, "BroadcastHashJoin"), (0, "ShuffledHashJoin")])
+def test_texts_are_moved_only_where_keys_are_many(spark, monkeypatch, most, join):
+    """A document of repeated rows is one, and texts are neither sorted nor, with few keys, shuffled."""
+    draw = random.Random(3)
+    item = [f"q{i}" for i in range(40)]
+    around = draw.choices([f"t{i}" for i in range(90)], k=200)
+    docs = [(i, " ".join(around[: 20 * i] + item + around[20 * i :])) for i in range(5)]
+    docs += [(None, docs[2][1]), (7, " ".join(around)), (8, " ".join(item[:30])), (9, None), (10, "")]
+    items = [(1, " ".join(item)), (2, " ".join(item[:12]))]
+    expected = simple_matches(docs, items)
+    kept, plans = {}, {}
+    store = decontaminate.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(decontaminate, "stored", watched)
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCUMENTS", most)
+    counts = []
+    for times in (1, 6):
+        found = decontaminate.contaminated(
+            spark.createDataFrame(docs * times, SCHEMA).repartition(3),
+            spark.createDataFrame(items, "item_id bigint, text string"),
+        ).collect()
+        assert len(found) == len(expected)
+        assert {(r.doc_id, r.item_id): (r.similarity, -r.distance, -r.first_word) for r in found} == expected
+        counts.append(kept["windows"].count())
+        assert f"{join} [" in plans["texts"] and "SortMergeJoin" not in plans["texts"]
+        assert ("hashpartitioning" in plans["texts"]) == (most == 0)
+    assert counts[0] == counts[1]
